@@ -1,6 +1,7 @@
 """Registered training-data queries and their oracles."""
 
+from lattica.llm.quality import op2_quality
 from lattica.llm.simhash import op6_simhash
 
-QUERIES = {"op6_simhash": op6_simhash}
+QUERIES = {"op2_quality": op2_quality, "op6_simhash": op6_simhash}
 ORACLE: dict[str, str] = {}
