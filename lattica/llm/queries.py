@@ -1,7 +1,8 @@
 """Registered training-data queries and their oracles."""
 
+from lattica.llm.license import op10_license
 from lattica.llm.quality import op2_quality
 from lattica.llm.simhash import op6_simhash
 
-QUERIES = {"op2_quality": op2_quality, "op6_simhash": op6_simhash}
+QUERIES = {"op2_quality": op2_quality, "op6_simhash": op6_simhash, "op10_license": op10_license}
 ORACLE: dict[str, str] = {}
