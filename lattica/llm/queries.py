@@ -1,8 +1,9 @@
 """Registered training-data queries and their oracles."""
 
 from lattica.llm.license import op10_license
+from lattica.llm.lm import op8_lm_score
 from lattica.llm.quality import op2_quality
 from lattica.llm.simhash import op6_simhash
 
-QUERIES = {"op2_quality": op2_quality, "op6_simhash": op6_simhash, "op10_license": op10_license}
+QUERIES = {"op2_quality": op2_quality, "op6_simhash": op6_simhash, "op8_lm_score": op8_lm_score, "op10_license": op10_license}
 ORACLE: dict[str, str] = {}
