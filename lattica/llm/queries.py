@@ -5,6 +5,7 @@ from lattica.llm.lm import op8_lm_score
 from lattica.llm.pii import op1_pii
 from lattica.llm.quality import op2_quality
 from lattica.llm.simhash import op6_simhash
+from lattica.llm.token_files import op3_token_files
 
-QUERIES = {"op1_pii": op1_pii, "op2_quality": op2_quality, "op6_simhash": op6_simhash, "op8_lm_score": op8_lm_score, "op10_license": op10_license}
+QUERIES = {"op1_pii": op1_pii, "op2_quality": op2_quality, "op3_token_files": op3_token_files, "op6_simhash": op6_simhash, "op8_lm_score": op8_lm_score, "op10_license": op10_license}
 ORACLE: dict[str, str] = {}
