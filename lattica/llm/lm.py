@@ -25,7 +25,7 @@ base score. An empty table gives an empty result; other columns of the input are
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -116,17 +116,25 @@ def _steps(keys: np.ndarray) -> np.ndarray:
 
 
 def _blocks(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
-    """Rows dealt into blocks, and the number of buckets."""
+    """Rows dealt into blocks, texts packed for the way, and the number of buckets."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     crc = F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"), (crc % 7 != 2).alias("trains"))
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     n_blocks = max(1, -(-size // BLOCK_BYTES))
-    return rows.withColumn("block", F.pmod(F.xxhash64("doc_id", "text"), F.lit(n_blocks))), max(1, -(-size // (6 * BUCKET_KEYS)))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"), (crc % 7 != 2).alias("trains"), F.pmod(F.xxhash64(id_col, text), F.lit(n_blocks)).alias("block"))
+
+    def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress = zstandard.ZstdCompressor(level=3).compress
+        for batch in batches:
+            small = pa.array([compress(x.as_buffer()) for x in batch.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([batch.column(0), small, *batch.columns[2:]], names=batch.schema.names)
+
+    return rows.mapInArrow(squeeze, "doc_id long, text binary, trains boolean, block long"), max(1, -(-size // (6 * BUCKET_KEYS)))
 
 
 def _read(part: pa.Table) -> Block:
-    return Block(part.column("text").to_pylist(), np.array(part.column("trains").to_pylist(), bool))
+    expand = zstandard.ZstdDecompressor().decompress
+    return Block(map(expand, part.column("text").to_pylist()), np.array(part.column("trains").to_pylist(), bool))
 
 
 def ngram_totals(rows: DataFrame, buckets: int) -> DataFrame:
