@@ -1,5 +1,6 @@
 """Registered training-data queries and their oracles."""
 
+from lattica.llm.html_text import op5_html_text
 from lattica.llm.license import op10_license
 from lattica.llm.lm import op8_lm_score
 from lattica.llm.pii import op1_pii
@@ -7,5 +8,5 @@ from lattica.llm.quality import op2_quality
 from lattica.llm.simhash import op6_simhash
 from lattica.llm.token_files import op3_token_files
 
-QUERIES = {"op1_pii": op1_pii, "op2_quality": op2_quality, "op3_token_files": op3_token_files, "op6_simhash": op6_simhash, "op8_lm_score": op8_lm_score, "op10_license": op10_license}
+QUERIES = {"op1_pii": op1_pii, "op2_quality": op2_quality, "op3_token_files": op3_token_files, "op5_html_text": op5_html_text, "op6_simhash": op6_simhash, "op8_lm_score": op8_lm_score, "op10_license": op10_license}
 ORACLE: dict[str, str] = {}
