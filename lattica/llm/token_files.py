@@ -20,6 +20,7 @@ empty table makes a file without rows. Other columns of the input are not read.
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -43,9 +44,14 @@ OPTIONS = {
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Pieces that a worker remembers at most, and ids in a written batch, about.
-REMEMBERED = 400_000
+#: Pieces that a worker remembers at most, the length of those that stay when there are more,
+#: words that are encoded in a row, and ids in a written batch, about.
+REMEMBERED, SHORT = 800_000, 8
+IN_A_ROW = 2000
 BATCH_IDS = 1 << 20
+#: The tokenizer's pattern for texts of ASCII and Latin letters, and what marks other texts.
+PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+ODD = re.compile("[^\\n\\t\\r\\x20-\\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]").search
 #: Ranges whose sums are broadcast at most; more are joined by shuffle.
 BROADCAST_RANGES = 10_000
 
@@ -54,31 +60,50 @@ class Encoder:
     """Ids of texts as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import public_tokenizers
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.pieces = regex.compile(public_tokenizers.PATTERN).findall
-        self.odd = regex.compile("[^\\n\\t\\r\\x20-\\x7e¡-ɏ]").search
         self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        vocabulary = self.library.get_vocab()
+        #: Bytes of each id: in a byte-level vocabulary a character stands for a byte.
+        self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
+        for token, number in vocabulary.items():
+            self.bytes_of[number] = len(token)
         self.known: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces. Words after a space are set in a row, which the pattern parts again."""
+        rows = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        parts = [rows[i : i + IN_A_ROW] for i in range(0, len(rows), IN_A_ROW)]
+        for part, made in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
+            ids = np.array(made.ids, "<u4")
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)))
+            at = 4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
+            raw, before = ids.tobytes(), 0
+            for piece, end in zip(part, at.tolist(), strict=True):
+                self.known[piece] = raw[before:end]
+                before = end
+        for piece, made in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(made.ids, "<u4").tobytes()
+
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
         for text in texts:
-            if self.odd(text) or any(s in text for s in self.special):
+            if ODD(text) or any(s in text for s in self.special):
                 yield self.whole(text)
                 continue
-            pieces = self.pieces(text)
+            pieces = PIECES(text)
             if new := list(set(pieces).difference(self.known)):
                 if len(self.known) + len(new) > REMEMBERED:
-                    self.known.clear()
-                    new = list(set(pieces))
-                for piece, made in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                    self.known[piece] = np.array(made.ids, "<u4").tobytes()
+                    # Short pieces are the more frequent ones.
+                    self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+                    if len(self.known) + len(new) > REMEMBERED:
+                        self.known.clear()
+                    new = list(set(pieces).difference(self.known))
+                self.learn(new)
             yield b"".join(map(self.known.__getitem__, pieces))
 
 
@@ -122,7 +147,7 @@ def encoded(docs: DataFrame, tokenizer: str, end: int = END, id_col: str = "doc_
 
         for batch in batches:
             ids, made, size = [], [], 0
-            for doc_id, text in zip(batch.column(0).to_pylist(), encode(x.as_py() for x in batch.column(1)), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
                 ids.append(doc_id)
                 made.append(text + last)
                 size += len(text)
