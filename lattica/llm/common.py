@@ -25,6 +25,15 @@ def text_of(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def apart(df: DataFrame, condition: Column) -> DataFrame:
+    """The rows where ``condition`` holds, tested after ``df`` is computed.
+
+    A plain filter would be pushed down with all that its columns are made from, which would
+    then be computed several times for each row.
+    """
+    return df.withColumn("_so", F.explode(F.array(condition))).where("_so").drop("_so")
+
+
 def shards_for(rows: int, rows_per_shard: int) -> int:
     """A power of two, so that a shard is the top bits of a hash."""
     return 1 << max(0, math.ceil(math.log2(max(1, rows / rows_per_shard))))

@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ascii_lower, table
+from lattica.llm.common import apart, ascii_lower, table
 from lattica.plans.cut import cut
 
 KINDS = ("email", "ip", "card", "phone")
@@ -210,7 +210,7 @@ def attach(base: DataFrame, extra: DataFrame) -> DataFrame:
     if n <= BROADCAST_ROWS:
         told = base.join(F.broadcast(extra), "_key", "left")
     else:
-        told = base.where("_key is not null").join(extra, "_key", "left").unionByName(base.where("_key is null").withColumn("extra", none))
+        told = apart(base, F.col("_key").isNotNull()).join(extra, "_key", "left").unionByName(apart(base, F.col("_key").isNull()).withColumn("extra", none))
     return told.withColumn("_all", F.concat("_base", F.coalesce("extra", none)))
 
 

@@ -29,7 +29,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import table
+from lattica.llm.common import apart, table
 from lattica.plans.cut import cut
 
 SPACE = "[\\x20\\x09-\\x0D]+"
@@ -107,15 +107,15 @@ def _small(df: DataFrame, rows: int) -> DataFrame:
     return F.broadcast(df) if rows <= BROADCAST_GROUPS else df
 
 
-def _distance(params: str = "") -> Column:
-    """Squared Mahalanobis distance by forward substitution through the Cholesky factor."""
-    y: list[Column] = []
+def with_distance(df: DataFrame) -> DataFrame:
+    """``df`` with the squared Mahalanobis distance, by forward substitution through the Cholesky factor."""
     for i in range(DIM):
-        rest = F.col(f"_x{i}") - F.col(f"{params}_m{i}")
+        rest = F.col(f"_x{i}") - F.col(f"_m{i}")
         for j in range(i):
-            rest = rest - F.col(f"{params}_l{i}{j}") * y[j]
-        y.append(rest / F.col(f"{params}_l{i}{i}"))
-    return sum((v * v for v in y[1:]), y[0] * y[0])
+            rest = rest - F.col(f"_l{i}{j}") * F.col(f"_y{j}")
+        df = df.withColumn(f"_y{i}", rest / F.col(f"_l{i}{i}"))
+    far = sum((F.col(f"_y{i}") * F.col(f"_y{i}") for i in range(1, DIM)), F.col("_y0") * F.col("_y0"))
+    return df.withColumn("_distance", far)
 
 
 def _factor(df: DataFrame) -> DataFrame:
@@ -167,7 +167,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     )
     params, before = cut(start), None
     for _ in range(STEPS):
-        far = rows.join(_small(params, n_keys), "_key").withColumn("_bin", F.floor(32 * F.log1p(_distance())))
+        far = with_distance(rows.join(_small(params, n_keys), "_key")).withColumn("_bin", F.floor(32 * F.log1p("_distance")))
         parts = far.groupBy("_key", "_bin").agg(*moments)
         own = Window.partitionBy("_key")
         near = parts.withColumns({"_ahead": F.sum("_c").over(own.orderBy("_bin")) - F.col("_c"), "_all": F.sum("_c").over(own)}).where(F.col("_ahead") < SUPPORT * F.col("_all"))
@@ -183,7 +183,7 @@ def judge(stats: DataFrame, fitted: tuple[DataFrame, DataFrame, int], tail: floa
     """``stats`` with ``_distance`` (squared) and ``_kept``."""
     keys, params, n_keys = fitted
     known = keys.join(_small(params, n_keys), "_key").drop("_key")
-    far = stats.join(_small(known, n_keys), ["_lang", "_source"], "left").withColumn("_distance", _distance())
+    far = with_distance(stats.join(_small(known, n_keys), ["_lang", "_source"], "left"))
     return far.withColumn("_kept", ~F.col("_base_failed") & F.coalesce(F.col("_distance") <= chi2_cut(tail, DIM), F.lit(True)))
 
 
@@ -202,4 +202,5 @@ def keep_good(docs: DataFrame, tail: float = TAIL) -> DataFrame:
     texts being shuffled or stored with them.
     """
     stats = cut(with_vector(with_stats(docs.select("text", "lang", "source"))).drop("text"))
-    return judge(with_vector(with_stats(docs)), fit(stats), tail).where("_kept").select(*docs.columns)
+    judged = judge(with_vector(with_stats(docs)), fit(stats), tail)
+    return apart(judged, F.col("_kept")).select(*docs.columns)

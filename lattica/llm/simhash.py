@@ -50,15 +50,16 @@ def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 3, seed: int = 42) -> DataFrame:
-    """``(doc_id, fp)`` with ``fp`` as a signed long, a row for each row of ``docs``."""
+    """``(doc_id, h, fp)``: a hash of the text and its fingerprint as a signed long, a row for each row of ``docs``."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
+            texts = batch.column(2).to_pylist()
             fps = np.array([fingerprint(x or b"", width, seed) for x in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps, pa.int64())], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps, pa.int64())], names=["doc_id", "h", "fp"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.col(text_col), "UTF-8").alias("text")).mapInArrow(work, "doc_id long, fp long")
+    text = F.col(text_col)
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.encode(text, "UTF-8").alias("text")).mapInArrow(work, "doc_id long, h long, fp long")
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
@@ -79,15 +80,16 @@ def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)``, a row for each row of ``docs``."""
+    """``(doc_id, h, fp, root, component_id)``, a row for each row of ``docs``; ``root`` names
+    the component by a fingerprint."""
     each = cut(fingerprints(docs, id_col, text_col, width))
     kinds = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
     roots = components(ball_links(kinds.select("fp"), radius))
     linked = roots.join(kinds, roots["id"] == kinds["fp"]).select("fp", "root", "least")
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
-    moved = cut(linked.join(best, "root").select("fp", "component"))
-    known = kinds.join(moved, "fp", "left").select("fp", F.coalesce("component", "least").alias("component_id"))
-    return each.join(known, "fp").select("doc_id", "fp", "component_id")
+    moved = cut(linked.join(best, "root").select("fp", "root", "component"))
+    known = kinds.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
+    return each.join(known, "fp").select("doc_id", "h", "fp", "root", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,8 +98,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, radius: int = 2, width: int = 5) -> DataFrame:
-    """``docs`` with one row of each group: the one of the smallest id, and then text."""
-    groups = near_duplicates(docs.select("doc_id", "text"), radius, width)
-    keep = groups.groupBy("component_id").agg(F.min("doc_id").alias("doc_id")).select("doc_id").where("doc_id is not null")
-    return docs.join(keep, "doc_id", "left_semi")
+def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
+    """``docs`` with one row of each group: the one of the smallest id, and then text's hash."""
+    groups = cut(near_duplicates(docs.select("doc_id", "text"), radius, width).select("doc_id", "h", "root"))
+    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
+    out = docs.withColumn("_h", F.xxhash64("text"))
+    same = out["doc_id"].eqNullSafe(keep["doc_id"]) & (out["_h"] == keep["h"])
+    kept = out.join(keep, same, "left_semi")
+    if not groups.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
+        kept = kept.dropDuplicates(["doc_id", "_h"])
+    return kept.drop("_h")
