@@ -57,3 +57,26 @@ def event_dag(spark: SparkSession, sf_dir: str) -> Graph:
     """User succession with arcs from smaller to greater ids alone: a DAG."""
     g = user_succession(spark, sf_dir)
     return Graph.from_frame(g.arcs.where("src < dst").select("src", "dst", "weight"), True)
+
+
+def hierarchy(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
+    """Root, regions, nations and the first suppliers, and each nation's step to the next: a DAG of about a hundred nodes."""
+    region, nation, supplier = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
+    e = region.select(F.lit(0).alias("src"), (1000 + F.col("r_regionkey")).alias("dst"))
+    e = e.unionByName(nation.select((1000 + F.col("n_regionkey")).alias("src"), (2000 + F.col("n_nationkey")).alias("dst")))
+    e = e.unionByName(supplier.where("s_suppkey <= 60").select((2000 + F.col("s_nationkey")).alias("src"), (3000 + F.col("s_suppkey")).alias("dst")))
+    e = e.unionByName(nation.where("n_nationkey < 24").select((2000 + F.col("n_nationkey")).alias("src"), (2001 + F.col("n_nationkey")).alias("dst")))
+    return Graph.from_frame(e.withColumn("weight", 1.0 + F.col("dst") % 7), directed)
+
+
+def nation_links(spark: SparkSession, sf_dir: str, below: int = 9) -> Graph:
+    """Some pairs of the first nations, undirected: small enough to try everything."""
+    k = read(spark, sf_dir, "nation").where(F.col("n_nationkey") < below).select(F.col("n_nationkey").cast("long").alias("k"))
+    a, b = k.withColumnRenamed("k", "src"), k.withColumnRenamed("k", "dst")
+    return Graph.from_frame(a.join(b, F.col("src") < F.col("dst")).where("(src * 7 + dst * 3) % 5 < 2"), False, k.withColumnRenamed("k", "id"))
+
+
+def part_supplier_slice(spark: SparkSession, sf_dir: str, below: int = 11) -> Graph:
+    """The first parts and their suppliers."""
+    e = read(spark, sf_dir, "lineitem").where(F.col("l_partkey") < below).select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
+    return Graph.from_frame(e)
