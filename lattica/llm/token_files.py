@@ -7,12 +7,11 @@ so stripes are read in parallel and a lookup by id skips the stripes that can't
 row has its range and the number of ids before it in its range. When the files are read back,
 the ranges' sums, a row each, are added up to place every document in the whole sequence.
 
-The tokenizer's own pattern always parts a text before a space that has no other white space
-beside it. So such a text is split at its spaces, each word is encoded with its space once, and
-then looked up; the lookup is thinned at a set size. A text with other white space about, with
-characters that pattern libraries may class differently, or with the string of a special token
-is given to the tokenizer as a whole. As the library does by default, such a string becomes the
-special token's id.
+A text is cut into the pieces that the tokenizer's own pattern makes, which it encodes one by
+one, so each piece is encoded once and then looked up; the lookup is emptied at a set size. A
+text with characters that pattern libraries may class differently, or with the string of a
+special token, is given to the tokenizer as a whole. As the library does by default, such a
+string becomes the special token's id.
 
 Nulls, ties and the like: a null text is empty and has the end id alone. Null ids come first.
 Rows with the same id are ordered by a hash of their text, and equal rows follow each other. An
@@ -22,7 +21,6 @@ empty table makes a file without rows. Other columns of the input are not read.
 from __future__ import annotations
 
 import re
-import string
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -39,24 +37,23 @@ from lattica.plans.cut import shared_dir
 END = 2
 SCHEMA = "doc_id long, part int, ahead long, n_tokens long, ids array<int>"
 OPTIONS = {
-    "compression": "zstd",
+    "compression": "snappy",
     "orc.stripe.size": str(64 << 20),
     "orc.create.index": "true",
     "orc.row.index.stride": "10000",
     "orc.bloom.filter.columns": "doc_id",
     "orc.bloom.filter.fpp": "0.01",
 }
-#: Words that a worker remembers at most, the length from which they are dropped when there are
-#: more, words that are encoded in a row, characters that are looked at together, and ids in a
-#: written batch, about.
-REMEMBERED, SHORT = 1_000_000, 8
+#: Pieces that a worker remembers at most, the length of those that stay when there are more,
+#: words that are encoded in a row, and ids in a written batch, about.
+REMEMBERED, SHORT = 800_000, 8
 IN_A_ROW = 2000
-GROUP_CHARS = 2 << 20
 BATCH_IDS = 1 << 20
-#: Where white space stands beside a space, the tokenizer's pattern may join the two.
-JOINED = ("  ", " \n", "\n ", "\t", "\r")
-MARKS = string.punctuation
-ODD = re.compile("[^\\n\\x20-\\x7e\u00a1-\u024f]").search
+#: The tokenizer's pattern for texts of ASCII and Latin letters, whose classes are written out
+#: (which is faster) and whose commonest piece comes first, and what marks other texts.
+_LETTERS = "A-Za-z\u00aa\u00b5\u00ba\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f"
+PIECES = re.compile(rf" ?[{_LETTERS}]+|'s|'t|'re|'ve|'m|'ll|'d| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+").findall
+ODD = re.compile("[^\\n\\t\\r\\x20-\\x7e\u00a1-\u00b1\u00b4-\u00b8\u00ba\u00bb\u00bf-\u024f]").search
 #: Ranges whose sums are broadcast at most; more are joined by shuffle.
 BROADCAST_RANGES = 10_000
 
@@ -74,67 +71,42 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for token, number in vocabulary.items():
             self.bytes_of[number] = len(token)
-        #: Ids of a word with a space before it, and of one that begins a text.
         self.known: dict[str, bytes] = {}
-        self.heads: dict[str, bytes] = {}
-        self.ends: dict[str, bytes] = {}
 
     def whole(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Encode new words. Letters and the marks after them are pieces of their own."""
-        marked = [(w, core, w[len(core) :]) for w in words if (core := w.rstrip(MARKS)) != w and core.isalpha()]
-        ends = list({tail for _, _, tail in marked}.difference(self.ends))
-        for tail, made in zip(ends, self.library.encode_batch_fast(ends, add_special_tokens=False), strict=True):
-            self.ends[tail] = np.array(made.ids, "<u4").tobytes()
-        done = {w for w, _, _ in marked}
-        plain = {w for w in words if w not in done} | {core for _, core, _ in marked}
-        self.rows(list(plain.difference(self.known)))
-        for word, core, tail in marked:
-            self.known[word] = self.known[core] + self.ends[tail]
-
-    def rows(self, words: list[str]) -> None:
-        """Encode words in rows, whose ids are parted by the bytes they stand for."""
-        parts = [words[i : i + IN_A_ROW] for i in range(0, len(words), IN_A_ROW)]
-        for part, made in zip(parts, self.library.encode_batch_fast([" " + " ".join(p) for p in parts], add_special_tokens=False), strict=True):
+    def learn(self, pieces: list[str]) -> None:
+        """Encode pieces. Words after a space are set in a row, which the pattern parts again."""
+        rows = [p for p in pieces if p[0] == " " and p[1:].isalpha()]
+        rest = [p for p in pieces if not (p[0] == " " and p[1:].isalpha())]
+        parts = [rows[i : i + IN_A_ROW] for i in range(0, len(rows), IN_A_ROW)]
+        for part, made in zip(parts, self.library.encode_batch_fast(["".join(p) for p in parts], add_special_tokens=False), strict=True):
             ids = np.array(made.ids, "<u4")
-            ends = np.cumsum(np.fromiter((len(p.encode()) + 1 for p in part), np.int64, len(part)))
+            ends = np.cumsum(np.fromiter((len(p.encode()) for p in part), np.int64, len(part)))
             at = 4 * (np.searchsorted(np.cumsum(self.bytes_of[ids]), ends) + 1)
             raw, before = ids.tobytes(), 0
-            for word, end in zip(part, at.tolist(), strict=True):
-                self.known[word] = raw[before:end]
+            for piece, end in zip(part, at.tolist(), strict=True):
+                self.known[piece] = raw[before:end]
                 before = end
-
-    def group(self, texts: list[str]) -> Iterator[bytes]:
-        parted = [None if any(s in t for s in self.special) or any(s in t for s in JOINED) or not t else t.split(" ") for t in texts]
-        fresh: set[str] = set()
-        fresh.update(*(p[1:] for p in parted if p))
-        if len(self.known) + len(fresh) > REMEMBERED:
-            # Short words are the more frequent ones.
-            self.known = {k: v for k, v in self.known.items() if len(k) < SHORT} if len(fresh) < REMEMBERED // 2 else {}
-            self.heads.clear()
-            self.ends.clear()
-        self.learn([w for w in fresh.difference(self.known) if not ODD(w)])
-        first = list({p[0] for p in parted if p}.difference(self.heads))
-        for word, made in zip(first, self.library.encode_batch_fast(first, add_special_tokens=False), strict=True):
-            if not ODD(word):
-                self.heads[word] = np.array(made.ids, "<u4").tobytes()
-        for text, words in zip(texts, parted, strict=True):
-            try:
-                yield self.heads[words[0]] + b"".join(map(self.known.__getitem__, words[1:])) if words else self.whole(text)
-            except KeyError:
-                yield self.whole(text)
+        for piece, made in zip(rest, self.library.encode_batch_fast(rest, add_special_tokens=False), strict=True):
+            self.known[piece] = np.array(made.ids, "<u4").tobytes()
 
     def __call__(self, texts: Iterable[str]) -> Iterator[bytes]:
-        held, size = [], 0
         for text in texts:
-            held.append(text)
-            size += len(text)
-            if size >= GROUP_CHARS:
-                yield from self.group(held)
-                held, size = [], 0
-        yield from self.group(held)
+            if ODD(text) or any(s in text for s in self.special):
+                yield self.whole(text)
+                continue
+            pieces = PIECES(text)
+            if new := list(set(pieces).difference(self.known)):
+                if len(self.known) + len(new) > REMEMBERED:
+                    # Short pieces are the more frequent ones.
+                    self.known = {k: v for k, v in self.known.items() if len(k) <= SHORT}
+                    if len(self.known) + len(new) > REMEMBERED:
+                        self.known.clear()
+                    new = list(set(pieces).difference(self.known))
+                self.learn(new)
+            yield b"".join(map(self.known.__getitem__, pieces))
 
 
 _ENCODERS: dict[str, Encoder] = {}
