@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
+from lattica.operators import vectors
 from lattica.operators.kernels import Net, frame, per_source
 from lattica.operators.paths import hops
 from lattica.plans.cut import cut
@@ -103,6 +104,11 @@ def _iterate(g: Graph, start: DataFrame, step, max_iter: int, tol: float | None)
     return now, False
 
 
+def _fits(g: Graph) -> bool:
+    """Whether the graph is for one task; the superstep plans hold for any size."""
+    return g.arcs.count() <= vectors.MOST_ARCS
+
+
 def personalized_pagerank(g: Graph, personalization: dict[int, float] | None = None, alpha: float = 0.85, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
     """PageRank whose jumps, and whose nodes without arcs out, follow the given weights."""
     if not 0 < alpha < 1:
@@ -111,6 +117,7 @@ def personalized_pagerank(g: Graph, personalization: dict[int, float] | None = N
     n = g.number_of_nodes()
     if n == 0:
         return g.nodes.select("id", F.lit(0.0).alias("score"))
+    g = Graph(cut(g.nodes), cut(g.arcs), g.directed)
     nodes = g.nodes.select("id")
     if personalization:
         if any(w < 0 for w in personalization.values()):
@@ -123,6 +130,9 @@ def personalized_pagerank(g: Graph, personalization: dict[int, float] | None = N
         jump = given.select("id", (F.col("w") / total).alias("jump"))
     else:
         jump = nodes.select("id", F.lit(1.0 / n).alias("jump"))
+    if _fits(g):
+        known = {int(k): float(w) for k, w in personalization.items()} if personalization else None
+        return vectors.on_arrays(g, vectors.pagerank(known, alpha, max_iter, tol), "score double")
     out = g.arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
     base = cut(jump.join(out, "id", "left"))
     arcs = cut(g.arcs.select("src", "dst"))
@@ -154,7 +164,10 @@ def eigenvector_centrality(g: Graph, max_iter: int = 100, tol: float | None = 1e
     n = g.number_of_nodes()
     if n == 0:
         return g.nodes.select("id", F.lit(0.0).alias("score"))
-    arcs = cut(g.arcs.select("src", "dst", "weight"))
+    g = Graph(cut(g.nodes), cut(g.arcs), g.directed)
+    if _fits(g):
+        return vectors.on_arrays(g, vectors.eigenvector(max_iter, tol), "score double")
+    arcs = g.arcs.select("src", "dst", "weight")
 
     def step(now: DataFrame) -> DataFrame:
         got = arcs.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("score")).alias("x"))
@@ -173,7 +186,13 @@ def katz_centrality(g: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: i
     if alpha <= 0 or tol <= 0:
         raise ValueError("alpha and tol must be positive")
     _rounds(max_iter)
-    arcs = cut(g.arcs.select("src", "dst", "weight"))
+    g = Graph(cut(g.nodes), cut(g.arcs), g.directed)
+    if _fits(g):
+        found = cut(vectors.on_arrays(g, vectors.katz(alpha, beta, max_iter, tol, normalized), "score double, converged boolean"))
+        if not found.where(~F.col("converged")).isEmpty():
+            raise ConvergenceError(f"no convergence in {max_iter} rounds")
+        return found.select("id", "score")
+    arcs = g.arcs.select("src", "dst", "weight")
 
     def step(now: DataFrame) -> DataFrame:
         got = arcs.join(now.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("weight") * F.col("score")).alias("x"))
@@ -194,7 +213,10 @@ def hits(g: Graph, max_iter: int = 100, tol: float | None = 1e-6) -> DataFrame:
     n = g.number_of_nodes()
     if n == 0:
         return g.nodes.select("id", F.lit(0.0).alias("hub"), F.lit(0.0).alias("authority"))
-    arcs, flat = cut(g.arcs.select("src", "dst", "weight")), 1 / math.sqrt(n)
+    g = Graph(cut(g.nodes), cut(g.arcs), g.directed)
+    if _fits(g):
+        return vectors.on_arrays(g, vectors.hits(max_iter, tol), "hub double, authority double")
+    arcs, flat = g.arcs.select("src", "dst", "weight"), 1 / math.sqrt(n)
 
     def moved(values: DataFrame, name: str, a: str, b: str) -> DataFrame:
         return arcs.join(values.select(F.col("id").alias(a), name), a).groupBy(F.col(b).alias("id")).agg(F.sum(F.col("weight") * F.col(name)).alias("x"))
