@@ -171,3 +171,24 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
 def op10_license(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License phrases and template matches of every document."""
     return scan(table(spark, sf_dir, "documents"))
+
+
+_WORDS = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``op10_license``: all lines against all templates, without an index."""
+    rows = ", ".join(f"('{label}', list_distinct(string_split('{' '.join(w.decode() for w in words_of(t.encode()))}', ' ')))" for label, t in TEMPLATES.items())
+    phrases = ", ".join(f"('{label}', string_split('{p}', ' '))" for p, label in PHRASES.items())
+    lower = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    return f"""WITH t(label, words) AS (VALUES {rows}), p(label, words) AS (VALUES {phrases}),
+d AS (SELECT doc_id, row_number() OVER () AS k, {lower} AS text FROM documents),
+w AS (SELECT doc_id, k, text, regexp_extract_all(text, {_WORDS}) AS words FROM d),
+b AS (SELECT k, p.label, i - 1 AS spot FROM w, p, unnest(range(1, len(w.words) - len(p.words) + 2)) u(i) WHERE w.words[i:i + len(p.words) - 1] = p.words),
+l AS (SELECT k, list_distinct(regexp_extract_all(line, {_WORDS})) AS words FROM (SELECT k, unnest(string_split(text, chr(10))) AS line FROM w)),
+m AS (SELECT k, label, max(share) AS share FROM (SELECT k, t.label, len(list_intersect(t.words, l.words)) / len(t.words) AS share FROM l, t) WHERE share >= {THRESHOLD} - 1e-9 GROUP BY 1, 2),
+bs AS (SELECT k, count(*) AS n, min(spot) AS a, max(spot) AS z, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM b GROUP BY 1),
+al AS (SELECT k, array_to_string(list_sort(list(DISTINCT label)), ',') AS labels FROM (SELECT k, label FROM b UNION ALL SELECT k, label FROM m) GROUP BY 1),
+sc AS (SELECT k, max(share) AS s FROM m GROUP BY 1)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_base, a::BIGINT AS first_word, z::BIGINT AS last_word, coalesce(bs.labels, '') AS base_labels, coalesce(al.labels, '') AS labels, greatest(coalesce(s, 0), CASE WHEN n > 0 THEN 1 ELSE 0 END)::DOUBLE AS score
+FROM w LEFT JOIN bs USING (k) LEFT JOIN al USING (k) LEFT JOIN sc USING (k)"""
