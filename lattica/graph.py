@@ -121,6 +121,33 @@ class Graph:
     def karate_club(cls, spark: SparkSession) -> Graph:
         return cls.from_edges(spark, [(u, v) for u, vs in KARATE.items() for v in vs])
 
+    @classmethod
+    def from_edge_list(cls, spark: SparkSession, path: str, directed: bool = False, delimiter: str | None = None, weighted: bool = False, comments: str = "#") -> Graph:
+        from lattica.sources.edge_list import from_edge_list
+
+        return from_edge_list(spark, path, directed, delimiter, weighted, comments)
+
+    def __len__(self) -> int:
+        return self.number_of_nodes()
+
+    def __repr__(self) -> str:
+        return f"Graph(nodes={self.number_of_nodes()}, edges={self.number_of_edges()}, directed={self.directed})"
+
+    def with_edges(self, edges: Iterable[tuple], nodes: Iterable[int] = ()) -> Graph:
+        """With more edges and nodes: new ones come last, known ones keep their place and take the new weight."""
+        more = Graph.from_edges(self.spark, edges, self.directed, nodes)
+        after = lambda df: (df.agg(F.max("pos")).first()[0] or 0) + 1
+        late = more.nodes.withColumn("pos", F.col("pos") + after(self.nodes))
+        new = more.arcs.select("src", "dst", F.col("weight").alias("w"), (F.col("pos") + after(self.arcs)).alias("p"))
+        arcs = self.arcs.join(new, ["src", "dst"], "full").select("src", "dst", F.coalesce("w", "weight").alias("weight"), F.coalesce("pos", "p").alias("pos"))
+        return Graph(self.nodes.unionByName(late).groupBy("id").agg(F.min("pos").alias("pos")), arcs, self.directed)
+
+    def add_edge(self, u: int, v: int, weight: float = 1.0) -> Graph:
+        return self.with_edges([(u, v, weight)])
+
+    def add_node(self, n: int) -> Graph:
+        return self.with_edges([], [n])
+
     def cut(self) -> Graph:
         """The same graph, computed once."""
         return Graph(cut(self.nodes), cut(self.arcs), self.directed)

@@ -63,6 +63,14 @@ def test_model(spark, karate, tmp_path):
     assert from_edge_list(spark, str(f), directed=True, delimiter=",").number_of_edges() == 2
 
 
+def test_growing(spark):
+    g = G(spark, [(5, 1), (1, 2)]).add_edge(2, 7, 3.0).add_node(4).add_edge(1, 5, 9.0)
+    assert [r[0] for r in g.node_labels().collect()] == [5, 1, 2, 7, 4] and len(g) == 5
+    assert g.get_weight(5, 1) == 9.0 and g.get_weight(7, 2) == 3.0 and g.number_of_edges() == 3
+    assert repr(g) == "Graph(nodes=5, edges=3, directed=False)"
+    assert [r.members for r in M.members(M.label_propagation(g)).collect()] == [[1, 5], [2, 7], [4]]
+
+
 def test_centrality(spark, karate):
     p = G(spark, path(4))
     assert as_map(C.betweenness_centrality(p)) == pytest.approx({0: 0, 1: 2 / 3, 2: 2 / 3, 3: 0})
