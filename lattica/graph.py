@@ -156,11 +156,15 @@ class Graph:
         return Graph(self.nodes, self.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight", "pos"), self.directed)
 
     def simple(self) -> DataFrame:
-        """``(a, b)`` with a < b: each undirected simple edge once."""
+        """``(a, b)`` with a < b: each edge of the undirected simple view once."""
+        if not self.directed:  # both arcs of an edge are there, once each
+            return self.arcs.where("src < dst").select(F.col("src").alias("a"), F.col("dst").alias("b"))
         return self.arcs.where("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
 
     def both(self) -> DataFrame:
         """``(src, dst)`` each way, of the undirected simple view."""
+        if not self.directed:
+            return self.arcs.where("src <> dst").select("src", "dst")
         s = self.simple()
         return s.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(s.select(F.col("b").alias("src"), F.col("a").alias("dst")))
 
