@@ -1,11 +1,13 @@
 """License scans by an exact set-similarity join against templates.
 
-Every line of a text is a block. A block matches a template if it holds at least
-``threshold`` of the template's distinct words. The join is exact: words are put in one
+Every line of a text is a block, and so is, for a template of ``n`` words, every run of ``n``
+words of the text, whatever lines it spans, since notices are mostly wrapped. A block matches a
+template if it holds at least ``threshold`` of the template's distinct words. The join is exact: words are put in one
 global order, rarest in the corpus first; a template of ``n`` words that must share ``k`` with
 a block has one of its first ``n - k + 1`` words in it (prefix filter), the block needs ``k``
 distinct words at least (length filter), and a first shared word at place ``p`` leaves
-``n - p`` words to share at most (positional filter). Whatever passes is counted out.
+``n - p`` words to share at most (positional filter). Whatever passes is counted out. A text's
+blocks are looked into only for templates that the text as a whole holds enough of.
 
 The frequencies are those of the templates' words over all documents. The templates are a
 fixed list, so their words, counts and index have a known small size whatever the corpus is;
@@ -20,7 +22,8 @@ the input are not read.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator, Mapping
+from collections import Counter
+from collections.abc import Iterable, Iterator, Mapping
 
 import numpy as np
 import pyarrow as pa
@@ -82,6 +85,7 @@ class Index:
         self.rank = {w: i for i, w in enumerate(sorted(counts, key=lambda w: (counts[w], w)))}
         self.sets: list[tuple[str, frozenset[bytes], int]] = []
         self.lists: dict[bytes, list[tuple[int, int]]] = {}
+        self.runs: dict[str, tuple[frozenset[bytes], int, int]] = {}
         for label, text in sorted(templates.items()):
             own = sorted(set(words_of(text.encode())), key=lambda w: self.rank.get(w, -1))
             if not own:
@@ -90,6 +94,7 @@ class Index:
             for place, word in enumerate(own[: len(own) - need + 1]):
                 self.lists.setdefault(word, []).append((len(self.sets), place))
             self.sets.append((label, frozenset(own), need))
+            self.runs[label] = (frozenset(own), need, len(words_of(text.encode())))
         self.prefix = frozenset(self.lists)
 
     def matches(self, block: set[bytes]) -> dict[str, float]:
@@ -107,6 +112,32 @@ class Index:
                 found[label] = share / len(own)
         return found
 
+    def run_matches(self, words: list[bytes], labels: Iterable[str]) -> dict[str, float]:
+        """The best containment by label, over all runs of as many words as the template has."""
+        found: dict[str, float] = {}
+        for label in labels:
+            own, need, size = self.runs[label]
+            if (share := most_held(words, own, size)) >= need:
+                found[label] = share / len(own)
+        return found
+
+
+def most_held(words: list[bytes], own: frozenset[bytes], size: int) -> int:
+    """How many of ``own`` a run of ``size`` words holds at most."""
+    hits = [i for i, w in enumerate(words) if w in own]
+    held: Counter[bytes] = Counter()
+    most = tail = 0
+    for i in hits:
+        held[words[i]] += 1
+        while hits[tail] <= i - size:
+            gone = words[hits[tail]]
+            held[gone] -= 1
+            if not held[gone]:
+                del held[gone]
+            tail += 1
+        most = max(most, len(held))
+    return most
+
 
 def _blocks(text: bytes, index: Index) -> Iterator[set[bytes]]:
     for line in text.split(b"\n"):
@@ -154,7 +185,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] = TEMPLATES, threshold: f
                 base = phrase_places(words, {p: k for p, k in by_words.items() if held.issuperset(p)})
                 labels = {label for _, label in base}
                 found: dict[str, float] = {}
-                if not index.prefix.isdisjoint(held):
+                if not index.prefix.isdisjoint(held) and (likely := index.matches(held)):
+                    found = index.run_matches(words, likely)
                     for block in _blocks(text, index):
                         for label, share in index.matches(block).items():
                             found[label] = max(share, found.get(label, 0.0))

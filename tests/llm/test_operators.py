@@ -416,3 +416,33 @@ def test_license(spark, sf, rows, tmp_path):
         want[d, len(w), len(at), min(at, default=None), max(at, default=None), base, ",".join(sorted(labels)), best] += 1
     out = got(license.op10_license(spark, str(tmp_path)))
     assert out == want and any("mit-notice" in k[6] for k in out)
+
+
+def test_license_wrapped(spark):
+    """Notices wrapped at 72 columns, plain and as a comment, and random texts against every run of words."""
+    import random
+    import textwrap
+
+    rng = random.Random(9)
+    rows = []
+    for label, t in license.TEMPLATES.items():
+        wrapped = textwrap.wrap("Lantern meadow. " + t.capitalize() + " copper bridge garden", 72)
+        rows += [(label, "\n".join(wrapped)), (label, "\n".join(f" * {x}" for x in wrapped)), (label, "\n".join(t.split()))]
+    for _ in range(300):
+        words = license.TEMPLATES[rng.choice(list(license.TEMPLATES))].split()
+        mixed = [w for w in words for w in ([w] if rng.random() < 0.9 else [w, "zebra"] if rng.random() < 0.5 else [])]
+        rows.append((None, "".join(w + rng.choice(" \n") for w in [*words[: rng.randint(0, 9)], *mixed])))
+    docs = spark.createDataFrame([(i, t) for i, (_, t) in enumerate(rows)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in license.scan(docs).collect()}
+    for i, (label, t) in enumerate(rows):
+        best = {}
+        for name, x in license.TEMPLATES.items():
+            own, n = set(x.replace(".", " ").split()), len(x.replace(".", " ").split())
+            words = re.findall("[0-9a-z]+", lower(t))
+            runs = [words[k : k + n] for k in range(max(1, len(words) - n + 1))] + [re.findall("[0-9a-z]+", y) for y in lower(t).split("\n")]
+            share = max(len(own & set(r)) for r in runs) / len(own)
+            if share >= license.THRESHOLD:
+                best[name] = share
+        assert label is None or best[label] == 1.0
+        assert set(best) <= set(out[i]["labels"].split(",")) and set(best) | {x for x in out[i]["base_labels"].split(",") if x} == {x for x in out[i]["labels"].split(",") if x}
+        assert out[i]["score"] == max([*best.values(), 1.0 if out[i]["n_base"] else 0.0])
