@@ -16,7 +16,8 @@ each coordinate added (a regularised MCD), since most shares are zero in most te
 
 Nulls, ties and the like: a null text has no words and fails; a null language or source
 counts as an empty one. Groups with fewer than ``LEAST_GROUP`` texts that passed the base
-rule use the estimate of the language, and languages with fewer that of all texts. Rows that
+rule use the estimate of the language, and languages with fewer that of all texts; these rest
+on all texts of the language, or of the table, that passed, not on the small groups' alone. Rows that
 repeat or tie get the same verdict. An empty table gives an empty result. Columns of the
 input that this module doesn't read are carried through by ``keep_good``; its own begin with
 an underscore.
@@ -141,6 +142,17 @@ def keys_of(stats: DataFrame) -> DataFrame:
     return whole.select("_lang", "_source", key.alias("_key"))
 
 
+def feeds_of(keys: DataFrame) -> DataFrame:
+    """``(_lang, _source, _keys)``: the estimates that the texts of a language and source go into.
+
+    Those are their own and, where some group uses it, the language's and that of all texts.
+    """
+    of_lang, whole = F.concat(F.lit("l:"), "_lang"), not keys.where("_key = '*'").isEmpty()
+    used = F.max((F.col("_key") == of_lang).cast("int")).over(Window.partitionBy("_lang")) == 1
+    into = [F.when(F.col("_key").startswith("s:"), F.col("_key")), F.when(used, of_lang), F.when(F.lit(whole), F.lit("*"))]
+    return keys.select("_lang", "_source", F.array_compact(F.array(*into)).alias("_keys"))
+
+
 def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     """Keys, estimates (a row for each key) and the number of keys' rows.
 
@@ -149,7 +161,7 @@ def fit(stats: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     keys = cut(keys_of(stats))
     n_keys = keys.count()
     passed = stats.where(~F.col("_base_failed")).select("_lang", "_source", *(f"_x{i}" for i in range(DIM)))
-    rows = cut(passed.join(_small(keys, n_keys), ["_lang", "_source"]).select("_key", *(f"_x{i}" for i in range(DIM))))
+    rows = cut(passed.join(_small(feeds_of(keys), n_keys), ["_lang", "_source"]).select(F.explode("_keys").alias("_key"), *(f"_x{i}" for i in range(DIM))))
     moments = [F.count("*").alias("_c"), *(F.sum(f"_x{i}").alias(f"_s{i}") for i in range(DIM)), *(F.sum(F.col(f"_x{i}") * F.col(f"_x{j}")).alias(f"_q{i}{j}") for i in range(DIM) for j in range(i + 1))]
     names = ["_c", *(f"_s{i}" for i in range(DIM)), *(f"_q{i}{j}" for i in range(DIM) for j in range(i + 1))]
 

@@ -446,3 +446,18 @@ def test_license_wrapped(spark):
         assert label is None or best[label] == 1.0
         assert set(best) <= set(out[i]["labels"].split(",")) and set(best) | {x for x in out[i]["base_labels"].split(",") if x} == {x for x in out[i]["labels"].split(",") if x}
         assert out[i]["score"] == max([*best.values(), 1.0 if out[i]["n_base"] else 0.0])
+
+
+def test_quality_small_groups_use_whole_language(spark):
+    """An outlier that is all its source, or all its language, is held against the larger groups beside it."""
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(12)
+    starred = lambda: " ".join(w + "***" for w in prose(rng, 100).split())
+    rows = [(i, prose(rng, rng.randint(80, 200)), "en", "big") for i in range(150)]
+    rows += [(200, starred(), "en", "one"), (201, prose(rng, 100), "en", "other"), (202, starred(), "xx", "one"), (203, prose(rng, 100), None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
+    assert kept & {200, 201, 202, 203} == {201, 203} and len(kept) >= 150
