@@ -3,14 +3,16 @@
 A text's bytes, padded to a multiple of 64, are the samples of an 8-bit grey image, 64 wide.
 Its samples are cut into chunks where a rolling gear hash (of the last 32 bytes) has its top
 bits clear, so that a cut depends on the content near it alone. A chunk is known by its
-SHA-256. Every occurrence is a small row; for each digest the least document id owns the
-chunk, and a join with the owners leaves one payload of each, which goes to the store. Payloads
-are packed and shuffled once, by digest and document, so that a chunk which stands everywhere
-is spread over all tasks. A manifest holds each document's ordered list of chunks.
+SHA-256. Every occurrence is a small row; for each digest the least document id (and of its
+texts the one of least digest) owns the chunk. Media are packed and shuffled once, by digest
+and document, to meet the chunks they own; these go to the store as one pack of each medium,
+so each chunk is stored once. A manifest holds each document's ordered list of chunks. Packs
+are compressed with a dictionary that is made from some of the texts and stored beside them.
 
-Read back, a chunk must have the digest it is known by. What is a whole medium is measured
-as it is read; others get their chunks by a join on digests and are put together a medium at a
-time, once for all documents that share it, and must have the digest they were stored under.
+Read back, a chunk must have the digest it is known by. A pack that is a whole medium is
+measured as it is read; other media get their chunks by a join on digests, to which packs give
+only chunks that such media may hold, and are put together a medium at a time, once for all
+documents that share it. All must have the digest they were stored under.
 
 Nulls, ties and the like: a null text is empty, and an empty one is 64 zero bytes. Equal texts
 have equal chunks and values. Rows that repeat get a row each. Null ids are kept: a chunk that
@@ -20,10 +22,11 @@ input are not read.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -37,8 +40,10 @@ from lattica.plans.cut import cut, shared_dir
 WIDTH = 64
 #: Bytes in a chunk: the least, and the bits of the hash that must be clear for a cut (so
 #: that cuts are 2^bits apart on average), and the most.
-LEAST, CUT_BITS, MOST = 32 << 10, 15, 256 << 10
+LEAST, CUT_BITS, MOST = 512, 10, 8 << 10
 LEVEL = 9
+#: Size of the dictionary, and the texts it is made from and bytes taken of each, at most.
+DICTIONARY, SAMPLES, SAMPLE_BYTES = 64 << 10, 1500, 8 << 10
 
 
 def gear() -> np.ndarray:
@@ -124,8 +129,26 @@ def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
 
 
+def dictionary_of(rows: DataFrame) -> bytes:
+    """A zstd dictionary from some texts; empty where they are too few."""
+    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(5)) == 0).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(SAMPLES)
+    try:
+        return zstandard.train_dictionary(DICTIONARY, [bytes(r["text"]) for r in some.collect()]).as_bytes()
+    except (zstandard.ZstdError, ValueError):
+        return b""
+
+
+@functools.lru_cache(4)
+def codec(dictionary: bytes) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
+    """Compress and decompress."""
+    known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
+    if known:
+        known.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known).compress, zstandard.ZstdDecompressor(dict_data=known).decompress
+
+
 def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``path``/manifest and ``path``/chunks."""
+    """Write ``path``/manifest, ``path``/dictionary and ``path``/chunks."""
 
     def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -138,20 +161,39 @@ def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "t
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "key", "digests"])
 
     def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress = zstandard.ZstdCompressor(level=LEVEL).compress
+        compress, _ = codec(dictionary)
         for batch in batches:
-            made = [(d, hashlib.sha256(c).digest(), compress(c)) for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for c in chunks(payload_of(text))]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate((pa.int64(), pa.binary(), pa.binary()))], names=["doc_id", "digest", "packed"])
+            payloads = [payload_of(text) for text in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()), pa.array([compress(p) for p in payloads], pa.binary())], names=["doc_id", "key", "packed"])
+
+    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, decompress = codec(dictionary)
+        kinds = (pa.binary(), pa.bool_(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
+        for batch in batches:
+            made = []
+            for key, pack, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                parts, flags, kept = chunks(decompress(pack)), {x["digest"]: x["shared"] for x in own}, []
+                for c in parts:
+                    if (shared := flags.pop(d := hashlib.sha256(c).digest(), None)) is not None:
+                        kept.append((d, len(c), shared, c))
+                whole = len(kept) == len(parts)
+                made.append((key, whole, [x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept], pack if whole else compress(b"".join(x[3] for x in kept))))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], names=["key", "whole", "digests", "sizes", "shared", "packed"])
 
     rows = _texts(docs, id_col, text_col)
+    dictionary = dictionary_of(rows)
+    docs.sparkSession.createDataFrame([(dictionary,)], "dictionary binary").write.mode("overwrite").parquet(f"{path}/dictionary")
     rows.mapInArrow(listed, "doc_id long, n_bytes long, key binary, digests array<binary>").write.mode("overwrite").parquet(f"{path}/manifest")
     manifest = docs.sparkSession.read.parquet(f"{path}/manifest")
-    uses = manifest.select("doc_id", (F.size("digests") == 1).alias("whole"), F.explode("digests").alias("digest"))
-    owners = uses.groupBy("digest").agg(F.min("doc_id").alias("owner"), F.max("whole").alias("whole"), F.max(~F.col("whole")).alias("shared"))
+    uses = manifest.select("doc_id", "key", F.explode(F.array_distinct("digests")).alias("digest"))
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
+    owners = uses.groupBy("digest").agg(least.alias("o"), (F.min("key") != F.max("key")).alias("shared"))
     # A null id is any other number here, so that the sums and the join share one shuffle.
-    known = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63)))
-    every = rows.mapInArrow(packed, "doc_id long, digest binary, packed binary").select("digest", known("doc_id").alias("owner"), "packed").groupBy("digest", "owner").agg(F.first("packed").alias("packed"))
-    kept = every.join(owners.withColumn("owner", known("owner")), ["digest", "owner"]).select("digest", "packed", "whole", "shared")
+    known = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("owner")
+    owned = owners.groupBy(F.col("o.key").alias("key"), known("o.doc_id")).agg(F.collect_list(F.struct("digest", "shared")).alias("own"))
+    every = rows.mapInArrow(packed, "doc_id long, key binary, packed binary").select("key", known("doc_id"), "packed").groupBy("key", "owner").agg(F.first("packed").alias("packed"))
+    kept = every.join(owned, ["key", "owner"]).select("key", "packed", "own")
+    kept = kept.mapInArrow(filled, "key binary, whole boolean, digests array<binary>, sizes array<long>, shared array<boolean>, packed binary")
     kept.write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
 
 
@@ -159,30 +201,48 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
     """What is measured on the stored bytes, a row for each distinct medium."""
     found = spark.read.parquet(f"{path}/chunks")
     manifest = spark.read.parquet(f"{path}/manifest")
+    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
 
-    def opened(digest: bytes, packed: bytes) -> bytes:
-        chunk = zstandard.ZstdDecompressor().decompress(packed)
+    def checked(digest: bytes, chunk: bytes) -> bytes:
         if hashlib.sha256(chunk).digest() != digest:
             raise ValueError(f"stored chunk {digest.hex()} is damaged")
         return chunk
 
+    def opened(pack: bytes, digests: list[bytes], sizes: list[int]) -> list[bytes]:
+        ends = np.cumsum(sizes).tolist()
+        return [checked(d, pack[end - n : end]) for d, n, end in zip(digests, sizes, ends, strict=True)]
+
+    def fact(key: bytes, payload: bytes) -> tuple[bytes, tuple]:
+        if hashlib.sha256(payload).digest() != key:
+            raise ValueError(f"medium {key.hex()} can't be put together")
+        return key, measured(payload)
+
     def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, decompress = codec(dictionary)
         for batch in batches:
-            rows = [(d, measured(opened(d, p))) for d, p in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_pydict(_facts(rows))
+            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
+            yield pa.RecordBatch.from_pydict(_facts([fact(key, b"".join(opened(decompress(p), d, n))) for key, d, n, p in rows]))
+
+    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        compress, decompress = codec(dictionary)
+        for batch in batches:
+            made = []
+            for whole, digests, sizes, shared, p in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+                parts = opened(decompress(p), digests, sizes)
+                made += [(d, compress(c)) for d, c, s in zip(digests, parts, shared, strict=True) if s or not whole]
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.binary()) for i in (0, 1)], names=["digest", "packed"])
 
     def rebuilt(part: pa.Table) -> pa.Table:
+        _, decompress = codec(dictionary)
         part = part.sort_by("place")
-        key = part.column("key")[0].as_py()
-        payload = b"".join(opened(d, p) for d, p in zip(part.column("digest").to_pylist(), part.column("packed").to_pylist(), strict=True))
-        if hashlib.sha256(payload).digest() != key:
-            raise ValueError(f"medium {key.hex()} can't be put together")
-        return pa.table(_facts([(key, measured(payload))]))
+        payload = b"".join(checked(d, decompress(p)) for d, p in zip(part.column("digest").to_pylist(), part.column("packed").to_pylist(), strict=True))
+        return pa.table(_facts([fact(part.column("key")[0].as_py(), payload)]))
 
-    alone = found.where("whole").select("digest", "packed").mapInArrow(single, FACTS)
-    lists = manifest.where(F.size("digests") > 1).groupBy("key").agg(F.first("digests").alias("digests"))
+    alone = found.where("whole").select("key", "digests", "sizes", "packed").mapInArrow(single, FACTS)
+    lists = manifest.groupBy("key").agg(F.first("digests").alias("digests")).join(found.where("whole").select("key"), "key", "left_anti")
     parts = lists.select("key", F.posexplode("digests").alias("place", "digest"))
-    joined = parts.join(found.where("shared").select("digest", "packed"), "digest").select("key", "place", "digest", "packed")
+    some = found.where(~F.col("whole") | F.exists("shared", lambda x: x)).select("whole", "digests", "sizes", "shared", "packed").mapInArrow(loose, "digest binary, packed binary")
+    joined = parts.join(some, "digest").select("key", "place", "digest", "packed")
     return alone.unionByName(joined.groupBy("key").applyInArrow(rebuilt, FACTS))
 
 

@@ -461,3 +461,25 @@ def test_quality_small_groups_use_whole_language(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     kept = {r["doc_id"] for r in quality.keep_good(docs).collect()}
     assert kept & {200, 201, 202, 203} == {201, 203} and len(kept) >= 150
+
+
+def test_media_documents_share_chunks(spark, tmp_path):
+    """Ordinary documents with a long passage in common, or one edit apart, share stored chunks."""
+    import random
+
+    rng = random.Random(21)
+    words = lambda n: " ".join("".join(rng.choice("abcdefghiklmnoprstuw") for _ in range(rng.randint(2, 9))) for _ in range(n))
+    passage = words(900)
+    texts = [words(100) + " " + passage, words(37) + " " + passage + " " + words(50), passage, passage.replace(" ", "  ", 1), passage, *(words(400) for _ in range(40)), passage[:3000] * 4]
+    ids = [*range(len(texts) - 1), None]
+    spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    path = f"{tmp_path}/store"
+    media.store(spark.read.parquet(f"{tmp_path}/documents.parquet"), path)
+    lists = {r["doc_id"]: [bytes(d) for d in r["digests"]] for r in spark.read.parquet(f"{path}/manifest").collect()}
+    for a, b in itertools.combinations(range(4), 2):
+        assert set(lists[a]) & set(lists[b])
+    stored = [(bytes(d), n) for r in spark.read.parquet(f"{path}/chunks").collect() for d, n in zip(r["digests"], r["sizes"], strict=True)]
+    assert len({d for d, _ in stored}) == len(stored) and {d for d, _ in stored} == {d for x in lists.values() for d in x}
+    assert sum(n for _, n in stored) < sum(len(media.payload_of(t.encode())) for t in texts) - 3 * len(passage) // 2
+    got_sha = {r["doc_id"]: r["payload_sha256"] for r in media.op7_media_chunks(spark, str(tmp_path)).collect()}
+    assert got_sha == {i: hashlib.sha256(media.payload_of(t.encode())).hexdigest() for i, t in zip(ids, texts, strict=True)}
