@@ -1,8 +1,7 @@
 """Packing documents into batches by optimal length buckets.
 
-The histogram of lengths over all documents is brought to the driver (lengths are rounded up
-to a resolution that grows with them, so that it has a few thousand rows at most, however long
-the longest text). Dynamic programming then chooses at most ``buckets`` upper bounds so that
+The exact histogram of lengths over all documents is brought to the driver, a row for each
+distinct length. Dynamic programming then chooses at most ``buckets`` upper bounds so that
 the padding of all documents up to their bound is least; the cost has the quadrangle
 inequality, so each row of the table is filled by divide and conquer. A bucket's batches hold
 as many documents as fit the token budget at its bound, one at least.
@@ -26,8 +25,6 @@ from lattica.plans.cut import cut
 
 BUCKETS = 16
 BUDGET = 16_384
-#: Lengths up to this are exact; beyond, they are rounded up to this many steps an octave.
-EXACT = 2048
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -36,13 +33,6 @@ def tokens(text_col: str = "text") -> Column:
     return (F.size(F.array_remove(F.split(F.coalesce(F.col(text_col), F.lit("")), SPACE), "")) + 1).cast("long")
 
 
-def rounded(length: Column) -> Column:
-    """``length``, rounded up to a multiple of a power of two so that an octave has EXACT / 2 steps."""
-    octave = F.greatest(F.ceil(F.log2(length.cast("double") / EXACT)), F.lit(0)).cast("int")
-    step = F.pow(F.lit(2.0), octave).cast("long")
-    return F.when(length <= EXACT, length).otherwise((F.ceil(length / step) * step).cast("long"))
-
-
 def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     """Upper bounds, at most ``buckets``, of least total padding for a histogram in ascending order."""
     m = len(lengths)
@@ -91,7 +81,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col:
     """
     sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("n_tokens"), F.xxhash64(id_col, text_col).alias("order"))
     sized = cut(sized)
-    rows = sized.groupBy(rounded(F.col("n_tokens")).alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
+    rows = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
     lengths, counts = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
     tops = bounds(lengths, counts, buckets)
     top = F.array(*(F.lit(x).cast("long") for x in tops)) if tops else F.array().cast("array<bigint>")

@@ -483,3 +483,11 @@ def test_media_documents_share_chunks(spark, tmp_path):
     assert sum(n for _, n in stored) < sum(len(media.payload_of(t.encode())) for t in texts) - 3 * len(passage) // 2
     got_sha = {r["doc_id"]: r["payload_sha256"] for r in media.op7_media_chunks(spark, str(tmp_path)).collect()}
     assert got_sha == {i: hashlib.sha256(media.payload_of(t.encode())).hexdigest() for i, t in zip(ids, texts, strict=True)}
+
+
+def test_packing_long_texts_are_exact(spark):
+    """A bucket is as long as its longest document, beyond 2048 words too."""
+    docs = spark.createDataFrame([(n, "w " * n) for n in (2051, 2053, 4099, 4101, 9001, 20001)], "doc_id long, text string")
+    assert {r["doc_id"]: r["padding"] for r in packing.pack(docs).collect()} == dict.fromkeys((2051, 2053, 4099, 4101, 9001, 20001), 0)
+    tops = {r["bucket_len"] for r in packing.pack(docs, buckets=2).collect()}
+    assert tops == {4102, 20002} or tops == {9002, 20002}
