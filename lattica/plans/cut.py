@@ -14,26 +14,36 @@ _OWN: dict[str, str] = {}
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset (tests, a
-    laptop) a temporary folder of this process stands in.
+    It is the cluster's ``spark.checkpoint.dir``. Only where that is unset and Spark runs in
+    this process (tests, a laptop) a temporary folder stands in; a cluster must name one.
     """
-    there = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    context = spark.sparkContext
+    there = context.getConf().get("spark.checkpoint.dir")
     if there:
         return there.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _OWN:
-        _OWN[app] = tempfile.mkdtemp(prefix="lattica-")
-        atexit.register(shutil.rmtree, _OWN[app], True)
-    return _OWN[app]
+    if not context.master.startswith("local[") and context.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    if context.applicationId not in _OWN:
+        _OWN[context.applicationId] = tempfile.mkdtemp(prefix="lattica-")
+        atexit.register(shutil.rmtree, _OWN[context.applicationId], True)
+    return _OWN[context.applicationId]
 
 
 def cut(df: DataFrame) -> DataFrame:
     """``df``, computed once and kept in the shared folder; its lineage ends there.
 
-    The copy survives lost executors, since it does not live on them.
+    The copy survives lost executors, since it does not live on them. Spark removes it when
+    nothing refers to it any more, where ``spark.cleaner.referenceTracking.cleanCheckpoints``
+    is on.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         context.setCheckpointDir(shared_dir(spark))
     return df.checkpoint(eager=True)
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Remove a folder that a job made and needs no more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
