@@ -320,42 +320,50 @@ def test_media(spark, sf, rows):
 
 
 def test_lm(spark, sf, rows, monkeypatch):
+    """Every token's probability by the formula, from counts over all training texts."""
     monkeypatch.setattr(lm, "BLOCK_BYTES", 20_000)
-    monkeypatch.setattr(lm, "BUCKET_KEYS", 500)
+    monkeypatch.setattr(lm, "BUCKET_BYTES", 30_000)
     texts = [(d, SPACES.findall(lower(t)) + ["</s> end"]) for d, t, *_ in rows]
     held = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7 == 2
-    uni, bi, ctx = collections.Counter(), collections.Counter(), collections.Counter()
+    c = collections.Counter()
     for d, w in texts:
         if not held(d):
-            uni.update(w)
-            before = ["<s>", *w[:-1]]
-            ctx.update(before)
-            bi.update(zip(before, w, strict=True))
-    n, v = sum(uni.values()), len(uni)
+            c.update((x,) for x in ["<s>", *w])
+            c.update(zip(["<s>", *w[:-1]], w, strict=True))
+            c.update(zip(["<s>", *w], w, w[1:], strict=False))
+    n = sum(k for g, k in c.items() if len(g) == 1 and g != ("<s>",))
+    v = sum(len(g) == 1 and g != ("<s>",) for g in c)
+
+    def p(gram):
+        if len(gram) == 1:
+            return (c[gram] + 1) / (n + v + 1)
+        k = lm.PRIORS[len(gram) - 2]
+        return (c[gram] + k * p(gram[1:])) / (c[gram[:-1]] + k)
+
     want = []
     for d, w in texts:
-        p = [(uni[x] + 1) / (n + v + 1) for x in w]
-        s = sum(math.log10((bi[a, x] + lm.PRIOR * q) / (ctx[a] + lm.PRIOR)) for a, x, q in zip(["<s>", *w[:-1]], w, p, strict=True))
-        want.append((-1 if d is None else d, held(d), len(w), sum(uni[x] > 0 for x in w), n, round(sum(map(math.log10, p)), 6), round(s, 6)))
-    out = [(-1 if r[0] is None else r[0], *r[1:5], round(r[5], 6), round(r[6], 6)) for r in lm.op8_lm_score(spark, sf).collect()]
-    key = lambda x: x
-    for a, b in zip(sorted(out, key=key), sorted(want, key=key), strict=True):
-        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=2e-5)
+        full = ["<s>", *w]
+        s = sum(math.log10(p(tuple(full[max(0, i - 2) : i + 1]))) for i in range(1, len(full)))
+        want.append((-1 if d is None else d, held(d), len(w), sum(c[x,] > 0 for x in w), n, sum(math.log10(p((x,))) for x in w), s))
+    out = [(-1 if r[0] is None else r[0], *r[1:]) for r in lm.op8_lm_score(spark, sf).collect()]
+    for a, b in zip(sorted(out), sorted(want), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], abs=1e-6)
 
 
 def test_lm_is_normalised():
-    """The arcs and failure arcs of a state give all words and the unknown one probability 1."""
-    block = lm.Block([b"a b a c", b"b a", b"d d d a"], np.array([True, True, True]))
-    words, arcs = block.counts[: block.size], block.counts[block.size :]
-    seen = [w for w in range(1, block.size)]
-    n, v, k = sum(words[1:]), len(seen), lm.PRIOR
-    for u in [0, *range(2, block.size)]:  # nothing follows the end
-        total = 0.0
-        for x in [*seen, None]:
-            p = ((words[x] if x else 0) + 1) / (n + v + 1)
-            c = arcs[(block.first == u) & (block.second == x)].sum() if x else 0
-            total += (c + k * p) / (words[u] + k)
-        assert total == pytest.approx(1)
+    """From each state all words and the unknown one weigh 1 together, failures included."""
+    trains = np.array([True, True, True, True, False])
+    block = lm.Block(*lm.numbered([b"a b a c", b"b a", b"d d d a", b"", b"a b unknown"]), trains)
+    block.triples()
+    n, v = block.word_counts[1:].sum(), (block.word_counts[1:] > 0).sum()
+    automaton = lm.Automaton(block, block.word_counts, block.pair_counts, block.triple_counts, n, v, (2.0, 3.0))
+    states = [0, 1 + lm.START, *(1 + np.flatnonzero(block.word_counts[2:] > 0) + 2), *(1 + block.size + np.flatnonzero((block.pair_counts > 0) & (block.right != lm.END)))]
+    tokens = np.arange(1, block.size)
+    assert len(states) > 8
+    for s in states:
+        onto, weight = automaton.step(np.full(len(tokens), s), tokens)
+        assert (10**weight).sum() == pytest.approx(1)
+    assert automaton.step(np.array([1 + lm.START]), np.array([block.size - 1]))[0] == [0]  # the unknown word leads to the root
 
 
 def test_mixing(spark, sf, rows):
