@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,6 +44,13 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder: its lineage ends there, and later readers take the columns they need."""
+    path = f"{shared_dir(df.sparkSession)}/lattica_table_{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Remove a folder that a job made and needs no more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
