@@ -34,6 +34,16 @@ def apart(df: DataFrame, condition: Column) -> DataFrame:
     return df.withColumn("_so", F.explode(F.array(condition))).where("_so").drop("_so")
 
 
+def nested(docs: DataFrame) -> DataFrame:
+    """``docs`` as the one column ``_doc``, so that no name made beside it can clash with the caller's."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_doc"))
+
+
+def flat(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The columns of ``_doc`` again, those in ``new`` anew."""
+    return df.select(*(new.get(c, F.col("_doc").getField(c)).alias(c) for c in columns))
+
+
 def shards_for(rows: int, rows_per_shard: int) -> int:
     """A power of two, so that a shard is the top bits of a hash."""
     return 1 << max(0, math.ceil(math.log2(max(1, rows / rows_per_shard))))
