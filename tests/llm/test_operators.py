@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from lattica.llm import html_text, license, lm, media, mixing, packing, pii, quality, queries, simhash, token_files
 from lattica.plans.cut import shared_dir
@@ -85,6 +86,49 @@ def test_pii_bootstrap_and_masks(spark):
     assert all(out[100 + i]["text"] == rows[60 + i][1] for i in range(10))
 
 
+def test_pii_bootstrap_has_generations(spark):
+    """A cue that stands beside seeds finds values, which teach a cue of their own, of any length, beside no seed."""
+    cue = "kartennummernverzeichniseintragung:"
+    bad = [x for x in map(str, range(1234567890123456, 1234567890123900)) if not valid("card", x)]
+    rows = [(i, f"w{i} card no {4111111111111111 if i % 4 else bad[i]} x{i} words") for i in range(40)]
+    rows += [(100 + i, f"y{i} see {cue} {bad[i]} z{i}") for i in range(0, 40, 4)]
+    rows += [(200 + i, f"q{i} see {cue}\n{bad[100 + i]} z{i}") for i in range(3)]
+    rows += [(300, f"beside nothing known {bad[150]} at all"), (301, f"q see {cue} KX-77-Q p")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+    assert all("<CARD>" in out[i] and "<CARD>" in out[100 + i // 4 * 4] for i in range(40))
+    assert all("<CARD>" in out[200 + i] for i in range(3))
+    assert out[300] == rows[-2][1] and out[301] == f"q see {cue} <CARD> p"
+
+
+def test_pii_repetition_is_no_evidence(spark):
+    for n in (3, 200):
+        rows = [(i, f"meet me at 10.0.0.{i} or at home, at noon") for i in range(30)] + [(100 + i, f"release at 1.2.3.999 number {i}") for i in range(n)]
+        docs = spark.createDataFrame(rows, "doc_id long, text string")
+        out = {r["doc_id"]: r["text"] for r in pii.redact(docs).collect()}
+        assert all(out[100 + i] == rows[30 + i][1] for i in range(n)) and "<IP>" in out[3]
+
+
+def test_pii_masks_the_union(spark):
+    texts = ["+1 234 567 8901@example.com", "to +1 234 567 8901@example.com.4.5.6 end", "10.0.0.1 a@b.co,c@d.eu"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = [r["text"] for r in pii.redact(docs).orderBy("doc_id").collect()]
+    assert out == ["<PHONE>", "to <PHONE> end", "<IP> <EMAIL>,<EMAIL>"]
+
+
+def test_internal_names_do_not_clash(spark, rows):
+    """Columns of the caller with the names that stages use inside come through unchanged."""
+    from lattica.llm.mixing import repeated
+
+    names = ["_text", "_words", "_x0", "_epoch", "_h", "h", "_key", "_base", "_all", "_so", "_order", "_block", "_source", "_kept", "_doc", "_distance", "root", "fp", "_lang", "_n"]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").select("*", *(F.lit(f"{n} of the caller").alias(n) for n in names))
+    for stage in (pii.redact, quality.keep_good, simhash.keep_one, repeated):
+        out = stage(docs)
+        assert out.columns == docs.columns
+        found = out.select(*(f"`{n}`" for n in names)).distinct().collect()
+        assert [list(r) for r in found] == [[f"{n} of the caller" for n in names]], stage
+
+
 def counts(t):
     t = t or ""
     w = SPACES.findall(t)
@@ -95,36 +139,14 @@ def counts(t):
     return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(held), len(lines)
 
 
-def mcd(x):
-    """The same concentration steps over plain arrays, from the same start."""
-    n, d, w = len(x), quality.DIM, np.array(quality.WIDTHS)
-
-    def mark(col, q):
-        b = np.sort(np.floor(col * 256))
-        return (b[min(n - 1, math.ceil(q * n - 1e-9) - 1)] + 0.5) / 256
-
-    m = np.array([mark(x[:, i], 0.5) for i in range(d)])
-    s = np.array([(mark(x[:, i], 0.75) - mark(x[:, i], 0.25)) / 1.349 for i in range(d)])
-    cov = np.diag(s**2 + w**2)
-    before = None
-    for _ in range(quality.STEPS):
-        y = x - m
-        d2 = np.einsum("ij,jk,ik->i", y, np.linalg.inv(cov), y)
-        bins = np.floor(32 * np.log1p(d2))
-        order = sorted(set(bins))
-        taken, ahead = np.zeros(n, bool), 0
-        for b in order:
-            if ahead < quality.SUPPORT * n:
-                taken |= bins == b
-            ahead += int((bins == b).sum())
-        near = x[taken]
-        m = near.mean(axis=0)
-        cov = quality.CONSISTENCY * (near.T @ near / len(near) - np.outer(m, m)) + np.diag(w**2)
-        now = 0.5 * np.linalg.slogdet(cov)[1]
-        if before is not None and abs(now - before) <= 1e-12:
-            break
-        before = now
-    return m, cov
+def mcd(x, h):
+    """Of all subsets of ``h`` rows the one whose regularised scatter has the least determinant."""
+    w = np.diag(np.array(quality.WIDTHS) ** 2)
+    subsets = np.array(list(itertools.combinations(range(len(x)), h)))
+    m = x[subsets].mean(axis=1)
+    cov = quality.CONSISTENCY * (np.einsum("shi,shj->sij", x[subsets], x[subsets]) / h - m[:, :, None] * m[:, None, :]) + w
+    best = np.argmin(np.linalg.slogdet(cov)[1])
+    return m[best], cov[best]
 
 
 def test_quality(spark, sf, rows):
@@ -144,35 +166,37 @@ def test_quality(spark, sf, rows):
 
 
 def test_quality_matches_brute_force(spark):
+    """Centre, scatter and verdicts against an exhaustive search over subsets, in groups of 16."""
     import random
 
+    from lattica.plans.cut import cut
     from tests.llm.conftest import prose
 
     rng = random.Random(11)
-    rows = []
-    for i in range(130):
-        t = prose(rng, rng.randint(60, 200))
-        if i % 12 == 0:
-            t = " ".join(x + "#&" for x in t.split())
-        rows.append((i, t, "en", "s"))
-    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    stats = quality.with_vector(quality.with_stats(docs))
-    from lattica.plans.cut import cut
-
-    stats = cut(stats)
-    judged = {r["doc_id"]: r for r in quality.judge(stats, quality.fit(stats)).collect()}
-    x, ids = [], []
-    for d, t, *_ in rows:
-        n, c, s, dl, rw, nl = counts(t)
-        if not (n < 50 or 100 * rw > 50 * n):
-            ids.append(d)
+    for bad in (0, 2, 4):
+        rows = []
+        for i in range(16):
+            t = "\n".join(prose(rng, rng.randint(30, 60)) for _ in range(3))
+            if i < bad:
+                t = " ".join(x + "#&" for x in t.split())
+            elif i % 3 == 0:
+                t += " a#b & c"
+            rows.append((i, t, "en", "s"))
+        stats = cut(quality.with_vector(quality.with_stats(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"))))
+        fitted = quality.fit(stats)
+        judged = {r["doc_id"]: r for r in quality.judge(stats, fitted).collect()}
+        x = []
+        for _, t, *_ in rows:
+            n, c, s, dl, rw, nl = counts(t)
             x.append([math.sqrt(s / c), math.log(c / n), math.sqrt(dl / nl), math.sqrt(rw / n)])
-    x = np.array(x)
-    m, cov = mcd(x)
-    d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
-    for d, v in zip(ids, d2, strict=True):
-        assert judged[d]["_distance"] == pytest.approx(v, rel=1e-6, abs=1e-9)
-        assert judged[d]["_kept"] == (v <= quality.chi2_cut(quality.TAIL, 4))
+        x = np.array(x)
+        m, cov = mcd(x, 12)
+        size = fitted[1].first()["_size"]
+        assert size <= 0.5 * np.linalg.slogdet(cov)[1] + 0.05
+        d2 = np.einsum("ij,jk,ik->i", x - m, np.linalg.inv(cov), x - m)
+        for i, v in enumerate(d2):
+            assert judged[i]["_distance"] == pytest.approx(v, rel=0.35, abs=0.5)
+            assert judged[i]["_kept"] == (v <= quality.chi2_cut(quality.TAIL, 4)) == (i >= bad)
 
 
 def test_token_files(spark, sf, rows):
@@ -313,10 +337,44 @@ def test_media(spark, sf, rows):
     out = media.op7_media_chunks(spark, sf).select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     assert got(out.drop("feature")) == want
     assert len({(r["payload_sha256"], r["feature"]) for r in out.collect()}) == len({r["payload_sha256"] for r in out.collect()})
-    long = np.random.default_rng(0).integers(0, 256, 1 << 20, np.uint8).tobytes()
-    cuts = media.chunks(long)
-    assert b"".join(cuts) == long and len(cuts) > 8 and all(media.LEAST <= len(c) <= media.MOST for c in cuts[:-1])
-    assert len(set(media.chunks(b"x" * 77 + long)) & set(cuts)) > len(cuts) // 2
+
+
+def test_media_feature():
+    """Features against plain sums over samples."""
+    payload = media.payload_of("élan vital, 12 times".encode() * 12)
+    n = len(payload)
+    mean = sum(payload) / n
+    spread = math.sqrt(sum((x - mean) ** 2 for x in payload) / n)
+    entropy = -sum(k / n * math.log2(k / n) for k in collections.Counter(payload).values())
+    edge = sum(abs(a - b) for a, b in zip(payload, payload[1:], strict=False)) / (n - 1)
+    assert media.measured(payload)[-1] == f"mean={mean:.6f};std={spread:.6f};entropy={entropy:.6f};edge={edge:.6f}"
+
+
+def scalar_chunks(payload):
+    """A byte at a time, with the gear hash shifted in 32 bits."""
+    gear, out, at, h = media.gear().tolist(), [], 0, 0
+    for i, x in enumerate(payload):
+        h = (2 * h + gear[x]) & 0xFFFFFFFF
+        if (i + 1 - at >= media.LEAST and h >> (32 - media.CUT_BITS) == 0) or i + 1 - at == media.MOST or i + 1 == len(payload):
+            out.append(payload[at : i + 1])
+            at = i + 1
+    return out
+
+
+def test_media_chunks():
+    import random
+
+    from tests.llm.conftest import prose
+
+    rng = random.Random(6)
+    long = np.random.default_rng(0).integers(0, 256, 1 << 18, np.uint8).tobytes()
+    text = media.payload_of(prose(rng, 3300).encode()[:20_000])
+    for payload in (long, text, b"x" * 70_000, text[:64], text[:320]):
+        assert media.chunks(payload) == scalar_chunks(payload)
+    cuts = media.chunks(text)
+    assert len(cuts) > 8 and all(media.LEAST <= len(c) <= media.MOST for c in cuts[:-1])
+    changed = media.chunks(media.payload_of(text[:9000] + b"!" + text[9000:]))
+    assert len(set(changed) & set(cuts)) >= len(cuts) - 3
 
 
 def test_lm(spark, sf, rows, monkeypatch):
@@ -481,9 +539,9 @@ def test_media_documents_share_chunks(spark, tmp_path):
     texts = [words(100) + " " + passage, words(37) + " " + passage + " " + words(50), passage, passage.replace(" ", "  ", 1), passage, *(words(400) for _ in range(40)), passage[:3000] * 4]
     ids = [*range(len(texts) - 1), None]
     spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    path = f"{tmp_path}/store"
+    path = f"{tmp_path}/passages_store"
     media.store(spark.read.parquet(f"{tmp_path}/documents.parquet"), path)
-    lists = {r["doc_id"]: [bytes(d) for d in r["digests"]] for r in spark.read.parquet(f"{path}/manifest").collect()}
+    lists = {i: [bytes(d) for d in x] for r in spark.read.parquet(f"{path}/chunks").collect() for i, x in zip(r["doc_ids"], r["lists"], strict=True)}
     for a, b in itertools.combinations(range(4), 2):
         assert set(lists[a]) & set(lists[b])
     stored = [(bytes(d), n) for r in spark.read.parquet(f"{path}/chunks").collect() for d, n in zip(r["digests"], r["sizes"], strict=True)]
