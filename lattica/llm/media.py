@@ -3,47 +3,50 @@
 A text's bytes, padded to a multiple of 64, are the samples of an 8-bit grey image, 64 wide.
 Its samples are cut into chunks where a rolling gear hash (of the last 32 bytes) has its top
 bits clear, so that a cut depends on the content near it alone. A chunk is known by its
-SHA-256. Every occurrence is a small row; for each digest the least document id (and of its
-texts the one of least digest) owns the chunk. Media are packed and shuffled once, by digest
-and document, to meet the chunks they own; these go to the store as one pack of each medium,
-so each chunk is stored once. A manifest holds each document's ordered list of chunks. Packs
-are compressed with a dictionary that is made from some of the texts and stored beside them.
-
-Read back, a chunk must have the digest it is known by. A pack that is a whole medium is
-measured as it is read; other media get their chunks by a join on digests, to which packs give
-only chunks that such media may hold, and are put together a medium at a time, once for all
-documents that share it. All must have the digest they were stored under.
+SHA-256.
+
+A task packs the texts that it scans into blocks of bounded size, in a table bucketed by block,
+so that later steps read payloads where they are and only digests are shuffled. Each block
+lists its distinct digests; for each digest the least block that holds it owns the chunk. A
+block is then written anew, with its documents' ordered lists of digests and, in one compressed
+pack, the chunks that it owns. So each chunk is stored once. Read back, a block's own chunks are
+at hand; the digests that it lacks are joined with the blocks that own them, which give each
+wanted chunk once. Every chunk must have the digest it is known by, and every medium that is
+put together from its list the digest it was stored under; a block measures a medium once,
+however many of its documents share it.
 
 Nulls, ties and the like: a null text is empty, and an empty one is 64 zero bytes. Equal texts
-have equal chunks and values. Rows that repeat get a row each. Null ids are kept: a chunk that
-only such rows have is owned by null. An empty table makes empty tables. Other columns of the
-input are not read.
+have equal chunks and values. Rows that repeat get a row each, and null ids are kept. A text
+longer than a block is a block of its own. An empty table makes empty tables. Other columns of
+the input are not read.
 """
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
-from lattica.plans.cut import cut, shared_dir
+from lattica.plans.cut import cut, discard, shared_dir
 
 WIDTH = 64
 #: Bytes in a chunk: the least, and the bits of the hash that must be clear for a cut (so
 #: that cuts are 2^bits apart on average), and the most.
-LEAST, CUT_BITS, MOST = 512, 10, 8 << 10
-LEVEL = 9
-#: Size of the dictionary, and the texts it is made from and bytes taken of each, at most.
-DICTIONARY, SAMPLES, SAMPLE_BYTES = 64 << 10, 1500, 8 << 10
+LEAST, CUT_BITS, MOST = 256, 10, 8 << 10
+#: Bytes of text in a block, about, the zstd level of its pack, and the most files that blocks are dealt to.
+BLOCK_BYTES, LEVEL, MOST_FILES = 8 << 20, 9, 50_000
+STAGED = "block long, doc_ids array<long>, n_bytes array<long>, pack binary"
+STORED = "block long, doc_ids array<long>, n_bytes array<long>, keys array<binary>, lists array<array<binary>>, digests array<binary>, sizes array<long>, pack binary"
+FACTS = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def gear() -> np.ndarray:
@@ -115,141 +118,149 @@ def measured(payload: bytes) -> tuple:
     )
 
 
-FACTS = "key binary, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+def _pack(parts: list[bytes]) -> bytes:
+    return zstandard.ZstdCompressor(level=LEVEL).compress(b"".join(parts))
 
 
-def _facts(rows: list[tuple[bytes, tuple]]) -> dict[str, pa.Array]:
-    kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-    names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
-    columns = list(zip(*(m for _, m in rows), strict=True)) or [()] * 6
-    return {"key": pa.array([k for k, _ in rows], pa.binary())} | {n: pa.array(c, t) for n, c, t in zip(names, columns, kinds, strict=True)}
+def _unpack(pack: bytes, sizes: list[int]) -> list[bytes]:
+    whole = memoryview(zstandard.ZstdDecompressor().decompress(pack))
+    ends = np.cumsum(sizes, dtype=np.int64).tolist()
+    return [bytes(whole[end - n : end]) for n, end in zip(sizes, ends, strict=True)]
 
 
-def _texts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+def _digest(data: bytes) -> bytes:
+    return hashlib.sha256(data).digest()
 
 
-def dictionary_of(rows: DataFrame) -> bytes:
-    """A zstd dictionary from some texts; empty where they are too few."""
-    some = rows.where(F.pmod(F.xxhash64("text"), F.lit(5)) == 0).select(F.substring("text", 1, SAMPLE_BYTES).alias("text")).limit(SAMPLES)
-    try:
-        return zstandard.train_dictionary(DICTIONARY, [bytes(r["text"]) for r in some.collect()]).as_bytes()
-    except (zstandard.ZstdError, ValueError):
-        return b""
+def _save(df: DataFrame, files: int, path: str, part: str) -> DataFrame:
+    """``df`` as a table in files by block; read by name, it needs no shuffle to meet others by block."""
+    name = f"{path.rsplit('/', 1)[1]}_{part}".replace("-", "_")
+    df.write.mode("overwrite").bucketBy(files, "block").option("path", f"{path}/{part}").option("compression", "none").saveAsTable(name)
+    return df.sparkSession.table(name)
 
 
-@functools.lru_cache(4)
-def codec(dictionary: bytes) -> tuple[Callable[[bytes], bytes], Callable[[bytes], bytes]]:
-    """Compress and decompress."""
-    known = zstandard.ZstdCompressionDict(dictionary) if dictionary else None
-    if known:
-        known.precompute_compress(level=LEVEL)
-    return zstandard.ZstdCompressor(level=LEVEL, dict_data=known).compress, zstandard.ZstdDecompressor(dict_data=known).decompress
+def _opened(spark: SparkSession, path: str, part: str) -> DataFrame:
+    name = f"{path.rsplit('/', 1)[1]}_{part}".replace("-", "_")
+    return spark.table(name) if spark.catalog.tableExists(name) else spark.read.parquet(f"{path}/{part}")
 
 
-def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write ``path``/manifest, ``path``/dictionary and ``path``/chunks."""
+def _dropped(spark: SparkSession, path: str, part: str) -> None:
+    spark.sql(f"DROP TABLE IF EXISTS {path.rsplit('/', 1)[1]}_{part}".replace("-", "_"))
+    discard(spark, f"{path}/{part}")
 
-    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sizes, keys, lists = [], [], []
-            for text in batch.column(1).to_pylist():
-                payload = payload_of(text)
-                sizes.append(len(text))
-                keys.append(hashlib.sha256(payload).digest())
-                lists.append([hashlib.sha256(c).digest() for c in chunks(payload)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(lists, pa.list_(pa.binary()))], names=["doc_id", "n_bytes", "key", "digests"])
-
-    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress, _ = codec(dictionary)
+
+def staged(docs: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, int]:
+    """Texts in blocks, as they are scanned, and the number of files for them."""
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+
+    def block(number: int, ids: list, texts: list[bytes]) -> pa.RecordBatch:
+        columns = [pa.array([number]), pa.array([ids], pa.list_(pa.int64())), pa.array([list(map(len, texts))], pa.list_(pa.int64())), pa.array([_pack(texts)], pa.binary())]
+        return pa.RecordBatch.from_arrays(columns, names=["block", "doc_ids", "n_bytes", "pack"])
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, held, ids, texts = TaskContext.get().partitionId() << 32, 0, [], []
         for batch in batches:
-            payloads = [payload_of(text) for text in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([hashlib.sha256(p).digest() for p in payloads], pa.binary()), pa.array([compress(p) for p in payloads], pa.binary())], names=["doc_id", "key", "packed"])
+            for i, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if texts and held + len(text) > BLOCK_BYTES:
+                    yield block(number, ids, texts)
+                    number, held, ids, texts = number + 1, 0, [], []
+                ids.append(i)
+                texts.append(text)
+                held += len(text)
+        if texts:
+            yield block(number, ids, texts)
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.encode(text, "UTF-8").alias("text"))
+    return rows.mapInArrow(dealt, STAGED), min(MOST_FILES, max(1, -(-size // BLOCK_BYTES)))
+
+
+def _cut_up(pack: bytes, n_bytes: list[int]) -> tuple[list[bytes], list[list[bytes]], dict[bytes, bytes]]:
+    """Of a block's payloads: their digests, their lists of digests, and its distinct chunks in order."""
+    keys, lists, held = [], [], {}
+    for text in _unpack(pack, n_bytes):
+        payload = payload_of(text)
+        parts = [(_digest(c), c) for c in chunks(payload)]
+        keys.append(_digest(payload))
+        lists.append([d for d, _ in parts])
+        held.update(parts)
+    return keys, lists, held
+
 
-    def filled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress, decompress = codec(dictionary)
-        kinds = (pa.binary(), pa.bool_(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary())
+def store(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Write the table ``path``/chunks: a row a block, with its documents' lists and the chunks that it owns."""
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = []
-            for key, pack, own in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                parts, flags, kept = chunks(decompress(pack)), {x["digest"]: x["shared"] for x in own}, []
-                for c in parts:
-                    if (shared := flags.pop(d := hashlib.sha256(c).digest(), None)) is not None:
-                        kept.append((d, len(c), shared, c))
-                whole = len(kept) == len(parts)
-                made.append((key, whole, [x[0] for x in kept], [x[1] for x in kept], [x[2] for x in kept], pack if whole else compress(b"".join(x[3] for x in kept))))
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], t) for i, t in enumerate(kinds)], names=["key", "whole", "digests", "sizes", "shared", "packed"])
-
-    rows = _texts(docs, id_col, text_col)
-    dictionary = dictionary_of(rows)
-    docs.sparkSession.createDataFrame([(dictionary,)], "dictionary binary").write.mode("overwrite").parquet(f"{path}/dictionary")
-    rows.mapInArrow(listed, "doc_id long, n_bytes long, key binary, digests array<binary>").write.mode("overwrite").parquet(f"{path}/manifest")
-    manifest = docs.sparkSession.read.parquet(f"{path}/manifest")
-    uses = manifest.select("doc_id", "key", F.explode(F.array_distinct("digests")).alias("digest"))
-    least = F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "key"))
-    owners = uses.groupBy("digest").agg(least.alias("o"), (F.min("key") != F.max("key")).alias("shared"))
-    # A null id is any other number here, so that the sums and the join share one shuffle.
-    known = lambda c: F.coalesce(F.col(c), F.lit(-(1 << 63))).alias("owner")
-    owned = owners.groupBy(F.col("o.key").alias("key"), known("o.doc_id")).agg(F.collect_list(F.struct("digest", "shared")).alias("own"))
-    every = rows.mapInArrow(packed, "doc_id long, key binary, packed binary").select("key", known("doc_id"), "packed").groupBy("key", "owner").agg(F.first("packed").alias("packed"))
-    kept = every.join(owned, ["key", "owner"]).select("key", "packed", "own")
-    kept = kept.mapInArrow(filled, "key binary, whole boolean, digests array<binary>, sizes array<long>, shared array<boolean>, packed binary")
-    kept.write.mode("overwrite").option("compression", "none").parquet(f"{path}/chunks")
+            for number, sizes, pack in zip(*(batch.column(c).to_pylist() for c in ("block", "n_bytes", "pack")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array([number]), pa.array([list(_cut_up(pack, sizes)[2])], pa.list_(pa.binary()))], names=["block", "digests"])
+
+    def filled(part: pa.Table, owned: pa.Table) -> pa.Table:
+        number, ids, sizes, pack = (part.column(c)[0].as_py() for c in ("block", "doc_ids", "n_bytes", "pack"))
+        keys, lists, held = _cut_up(pack, sizes)
+        own = list(held.items())
+        own = [own[p] for p in sorted(owned.column("places")[0].as_py())] if owned.num_rows else []
+        made = (number, ids, sizes, keys, lists, [d for d, _ in own], [len(c) for _, c in own], _pack([c for _, c in own]))
+        kinds = (pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.binary()), pa.list_(pa.list_(pa.binary())), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.binary())
+        names = [x.split()[0] for x in STORED.split(", ")]
+        return pa.table({n: pa.array([v], t) for n, v, t in zip(names, made, kinds, strict=True)})
+
+    rows, files = staged(docs, id_col, text_col)
+    blocks = _save(rows, files, path, "staged")
+    each = blocks.select("block", "n_bytes", "pack").mapInArrow(listed, "block long, digests array<binary>").select("block", F.posexplode("digests").alias("place", "digest"))
+    owners = each.groupBy("digest").agg(F.min(F.struct("block", "place")).alias("o"))
+    owned = owners.groupBy(F.col("o.block").alias("block")).agg(F.collect_list("o.place").alias("places"))
+    _save(blocks.groupBy("block").cogroup(owned.groupBy("block")).applyInArrow(filled, STORED), files, path, "chunks")
+    _dropped(docs.sparkSession, path, "staged")
 
 
 def facts(spark: SparkSession, path: str) -> DataFrame:
-    """What is measured on the stored bytes, a row for each distinct medium."""
-    found = spark.read.parquet(f"{path}/chunks")
-    manifest = spark.read.parquet(f"{path}/manifest")
-    dictionary = bytes(spark.read.parquet(f"{path}/dictionary").first()["dictionary"])
+    """What is measured on the stored bytes, a row for each document."""
+    found = _opened(spark, path, "chunks")
 
     def checked(digest: bytes, chunk: bytes) -> bytes:
-        if hashlib.sha256(chunk).digest() != digest:
+        if _digest(chunk) != digest:
             raise ValueError(f"stored chunk {digest.hex()} is damaged")
         return chunk
 
-    def opened(pack: bytes, digests: list[bytes], sizes: list[int]) -> list[bytes]:
-        ends = np.cumsum(sizes).tolist()
-        return [checked(d, pack[end - n : end]) for d, n, end in zip(digests, sizes, ends, strict=True)]
-
-    def fact(key: bytes, payload: bytes) -> tuple[bytes, tuple]:
-        if hashlib.sha256(payload).digest() != key:
-            raise ValueError(f"medium {key.hex()} can't be put together")
-        return key, measured(payload)
-
-    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        _, decompress = codec(dictionary)
-        for batch in batches:
-            rows = zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True)
-            yield pa.RecordBatch.from_pydict(_facts([fact(key, b"".join(opened(decompress(p), d, n))) for key, d, n, p in rows]))
-
-    def loose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        compress, decompress = codec(dictionary)
-        for batch in batches:
-            made = []
-            for whole, digests, sizes, shared, p in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-                parts = opened(decompress(p), digests, sizes)
-                made += [(d, compress(c)) for d, c, s in zip(digests, parts, shared, strict=True) if s or not whole]
-            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in made], pa.binary()) for i in (0, 1)], names=["digest", "packed"])
-
-    def rebuilt(part: pa.Table) -> pa.Table:
-        _, decompress = codec(dictionary)
-        part = part.sort_by("place")
-        payload = b"".join(checked(d, decompress(p)) for d, p in zip(part.column("digest").to_pylist(), part.column("packed").to_pylist(), strict=True))
-        return pa.table(_facts([fact(part.column("key")[0].as_py(), payload)]))
-
-    alone = found.where("whole").select("key", "digests", "sizes", "packed").mapInArrow(single, FACTS)
-    lists = manifest.groupBy("key").agg(F.first("digests").alias("digests")).join(found.where("whole").select("key"), "key", "left_anti")
-    parts = lists.select("key", F.posexplode("digests").alias("place", "digest"))
-    some = found.where(~F.col("whole") | F.exists("shared", lambda x: x)).select("whole", "digests", "sizes", "shared", "packed").mapInArrow(loose, "digest binary, packed binary")
-    joined = parts.join(some, "digest").select("key", "place", "digest", "packed")
-    return alone.unionByName(joined.groupBy("key").applyInArrow(rebuilt, FACTS))
+    def own(part: pa.Table) -> dict[bytes, bytes]:
+        digests, sizes, pack = (part.column(c)[0].as_py() for c in ("digests", "sizes", "pack"))
+        return {d: checked(d, c) for d, c in zip(digests, _unpack(pack, sizes), strict=True)}
+
+    def given(part: pa.Table, wanted: pa.Table) -> pa.Table:
+        held = own(part) if wanted.num_rows else {}
+        digests = wanted.column("digests")[0].as_py() if wanted.num_rows else []
+        return pa.table({"digest": pa.array(digests, pa.binary()), "chunk": pa.array([zstandard.compress(held[d]) for d in digests], pa.binary())})
+
+    def measure(part: pa.Table, lent: pa.Table) -> pa.Table:
+        held, known, out = own(part), {}, []
+        for d, c in zip(lent.column("digest").to_pylist(), lent.column("chunk").to_pylist(), strict=True):
+            held[d] = checked(d, zstandard.decompress(c))
+        for i, n, key, digests in zip(*(part.column(c)[0].as_py() for c in ("doc_ids", "n_bytes", "keys", "lists")), strict=True):
+            if key not in known:
+                payload = b"".join(held[d] for d in digests)
+                if _digest(payload) != key:
+                    raise ValueError(f"medium {key.hex()} can't be put together")
+                known[key] = measured(payload)
+            out.append((i, n, *known[key]))
+        kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+        names = [x.split()[0] for x in FACTS.split(", ")]
+        return pa.table({n: pa.array(v, t) for n, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
+
+    lacking = F.array_except(F.array_distinct(F.flatten("lists")), "digests")
+    lacks = cut(found.select("block", F.explode(lacking).alias("digest")))
+    owners = found.select(F.col("block").alias("owner"), F.explode("digests").alias("digest"))
+    wanted = owners.join(lacks.select("digest").distinct(), "digest").groupBy(F.col("owner").alias("block")).agg(F.collect_list("digest").alias("digests"))
+    supply = found.select("block", "digests", "sizes", "pack").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(given, "digest binary, chunk binary")
+    lent = lacks.join(supply, "digest").select("block", "digest", "chunk")
+    return found.groupBy("block").cogroup(lent.groupBy("block")).applyInArrow(measure, FACTS)
 
 
 def op7_media_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's text as a stored medium, measured on what is read back."""
-    path = f"{shared_dir(spark)}/lattica-media-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/lattica_media_{uuid.uuid4().hex}"
     store(table(spark, sf_dir, "documents"), path)
     known = cut(facts(spark, path))
-    manifest = spark.read.parquet(f"{path}/manifest").select("doc_id", "n_bytes", "key")
-    return manifest.join(known, "key").drop("key")
+    _dropped(spark, path, "chunks")
+    discard(spark, path)
+    return known
