@@ -5,8 +5,9 @@ words of the text, whatever lines it spans, since notices are mostly wrapped. A
 template if it holds at least ``threshold`` of the template's distinct words. The join is exact: words are put in one
 global order, rarest in the corpus first; a template of ``n`` words that must share ``k`` with
 a block has one of its first ``n - k + 1`` words in it (prefix filter), the block needs ``k``
-distinct words at least (length filter), and a first shared word at place ``p`` leaves
-``n - p`` words to share at most (positional filter). Whatever passes is counted out. A text's
+of the templates' words at least (length filter), and if the first shared word is at place
+``p`` of the template and ``q`` of the block's ``m`` such words, in the same order, no more than
+``min(n - p, m - q)`` words can be shared (positional filter). Whatever passes is counted out. A text's
 blocks are looked into only for templates that the text as a whole holds enough of.
 
 The frequencies are those of the templates' words over all documents. The templates are a
@@ -46,6 +47,7 @@ TEMPLATES = {
     "gpl-notice": "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation",
     "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
     "mit": "released under the mit license",
+    "mit-text": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit-notice": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files the software to deal in the software without restriction",
     "mpl": "this source code form is subject to the terms of the mozilla public license v 2.0",
 }
@@ -99,16 +101,17 @@ class Index:
 
     def matches(self, block: set[bytes]) -> dict[str, float]:
         """Containment by label, of the templates that ``block`` holds enough of."""
-        best: dict[int, int] = {}
-        for word in self.prefix & block:
-            for which, place in self.lists[word]:
-                best[which] = min(place, best.get(which, place))
+        ordered = sorted(block & self.rank.keys(), key=self.rank.__getitem__)
+        passed: dict[int, bool] = {}
+        for q, word in enumerate(ordered):
+            for which, place in self.lists.get(word, ()):
+                if which not in passed:
+                    _, own, need = self.sets[which]
+                    passed[which] = min(len(own) - place, len(ordered) - q) >= need
         found: dict[str, float] = {}
-        for which, place in best.items():
+        for which, open_still in passed.items():
             label, own, need = self.sets[which]
-            if len(block) < need or len(own) - place < need:
-                continue
-            if (share := len(own & block)) >= need:
+            if open_still and (share := len(own & block)) >= need:
                 found[label] = share / len(own)
         return found
 
