@@ -3,7 +3,9 @@
 A page is read into blocks: runs of text between the tags that break lines. A linear
 classifier gives each block its cost of being content or boilerplate, from where it stands in
 the DOM, its links, length and punctuation; the costs are the capacities from the source and to
-the sink. Blocks that follow each other are joined by edges that weaken with their distance in
+the sink. An element whose tag or names tell of a page's furniture speaks against what it
+holds, unless its names also tell of content, or it holds the page's first heading, or its main
+part, with half of the text, as wrappers do. Blocks that follow each other are joined by edges that weaken with their distance in
 the DOM, and so are a block and the last one under the same parent, wherever it stands. The
 minimum cut is the labelling of least total cost, and the blocks on the source's side are the
 main text. A block whose own cost outweighs all its edges has its label in every minimum cut; such
@@ -14,14 +16,16 @@ Each page is a row's work, nothing is shuffled. No labelled pages exist to train
 classifier's weights are parameters.
 
 Nulls, ties and the like: a null page is empty, as is one without content. Tags may be open,
-wrong or cut off; a comment or script that never ends takes the rest. A line break in a block
-is white space. If both labels cost the same, a block is boilerplate. Rows that repeat get a
+wrong or cut off; a comment or script that never ends takes the rest. What is hidden by an
+attribute is no text. White space is what Unicode calls so, no-break spaces and line breaks in
+a block included. If both labels cost the same, a block is boilerplate. Rows that repeat get a
 row each; an empty table gives an empty result; other columns of the input are not read.
 """
 
 from __future__ import annotations
 
 import html
+import itertools
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -42,15 +46,16 @@ BREAKS = frozenset("address article aside blockquote body caption center dd deta
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 CONTENT = frozenset(["article", "main"])
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Parts of a class, id or role that name a page's furniture.
+#: Parts of a class, id or role that name a page's furniture, and those that name its content.
 FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split())
-
-#: Ancestors that a block remembers.
-KEPT_PATH = 12
+NAMED_CONTENT = frozenset("article body content entry main page post story text wrapper".split())
+#: Share of a page's text from which an element with its heading or main part is a wrapper.
+WRAPS = 0.5
 
 _TAG = re.compile(r"<!--(?:>|->)|<!--.*?(?:--!?>|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']|\"[^\"]*+\"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)", re.S)
 _NAMES = re.compile(r"""(?:^|[\s"'/])(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _PARTS = re.compile(r"[a-z]+|[A-Z][a-z]*")
+_UNSEEN = re.compile(r"""(?:^|[\s"'/])(?:hidden(?=[\s=/]|$)(?!\s*=\s*["']?until-found)|aria-hidden\s*=\s*["']?true|style\s*=\s*(?:"[^"]*?|'[^']*?|)(?:display\s*:\s*none|visibility\s*:\s*hidden))""", re.I)
 
 
 @dataclass(frozen=True)
@@ -76,33 +81,76 @@ class Weights:
 class Part:
     """A block: its pieces of text and what is known of its place."""
 
-    path: tuple[int, ...]
-    depth: int
+    node: int
     content: bool
-    furniture: bool
-    heading: bool
+    heading: int
     item: bool
+    furniture: bool = False
     pieces: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
 
 
+@dataclass
+class Mark:
+    """An element that tells of furniture, and the blocks in it."""
+
+    name: str
+    first: int
+    last: int = -1
+
+
 def _furniture(attributes: str) -> bool:
+    """Whether the names of an element tell of furniture and not of content."""
+    parts: set[str] = set()
     for match in _NAMES.finditer(attributes):
-        value = next(x for x in match.groups() if x is not None)
-        if not FURNITURE.isdisjoint(p.lower() for p in _PARTS.findall(value)):
-            return True
-    return False
+        parts.update(p.lower() for p in _PARTS.findall(next(x for x in match.groups() if x is not None)))
+    return not FURNITURE.isdisjoint(parts) and NAMED_CONTENT.isdisjoint(parts)
+
+
+class Tree:
+    """Parents and depths of the elements that break lines."""
+
+    def __init__(self) -> None:
+        self.up, self.depth = [-1], [0]
 
+    def add(self, parent: int) -> int:
+        self.up.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        return len(self.up) - 1
 
-def blocks(page: str) -> list[Part]:
-    """The blocks of text that a reader would see, in page order."""
-    # name, path, is it hidden, in content, in furniture, a heading, an item, a link, depth
-    stack: list[tuple] = [("", (0,), False, False, False, False, False, False, 0)]
+    def apart(self, a: int, b: int) -> int:
+        """Steps from one element to the other."""
+        steps = 0
+        while a != b:
+            if self.depth[a] >= self.depth[b]:
+                a = self.up[a]
+            else:
+                b = self.up[b]
+            steps += 1
+        return steps
+
+
+def _wraps(mark: Mark, texts: list[int], heads: list[int], mains: list[int], articles: list[int]) -> bool:
+    """Whether an element holds the page's main part with all around it."""
+    share = texts[mark.last] - texts[mark.first]
+    has = lambda firsts: any(mark.first <= i < mark.last for i in firsts)
+    holds = heads[mark.last] > heads[mark.first] or has(mains) or mark.name in CONTENT or mark.name == "form" and has(articles)
+    return holds and share >= WRAPS * texts[-1]
+
+
+def blocks(page: str) -> tuple[list[Part], Tree]:
+    """The blocks of text that a reader would see, in page order, and the tree they stand in."""
+    # name, node, is it hidden, in content, its mark, level of heading, an item, a link
+    stack: list[tuple] = [("", 0, False, False, None, 0, False, False)]
     is_open: Counter[str] = Counter()
     made: list[Part] = []
+    marks: list[Mark] = []
+    mains: list[int] = []
+    articles: list[int] = []
+    tree = Tree()
     now: Part | None = None
-    number, at, size = 0, 0, len(page)
+    at, size = 0, len(page)
 
     def text(piece: str) -> None:
         nonlocal now
@@ -112,14 +160,17 @@ def blocks(page: str) -> list[Part]:
         if now is None:
             if piece.isspace():
                 return
-            now = Part(top[1], top[8], top[3], top[4], top[5], top[6])
+            now = Part(top[1], top[3], top[5], top[6])
             made.append(now)
         now.pieces.append(piece)
         if top[7]:
             now.linked += len(piece)
 
     def cut(i: int) -> None:
-        is_open.subtract(x[0] for x in stack[i:])
+        for x in stack[i:]:
+            is_open[x[0]] -= 1
+            if x[4]:
+                x[4].last = len(made)
         del stack[i:]
 
     def close(names: tuple[str, ...]) -> None:
@@ -163,49 +214,56 @@ def blocks(page: str) -> list[Part]:
             cut(last)
         if name in ITEMS:
             close(ITEMS[name])
-        number += 1
         top = stack[-1]
         inside = top[3] or name in CONTENT
-        odd = top[4] or name in BOILER or name == "header" and not inside or bool(attributes) and name not in ("html", "body") and _furniture(attributes)
+        mark = None
+        if name in BOILER or name == "header" and not inside or bool(attributes) and name not in ("html", "body") and _furniture(attributes):
+            mark = Mark(name, len(made))
+            marks.append(mark)
+        elif name in CONTENT:
+            (mains if name == "main" else articles).append(len(made))
         is_open[name] += 1
-        path, depth = ((*top[1], number)[-KEPT_PATH:], top[8] + 1) if name in BREAKS else (top[1], top[8])
-        stack.append((name, path, top[2] or name in HIDDEN, inside, odd, len(name) == 2 and name[0] == "h" and name[1].isdigit() or top[5], name == "li" or top[6], name == "a" or top[7], depth))
+        node = tree.add(top[1]) if name in BREAKS else top[1]
+        unseen = top[2] or name in HIDDEN or bool(attributes) and _UNSEEN.search(attributes) is not None
+        level = int(name[1]) if len(name) == 2 and name[0] == "h" and name[1].isdigit() else top[5]
+        stack.append((name, node, unseen, inside, mark, level, name == "li" or top[6], name == "a" or top[7]))
         if name in RAW:
             end = re.compile(f"</{name}(?=[\\s/>]|\\Z)", re.I).search(page, at)
             at = end.start() if end else size
+    cut(1)
     for part in made:
         part.text = " ".join("".join(part.pieces).split())
-    return [part for part in made if part.text]
+    texts = [0, *itertools.accumulate(len(p.text) for p in made)]
+    heads = [0, *itertools.accumulate(p.heading == 1 for p in made)]
+    under = [0] * (len(made) + 1)
+    for mark in marks:
+        if mark.first < mark.last and not _wraps(mark, texts, heads, mains, articles):
+            under[mark.first] += 1
+            under[mark.last] -= 1
+    for part, depth in zip(made, itertools.accumulate(under), strict=False):
+        part.furniture = depth > 0
+    return [part for part in made if part.text], tree
 
 
 def leaning(part: Part, w: Weights) -> float:
     """How much more it costs to call a block boilerplate than content."""
     text = part.text
     words = text.count(" ") + 1
-    score = w.bias + w.content * part.content + w.furniture * part.furniture + w.heading * part.heading + w.item * part.item
+    score = w.bias + w.content * part.content + w.furniture * part.furniture + w.heading * (part.heading > 0) + w.item * part.item
     score += w.links * min(1.0, part.linked / max(1, len(text))) + min(w.most_words, w.word * words)
     score += w.sentence * (text[-1] in ".!?…:") + w.rights * text.startswith(("©", "Copyright", "(c)"))
     return score
 
 
-def _apart(a: Part, b: Part) -> int:
-    """Steps between the parents in the DOM, as far as their paths are kept."""
-    other = set(b.path)
-    for up, number in enumerate(reversed(a.path)):
-        if number in other:
-            return up + b.path[::-1].index(number)
-    return 2 * KEPT_PATH
-
-
-def edges(parts: list[Part], w: Weights) -> dict[tuple[int, int], float]:
+def edges(parts: list[Part], tree: Tree, w: Weights) -> dict[tuple[int, int], float]:
     """Strength of the edges between blocks, ``(i, j)`` with i < j."""
     found: dict[tuple[int, int], float] = {}
     under: dict[int, int] = {}
     for j, part in enumerate(parts):
         scale = lambda i, part=part: w.across if parts[i].furniture != part.furniture else 1.0
         if j:
-            found[j - 1, j] = scale(j - 1) * w.near / (1 + _apart(parts[j - 1], part))
-        parent = part.path[-2] if len(part.path) > 1 else -1
+            found[j - 1, j] = scale(j - 1) * w.near / (1 + tree.apart(parts[j - 1].node, part.node))
+        parent = tree.up[part.node]
         if (i := under.get(parent)) is not None:
             found[i, j] = found.get((i, j), 0.0) + scale(i) * w.sibling
         under[parent] = j
@@ -280,8 +338,8 @@ def main_text(page: str | None, weights: Weights = Weights()) -> str:
     """The main text of a page, a line for each block."""
     if not page:
         return ""
-    parts = blocks(page)
-    kept = minimum_cut([leaning(p, weights) for p in parts], edges(parts, weights))
+    parts, tree = blocks(page)
+    kept = minimum_cut([leaning(p, weights) for p in parts], edges(parts, tree, weights))
     return "\n".join(p.text for p, k in zip(parts, kept, strict=True) if k)
 
 
