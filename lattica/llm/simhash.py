@@ -1,19 +1,23 @@
 """SimHash near-duplicates by meet-in-the-middle ball hashing.
 
 Two fingerprints at most ``2 r`` bits apart have a common variant at most ``r`` bits from
-either. So every distinct fingerprint emits its ball of radius ``r`` (65 variants for r = 1),
-the variants are shuffled, and fingerprints that meet at a variant are compared. A variant
-can have no more than 65 fingerprints around it, so no bucket is hot, whatever the data;
-copies are folded into one fingerprint before anything is emitted.
+either. So every distinct fingerprint emits its ball of radius ``r`` (65 variants for r = 1,
+2,081 for r = 2), the variants are shuffled, and fingerprints that meet at a variant are
+compared. A variant has no more fingerprints around it than its ball holds, so no bucket is
+hot, whatever the data; copies are folded into one fingerprint before anything is emitted.
+Fingerprints that many rows share are few; what is known of them is broadcast to the rows, and
+only the rest is joined by shuffle.
 
 Nulls, ties and the like: a null text is empty; an empty text has fingerprint zero, which is
 linked as any other. Rows that repeat get a row each. A null ``doc_id`` is left out of the
 minimum; where all ids of a component are null, so is ``component_id``. An empty table gives
-an empty result, other columns of the input are not read.
+an empty result. ``keep_one`` keeps one row of those that agree in id and text, and carries all
+columns, whatever their names.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,13 +26,16 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import LOWER, table
+from lattica.llm.common import LOWER, flat, nested, table
 from lattica.plans.components import components
 from lattica.plans.cut import cut
 
 BITS = 64
 #: Shingles that are voted on at a time.
 _VOTES = 1 << 15
+#: A fingerprint is common from so many rows, or this share of all, so that few are; and dropped rows that are broadcast at most.
+COMMON_ROWS, COMMON_SHARE = 1000, 0.001
+BROADCAST_ROWS = 200_000
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -63,17 +70,17 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def ball_links(fps: DataFrame, radius: int = 2) -> DataFrame:
-    """Links ``(u, v)`` between the distinct ``fp`` at most ``radius`` (1 or 2) bits apart.
+    """Links ``(u, v)`` between the distinct ``fp`` at most ``radius`` (2 or 4) bits apart.
 
     At a variant the fingerprints are put in order and each is linked to the one before it.
     Those around one variant are all within ``radius`` of each other, so this chain joins the
     same fingerprints as all their pairs would; each link is compared once more.
     """
-    half = (radius + 1) // 2
-    if half != 1:
-        raise ValueError("radius must be 1 or 2")
-    masks = F.array(F.lit(0).cast("long"), *(F.lit(1 << b if b < 63 else -(1 << 63)) for b in range(BITS)))
-    ball = fps.select("fp", F.explode(masks).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
+    if radius not in (2, 4):
+        raise ValueError("radius must be 2 or 4")
+    bits = [1 << b if b < 63 else -(1 << 63) for b in range(BITS)]
+    flips = [0, *bits, *((x ^ y for x, y in itertools.combinations(bits, 2)) if radius == 4 else ())]
+    ball = fps.select("fp", F.explode(F.array(*(F.lit(x).cast("long") for x in flips))).alias("m")).select("fp", F.col("fp").bitwiseXOR(F.col("m")).alias("variant"))
     chain = ball.withColumn("u", F.lag("fp").over(Window.partitionBy("variant").orderBy("fp")))
     close = F.bit_count(F.col("u").bitwiseXOR(F.col("fp"))) <= radius
     return chain.where(F.col("u").isNotNull() & close).select("u", F.col("fp").alias("v")).distinct()
@@ -83,13 +90,16 @@ def near_duplicates(docs: DataFrame, radius: int = 2, width: int = 3, id_col: st
     """``(doc_id, h, fp, root, component_id)``, a row for each row of ``docs``; ``root`` names
     the component by a fingerprint."""
     each = cut(fingerprints(docs, id_col, text_col, width))
-    kinds = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least")))
+    kinds = cut(each.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count("*").alias("n")))
     roots = components(ball_links(kinds.select("fp"), radius))
     linked = roots.join(kinds, roots["id"] == kinds["fp"]).select("fp", "root", "least")
     best = linked.groupBy("root").agg(F.min("least").alias("component"))
     moved = cut(linked.join(best, "root").select("fp", "root", "component"))
-    known = kinds.join(moved, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id"))
-    return each.join(known, "fp").select("doc_id", "h", "fp", "root", "component_id")
+    known = cut(kinds.join(moved, "fp", "left").select("fp", "n", F.coalesce("root", "fp").alias("root"), F.coalesce("component", "least").alias("component_id")))
+    common = F.col("n") > max(COMMON_ROWS, int(COMMON_SHARE * each.count()))
+    told = F.broadcast(known.where(common).drop("n"))
+    rest = each.join(told.select("fp"), "fp", "left_anti").join(known.where(~common).drop("n"), "fp")
+    return each.join(told, "fp").unionByName(rest).select("doc_id", "h", "fp", "root", "component_id")
 
 
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -100,11 +110,13 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, radius: int = 2, width: int = 3) -> DataFrame:
     """``docs`` with one row of each group: the one of the smallest id, and then text's hash."""
-    groups = cut(near_duplicates(docs.select("doc_id", "text"), radius, width).select("doc_id", "h", "root"))
-    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("k")).select("k.doc_id", "k.h")
-    out = docs.withColumn("_h", F.xxhash64("text"))
-    same = out["doc_id"].eqNullSafe(keep["doc_id"]) & (out["_h"] == keep["h"])
-    kept = out.join(keep, same, "left_semi")
-    if not groups.groupBy("doc_id", "h").count().where("count > 1").isEmpty():
-        kept = kept.dropDuplicates(["doc_id", "_h"])
-    return kept.drop("_h")
+    groups = cut(near_duplicates(docs.select("doc_id", "text"), radius, width).groupBy("root", "doc_id", "h").agg(F.count("*").alias("n")))
+    keep = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("k")).select(F.col("root").alias("_r"), "k.doc_id", "k.h")
+    rest = groups.select("root", F.col("doc_id").alias("_i"), F.col("h").alias("_h")).join(keep, (F.col("root") == F.col("_r")) & F.col("_i").eqNullSafe(F.col("doc_id")) & (F.col("_h") == F.col("h")), "left_anti")
+    gone = cut(rest.select("_i", "_h"))
+    out = nested(docs).withColumns({"_id": F.col("_doc.doc_id"), "_text": F.xxhash64("_doc.text")})
+    same = F.col("_id").eqNullSafe(F.col("_i")) & (F.col("_text") == F.col("_h"))
+    kept = out.join(F.broadcast(gone) if gone.count() <= BROADCAST_ROWS else gone, same, "left_anti")
+    if not groups.where("n > 1").isEmpty():
+        kept = kept.dropDuplicates(["_id", "_text"])
+    return flat(kept, docs.columns)
