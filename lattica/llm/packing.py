@@ -6,22 +6,30 @@ the padding of all documents up to their bound is least; the cost has the quadra
 inequality, so each row of the table is filled by divide and conquer. A bucket's batches hold
 as many documents as fit the token budget at its bound, one at least.
 
+Lengths are those of the documents' token ids, an end id included, by the same tokenizer as the
+token files'. The ids themselves go along where they are wanted (``with_ids``), so that a row is
+a packed sequence whatever else it stands for.
+
 A document's place in its bucket is its rank by a hash, from sums over shards of the hash
 (see ``running``); so a bucket with most of the rows is spread over as many tasks as its shards.
 
-Nulls, ties and the like: a null text has no words, and a length of 1, the end token's. Rows
+Nulls, ties and the like: a null text has the end id alone. Rows
 that repeat are each packed. Documents longer than the budget are alone in their batch. An
 empty table gives an empty result. Other columns of the input are not read.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import running, table
-from lattica.plans.cut import cut
+from lattica.llm.token_files import END, default_tokenizer, encoder
+from lattica.plans.cut import cut, written
 
 BUCKETS = 16
 BUDGET = 16_384
@@ -74,13 +82,30 @@ def bounds(lengths: np.ndarray, counts: np.ndarray, buckets: int) -> list[int]:
     return sorted(out)
 
 
-def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(doc_id, n_tokens, bucket, bucket_len, batch, slot, padding)``, a row for each row of ``docs``.
+def tokenized(docs: DataFrame, with_ids: bool, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
+    """``(doc_id, order, n_tokens[, ids])``, a row for each row of ``docs``; ``order`` is a hash of id and text."""
+    last = np.array([END], "<u4").tobytes()
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode = encoder(tokenizer)
+        for batch in batches:
+            made = [x + last for x in encode(batch.column(2).to_pylist())]
+            columns = [*batch.columns[:2], pa.array([len(x) // 4 for x in made], pa.int64())]
+            if with_ids:
+                columns.append(pa.array([np.frombuffer(x, "<i4") for x in made], pa.list_(pa.int32())))
+            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "order", "n_tokens", "ids"][: len(columns)])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(id_col, text_col).alias("order"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return rows.mapInArrow(work, "doc_id long, order long, n_tokens long" + (", ids array<int>" if with_ids else ""))
+
+
+def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, with_ids: bool = False, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(doc_id, n_tokens, bucket, bucket_len, batch, slot, padding[, ids])``, a row for each row of ``docs``.
 
     ``bucket`` counts from 0 by bound, ``batch`` from 0 in a bucket; ``slot`` is the place in the batch.
     """
-    sized = docs.select(F.col(id_col).cast("long").alias("doc_id"), tokens(text_col).alias("n_tokens"), F.xxhash64(id_col, text_col).alias("order"))
-    sized = cut(sized)
+    sized = tokenized(docs, with_ids, tokenizer or default_tokenizer(), id_col, text_col)
+    sized = written(sized) if with_ids else cut(sized)
     rows = sized.groupBy(F.col("n_tokens").alias("length")).agg(F.count("*").alias("n")).orderBy("length").collect()
     lengths, counts = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
     tops = bounds(lengths, counts, buckets)
@@ -89,7 +114,8 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, id_col:
     filed = filed.withColumn("bucket_len", F.get(top, F.col("bucket")))
     ranked = running(filed, ["bucket"], "order", ["doc_id"], {"rank": F.lit(1).cast("long")}, int(counts.sum()))
     room = F.greatest(F.floor(F.lit(budget) / F.col("bucket_len")), F.lit(1)).cast("long")
-    return ranked.select("doc_id", "n_tokens", "bucket", "bucket_len", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"))
+    more = ["ids"] if with_ids else []
+    return ranked.select("doc_id", "n_tokens", "bucket", "bucket_len", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), *more)
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
