@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline as C
-from tests.llm.test_operators import base_spans, counts, groups, prints
+from tests.llm.test_operators import base_spans, counts, groups, library, prints
 
 
 def test_stages(spark, sf, rows, tmp_path):
@@ -24,4 +24,12 @@ def test_stages(spark, sf, rows, tmp_path):
         assert not base_spans(r["text"])
     assert masked.count() == single.count() and set(r["doc_id"] for r in mixed.collect()) == set(r["doc_id"] for r in masked.collect())
     assert collections.Counter(r["doc_id"] for r in docs.collect()) == collections.Counter(r["doc_id"] for r in mixed.collect())
+    lib = library()
+    assert collections.Counter((r["doc_id"], tuple(r["ids"])) for r in docs.collect()) == collections.Counter((r["doc_id"], tuple(lib(r["text"]))) for r in mixed.collect())
     assert C.run(spark, sf).count() == docs.count()
+
+
+def test_empty_and_null_texts(spark, empty, tmp_path):
+    assert C.run(spark, empty).count() == 0
+    spark.createDataFrame([(1, None, None, None, None), (1, None, None, None, None), (2, "", "en", None, 0)], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    assert C.run(spark, str(tmp_path)).count() == 0
