@@ -2,8 +2,13 @@
 
 Each stage works on all that the one before it kept, which is written as Parquet and read
 again. Texts that fail the quality rules go; of near-duplicates one stays; personal data are
-masked; sources are repeated to their weights; what is left is packed into batches, which are
-the result.
+masked; sources are repeated to their weights; what is left is packed into batches of token ids,
+which are the result.
+
+An empty table, or one whose every text is rejected (null, empty or short ones are), makes an
+empty result. Rows that repeat are one after near-dedup, and as many as the mix sees them from
+then on; ids can be null. All stages but the last carry every column of the input, whatever its
+name; ``n_chars``, where there is one, is made anew when a text is masked.
 """
 
 from __future__ import annotations
@@ -38,7 +43,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return pack(docs)
+    return pack(docs, with_ids=True)
 
 
 STAGES = [
