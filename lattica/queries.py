@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.graph import Graph
+from lattica.graph import KARATE, Graph
 from lattica.operators import centrality as C
 from lattica.operators import coloring as K
 from lattica.operators import community as M
@@ -25,19 +25,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
 PS = "e AS (SELECT DISTINCT l_partkey AS a, l_suppkey + 1099511627776 AS b FROM lineitem), arcs AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e)"
-NT = "arcs AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*)::DOUBLE AS w FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey WHERE c_nationkey < {n} AND s_nationkey < {n} GROUP BY 1, 2)"
-HD = "e0 AS (SELECT 0 AS src, 1000 + r_regionkey AS dst FROM region UNION ALL SELECT 1000 + n_regionkey, 2000 + n_nationkey FROM nation UNION ALL SELECT 2000 + s_nationkey, 3000 + s_suppkey FROM supplier WHERE s_suppkey <= 60 UNION ALL SELECT 2000 + n_nationkey, 2001 + n_nationkey FROM nation WHERE n_nationkey < 24), e AS (SELECT src::BIGINT AS a, dst::BIGINT AS b, (1 + dst % 7)::DOUBLE AS w FROM e0)"
+_SOLD = "FROM lineitem JOIN orders ON o_orderkey = l_orderkey JOIN customer ON c_custkey = o_custkey JOIN supplier ON s_suppkey = l_suppkey"
+NT = f"arcs AS (SELECT c_nationkey::BIGINT AS src, s_nationkey::BIGINT AS dst, count(*)::DOUBLE AS w {_SOLD} GROUP BY 1, 2)"
+RT = f"arcs AS (SELECT x.n_regionkey::BIGINT AS src, y.n_regionkey::BIGINT AS dst, count(*)::DOUBLE AS w {_SOLD} JOIN nation x ON x.n_nationkey = c_nationkey JOIN nation y ON y.n_nationkey = s_nationkey GROUP BY 1, 2)"
+MT = f"mt AS (SELECT least(c_nationkey, s_nationkey)::BIGINT AS a, greatest(c_nationkey, s_nationkey)::BIGINT AS b, count(*)::DOUBLE AS w {_SOLD} WHERE c_nationkey <> s_nationkey GROUP BY 1, 2)"
+HD = "e0 AS (SELECT 0 AS src, 1000 + r_regionkey AS dst FROM region UNION ALL SELECT 1000 + n_regionkey, 2000 + n_nationkey FROM nation UNION ALL SELECT 2000 + s_nationkey, 3000 + s_suppkey FROM supplier UNION ALL SELECT 2000 + n_nationkey, 2001 + n_nationkey FROM nation WHERE n_nationkey + 1 IN (SELECT n_nationkey FROM nation)), e AS (SELECT src::BIGINT AS a, dst::BIGINT AS b, (1 + dst % 7)::DOUBLE AS w FROM e0)"
 HDIR = HD + ", arcs AS (SELECT a AS src, b AS dst, w FROM e), nodes AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs)"
 HUND = HD + ", arcs AS (SELECT a AS src, b AS dst, w FROM e UNION ALL SELECT b, a, w FROM e), nodes AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs)"
-NL = "nodes AS (SELECT n_nationkey::BIGINT AS id FROM nation WHERE n_nationkey < {n}), e AS (SELECT x.id AS a, y.id AS b FROM nodes x JOIN nodes y ON x.id < y.id WHERE (x.id * 7 + y.id * 3) % 5 < 2), arcs AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e)"
+NL = MT + ", nodes AS (SELECT n_nationkey::BIGINT AS id FROM nation), e AS (SELECT a, b FROM mt WHERE w > (SELECT avg(w) FROM mt)), arcs AS (SELECT a AS src, b AS dst FROM e UNION ALL SELECT b, a FROM e)"
 #: All pairs by hops: d (s, id, d).
 HOPS = "r AS (SELECT id AS s, id, 0 AS d FROM nodes UNION SELECT r.s, arcs.dst, r.d + 1 FROM r JOIN arcs ON arcs.src = r.id WHERE r.d < 12), d AS (SELECT s, id, min(d) AS d FROM r GROUP BY 1, 2)"
 
 
-def pp(below: int | None = None) -> str:
-    """SQL for the graph of parts in the same order."""
-    where = f" WHERE l_partkey < {below}" if below else ""
-    return f"o AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem{where}), e AS (SELECT x.p AS a, y.p AS b, count(*)::DOUBLE AS w FROM o x JOIN o y ON x.k = y.k AND x.p < y.p GROUP BY 1, 2), arcs AS (SELECT a AS src, b AS dst, w FROM e UNION ALL SELECT b, a, w FROM e), nodes AS (SELECT DISTINCT src AS id FROM arcs), deg AS (SELECT src AS id, count(*) AS k FROM arcs GROUP BY 1)"
+#: The graph of parts in the same order.
+PP = "o AS (SELECT DISTINCT l_orderkey AS k, l_partkey AS p FROM lineitem), e AS MATERIALIZED (SELECT x.p AS a, y.p AS b, count(*)::DOUBLE AS w FROM o x JOIN o y ON x.k = y.k AND x.p < y.p GROUP BY 1, 2), arcs AS MATERIALIZED (SELECT a AS src, b AS dst, w FROM e UNION ALL SELECT b, a, w FROM e), nodes AS (SELECT DISTINCT src AS id FROM arcs), deg AS MATERIALIZED (SELECT src AS id, count(*) AS k FROM arcs GROUP BY 1)"
 
 
 def query(sql: str | None = None):
@@ -79,24 +80,28 @@ def summary(spark, d):
     return rounded(G.part_supplier(spark, d).cut().summary(), "density", places=9)
 
 
-@query(f"WITH {NT.format(n=25)} SELECT src AS i, dst AS j, w AS value FROM arcs")
+@query(f"WITH {NT} SELECT src AS i, dst AS j, w AS value FROM arcs")
 def adjacency_matrix(spark, d):
     return G.nation_trade(spark, d).adjacency_matrix().select(F.col("i").cast("long").alias("i"), F.col("j").cast("long").alias("j"), "value")
 
 
-@query(f"WITH {NT.format(n=25)} SELECT src, dst, w AS weight FROM arcs WHERE NOT (src + dst = 1 AND src <> dst)")
+@query(f"WITH {NT} SELECT src, dst, w AS weight FROM arcs WHERE NOT (src + dst = 1 AND src <> dst)")
 def without_edges(spark, d):
     return G.nation_trade(spark, d).without_edges([(1, 0)]).arcs.select("src", "dst", "weight")
 
 
-@query(f"WITH {pp(300)} SELECT a AS src, b AS dst, w AS weight FROM e")
+@query(f"WITH {PP} SELECT a AS src, b AS dst, w AS weight FROM e")
 def edge_view(spark, d):
-    return G.part_graph(spark, d, 300).edges().select("src", "dst", "weight")
+    return G.part_graph(spark, d).edges().select("src", "dst", "weight")
 
 
-@query(f"WITH RECURSIVE {pp(80)}, r AS (SELECT id AS s, id FROM nodes UNION SELECT r.s, arcs.dst FROM r JOIN arcs ON arcs.src = r.id) SELECT s AS id, min(id) AS component FROM r GROUP BY 1")
+#: Least labels over so many steps, more than any shortest path has there.
+_LEAST = "r AS (SELECT id, id AS c, 0 AS i FROM nodes UNION ALL SELECT dst, min(c), any_value(i + 1) FROM r JOIN (SELECT src, dst FROM arcs UNION ALL SELECT id, id FROM nodes) ON src = r.id WHERE i < 12 GROUP BY dst)"
+
+
+@query(f"WITH RECURSIVE {PP}, {_LEAST} SELECT id, c AS component FROM r WHERE i = 12")
 def connected_components(spark, d):
-    return G.part_graph(spark, d, 80).connected_components()
+    return G.part_graph(spark, d).connected_components()
 
 
 @query(f"WITH RECURSIVE {PS}, r AS (SELECT 1::BIGINT AS id, 0::BIGINT AS d UNION SELECT dst, d + 1 FROM r JOIN arcs ON src = id WHERE d < 12) SELECT id, min(d) AS distance FROM r GROUP BY 1")
@@ -104,7 +109,11 @@ def bfs_distances(spark, d):
     return G.part_supplier(spark, d).cut().bfs_distances(1)
 
 
-@query()
+_CLUB = [(u, v) for u, vs in KARATE.items() for v in vs]
+_SEEN = list(dict.fromkeys(n for e in _CLUB for n in e))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"({u}::BIGINT, {v}::BIGINT, 1e0)" for u, v in (sorted(e, key=_SEEN.index) for e in _CLUB)) + ") t(src, dst, weight)")
 def karate_club(spark, d):
     return Graph.karate_club(spark).edges().select("src", "dst", "weight")
 
@@ -155,19 +164,19 @@ def katz_centrality(spark, d):
     return rounded(C.katz_centrality(G.hierarchy(spark, d, False), alpha=0.01, tol=1e-9), "score")
 
 
-@query(f"WITH RECURSIVE {NT.format(n=25)}, r AS (SELECT DISTINCT src AS id, 1e-3 AS h, 0e0 AS a, 0 AS i FROM arcs UNION ALL SELECT x.src, sum(x.w * y.a), any_value(z.a), any_value(y.i) FROM arcs x JOIN (SELECT dst AS id, sum(w * h) / 1e6 AS a, any_value(i + 1) AS i FROM r JOIN arcs ON src = id WHERE i < 8 GROUP BY dst) y ON y.id = x.dst JOIN (SELECT dst AS id, sum(w * h) / 1e6 AS a FROM r JOIN arcs ON src = id WHERE i < 8 GROUP BY dst) z ON z.id = x.src GROUP BY x.src) SELECT id, round(h / sqrt((SELECT sum(h * h) FROM r WHERE i = 8)), 6) AS hub, round(a / sqrt((SELECT sum(a * a) FROM r WHERE i = 8)), 6) AS authority FROM r WHERE i = 8")
+@query(f"WITH RECURSIVE {NT}, r AS (SELECT DISTINCT src AS id, 1e-3 AS h, 0e0 AS a, 0 AS i FROM arcs UNION ALL SELECT x.src, sum(x.w * y.a), any_value(z.a), any_value(y.i) FROM arcs x JOIN (SELECT dst AS id, sum(w * h) / 1e6 AS a, any_value(i + 1) AS i FROM r JOIN arcs ON src = id WHERE i < 8 GROUP BY dst) y ON y.id = x.dst JOIN (SELECT dst AS id, sum(w * h) / 1e6 AS a FROM r JOIN arcs ON src = id WHERE i < 8 GROUP BY dst) z ON z.id = x.src GROUP BY x.src) SELECT id, round(h / sqrt((SELECT sum(h * h) FROM r WHERE i = 8)), 6) AS hub, round(a / sqrt((SELECT sum(a * a) FROM r WHERE i = 8)), 6) AS authority FROM r WHERE i = 8")
 def hits(spark, d):
     return rounded(C.hits(G.nation_trade(spark, d), max_iter=8, tol=None), "hub", "authority")
 
 
-def _cores(rounds: int = 15) -> str:
+def _cores(rounds: int = 30) -> str:
     steps = "".join(f", k{i + 1} AS (SELECT c.id, least(c.core, coalesce(max(least(q.n, q.core)), 0)) AS core FROM k{i} c LEFT JOIN (SELECT arcs.src AS id, y.core, count(*) OVER (PARTITION BY arcs.src ORDER BY y.core DESC RANGE UNBOUNDED PRECEDING) AS n FROM arcs JOIN k{i} y ON y.id = arcs.dst) q USING (id) GROUP BY c.id, c.core)" for i in range(rounds))
-    return f"WITH {pp(120)}, k0 AS MATERIALIZED (SELECT id, k AS core FROM deg){steps.replace(' AS (SELECT c.id', ' AS MATERIALIZED (SELECT c.id')} SELECT id, core::BIGINT AS core FROM k{rounds}"
+    return f"WITH {PP}, k0 AS MATERIALIZED (SELECT id, k AS core FROM deg){steps.replace(' AS (SELECT c.id', ' AS MATERIALIZED (SELECT c.id')} SELECT id, core::BIGINT AS core FROM k{rounds}"
 
 
 @query(_cores())
 def core_number(spark, d):
-    return C.core_number(G.part_graph(spark, d, 120))
+    return C.core_number(G.part_graph(spark, d))
 
 
 @query()
@@ -179,11 +188,14 @@ def voterank(spark, d):
 
 
 def _pairs(spark, d) -> DataFrame:
-    p = G.read(spark, d, "part").where("p_partkey < 150").select(F.col("p_partkey").alias("u"))
-    return p.select(F.col("u").alias("pair_pos"), "u", ((F.col("u") * 7) % 150 + 1).alias("v")).where("u <> v")
+    """Every part with one other."""
+    part = G.read(spark, d, "part").select(F.col("p_partkey").alias("u"))
+    n = part.count()
+    return part.select(F.col("u").alias("pair_pos"), "u", ((F.col("u") * 7) % n + 1).alias("v")).where("u <> v")
 
 
-_PAIR = pp() + ", p AS (SELECT p_partkey AS pair_pos, p_partkey AS u, (p_partkey * 7) % 150 + 1 AS v FROM part WHERE p_partkey < 150 AND p_partkey <> (p_partkey * 7) % 150 + 1), c AS (SELECT pair_pos, x.dst AS m FROM p JOIN arcs x ON x.src = u JOIN arcs y ON y.src = v AND y.dst = x.dst WHERE x.dst <> u AND x.dst <> v)"
+_OTHER = "(p_partkey * 7) % (SELECT count(*) FROM part) + 1"
+_PAIR = PP + f", p AS (SELECT p_partkey AS pair_pos, p_partkey AS u, {_OTHER} AS v FROM part WHERE p_partkey <> {_OTHER}), c AS (SELECT pair_pos, x.dst AS m FROM p JOIN arcs x ON x.src = u JOIN arcs y ON y.src = v AND y.dst = x.dst WHERE x.dst <> u AND x.dst <> v)"
 
 
 def _pair_sql(score: str, join: str) -> str:
@@ -206,7 +218,7 @@ for _name, _f, _sql in (
     ORACLE[_name] = _sql
 
 
-@query(f"WITH RECURSIVE {NL.format(n=9)}, r AS (SELECT id AS u, id AS v, 1e0 AS x, 0 AS i FROM nodes UNION ALL SELECT u, dst, 0.05 * sum(x), any_value(i + 1) FROM r JOIN arcs ON src = v WHERE i < 40 GROUP BY u, dst, i) SELECT u * 100 + v AS pair_pos, u, v, round(sum(CASE WHEN i > 0 THEN x ELSE 0 END), 9) AS score FROM r WHERE u < v GROUP BY u, v")
+@query(f"WITH RECURSIVE {NL}, r AS (SELECT id AS u, id AS v, 1e0 AS x, 0 AS i FROM nodes UNION ALL SELECT u, dst, 0.05 * sum(x), any_value(i + 1) FROM r JOIN arcs ON src = v WHERE i < 90 GROUP BY u, dst, i) SELECT u * 100 + v AS pair_pos, u, v, round(sum(CASE WHEN i > 0 THEN x ELSE 0 END), 9) AS score FROM r WHERE u < v GROUP BY u, v")
 def katz_index(spark, d):
     g = G.nation_links(spark, d).cut()
     n = g.nodes.select("id")
@@ -216,7 +228,7 @@ def katz_index(spark, d):
 
 def _simrank(rounds: int = 5) -> str:
     steps = "".join(f", s{i + 1} AS MATERIALIZED (SELECT a.id AS u, b.id AS v, CASE WHEN a.id = b.id THEN 1e0 ELSE coalesce(0.8 * sum(s.s) / (any_value(da.k) * any_value(db.k)), 0) END AS s FROM nodes a CROSS JOIN nodes b LEFT JOIN deg da ON da.id = a.id LEFT JOIN deg db ON db.id = b.id LEFT JOIN arcs x ON x.dst = a.id LEFT JOIN arcs y ON y.dst = b.id LEFT JOIN s{i} s ON s.u = x.src AND s.v = y.src GROUP BY 1, 2)" for i in range(rounds))
-    return f"WITH {NL.format(n=9)}, deg AS (SELECT src AS id, count(*) AS k FROM arcs GROUP BY 1), s0 AS (SELECT a.id AS u, b.id AS v, (a.id = b.id)::INT::DOUBLE AS s FROM nodes a CROSS JOIN nodes b){steps} SELECT u, v, round(s, 6) AS score FROM s{rounds}"
+    return f"WITH {NL}, deg AS (SELECT src AS id, count(*) AS k FROM arcs GROUP BY 1), s0 AS (SELECT a.id AS u, b.id AS v, (a.id = b.id)::INT::DOUBLE AS s FROM nodes a CROSS JOIN nodes b){steps} SELECT u, v, round(s, 6) AS score FROM s{rounds}"
 
 
 @query(_simrank())
@@ -224,33 +236,33 @@ def simrank(spark, d):
     return rounded(S.simrank_matrix(G.nation_links(spark, d), max_iter=5, tol=0.0), "score")
 
 
-@query(f"WITH {pp(100)}, c AS (SELECT x.dst AS u, y.dst AS v, sum(1 / ln(k)) AS s FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst JOIN deg ON deg.id = x.src GROUP BY 1, 2) SELECT u, v, round(s, 6) AS score FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE a = u AND b = v) ORDER BY s DESC, u, v LIMIT 10")
+@query(f"WITH {PP}, c AS (SELECT x.dst AS u, y.dst AS v, sum(1 / ln(k)) AS s FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst JOIN deg ON deg.id = x.src GROUP BY 1, 2) SELECT u, v, round(s, 6) AS score FROM c WHERE NOT EXISTS (SELECT 1 FROM e WHERE a = u AND b = v) ORDER BY s DESC, u, v LIMIT 10")
 def predicted_links(spark, d):
-    return rounded(S.predicted_links(G.part_graph(spark, d, 100).cut()), "score")
+    return rounded(S.predicted_links(G.part_graph(spark, d).cut()), "score")
 
 
-@query("WITH s AS (SELECT l_quantity AS score, l_returnflag = 'R' AS label FROM lineitem WHERE l_orderkey < 400) SELECT round((sum((a.score > b.score)::INT) + 0.5 * sum((a.score = b.score)::INT)) / count(*), 9)::DOUBLE AS auc FROM s a JOIN s b ON a.label AND NOT b.label")
+@query("WITH s AS (SELECT l_quantity AS score, l_returnflag = 'R' AS label FROM lineitem), r AS (SELECT label, rank() OVER (ORDER BY score) + (count(*) OVER (PARTITION BY score) - 1) / 2.0 AS r FROM s), n AS (SELECT count(*) FILTER (label) AS p, count(*) FILTER (NOT label) AS q FROM s) SELECT round(((SELECT sum(r) FROM r WHERE label) - p * (p + 1) / 2.0) / (p * q), 9)::DOUBLE AS auc FROM n")
 def link_auc(spark, d):
-    s = G.read(spark, d, "lineitem").where("l_orderkey < 400").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
+    s = G.read(spark, d, "lineitem").select(F.col("l_quantity").alias("score"), (F.col("l_returnflag") == "R").cast("int").alias("label"))
     return row(spark, auc=round(S.auc(s), 9))
 
 
 # Local measures
 
 
-@query(f"WITH {pp(300)}, t AS (SELECT x.src AS id, count(*) AS t FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst JOIN e ON e.a = x.dst AND e.b = y.dst GROUP BY 1) SELECT nodes.id, coalesce(t, 0) AS triangles FROM nodes LEFT JOIN t USING (id)")
+@query(f"WITH {PP}, t AS (SELECT x.src AS id, count(*) AS t FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst JOIN e ON e.a = x.dst AND e.b = y.dst GROUP BY 1) SELECT nodes.id, coalesce(t, 0) AS triangles FROM nodes LEFT JOIN t USING (id)")
 def triangles(spark, d):
-    return L.triangles(G.part_graph(spark, d, 300))
+    return L.triangles(G.part_graph(spark, d))
 
 
-@query(f"WITH {pp()} SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
+@query(f"WITH {PP} SELECT count(*) AS triangles FROM e x JOIN e y ON x.b = y.a JOIN e z ON z.a = x.a AND z.b = y.b")
 def total_triangles(spark, d):
     return row(spark, triangles=L.total_triangles(G.part_graph(spark, d)))
 
 
-@query(f"WITH {pp(300)}, t AS (SELECT x.src AS id, count(*) AS t FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst JOIN e ON e.a = x.dst AND e.b = y.dst GROUP BY 1) SELECT deg.id, round(CASE WHEN k >= 2 THEN coalesce(t, 0) / (k * (k - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS clustering FROM deg LEFT JOIN t USING (id)")
+@query(f"WITH {PP}, t AS (SELECT x.src AS id, count(*) AS t FROM arcs x JOIN arcs y ON x.src = y.src AND x.dst < y.dst JOIN e ON e.a = x.dst AND e.b = y.dst GROUP BY 1) SELECT deg.id, round(CASE WHEN k >= 2 THEN coalesce(t, 0) / (k * (k - 1) / 2.0) ELSE 0 END, 6)::DOUBLE AS clustering FROM deg LEFT JOIN t USING (id)")
 def local_clustering(spark, d):
-    return rounded(L.local_clustering(G.part_graph(spark, d, 300)), "clustering")
+    return rounded(L.local_clustering(G.part_graph(spark, d)), "clustering")
 
 
 @query(f"WITH {PS}, deg AS (SELECT src AS id, count(*)::DOUBLE AS k FROM arcs GROUP BY 1) SELECT round(corr(x.k, y.k), 6) AS assortativity FROM arcs JOIN deg x ON x.id = src JOIN deg y ON y.id = dst")
@@ -258,26 +270,26 @@ def degree_assortativity(spark, d):
     return row(spark, assortativity=round(L.degree_assortativity(G.part_supplier(spark, d)), 6))
 
 
-@query(f"WITH {pp(100)}, ks AS (SELECT unnest(range(0, (SELECT max(k) FROM deg)))::BIGINT AS k), n AS (SELECT ks.k, count(*) AS n FROM ks JOIN deg ON deg.k > ks.k GROUP BY 1), m AS (SELECT ks.k, count(*) AS m FROM ks JOIN (SELECT least(x.k, y.k) AS low FROM e JOIN deg x ON x.id = a JOIN deg y ON y.id = b) q ON q.low > ks.k GROUP BY 1) SELECT n.k, round(2.0 * coalesce(m, 0) / (n * (n - 1)), 6)::DOUBLE AS coefficient FROM n LEFT JOIN m USING (k) WHERE n >= 2")
+@query(f"WITH {PP}, ks AS (SELECT unnest(range(0, (SELECT max(k) FROM deg)))::BIGINT AS k), n AS (SELECT ks.k, count(*) AS n FROM ks JOIN deg ON deg.k > ks.k GROUP BY 1), m AS (SELECT ks.k, count(*) AS m FROM ks JOIN (SELECT least(x.k, y.k) AS low FROM e JOIN deg x ON x.id = a JOIN deg y ON y.id = b) q ON q.low > ks.k GROUP BY 1) SELECT n.k, round(2.0 * coalesce(m, 0) / (n * (n - 1)), 6)::DOUBLE AS coefficient FROM n LEFT JOIN m USING (k) WHERE n >= 2")
 def rich_club(spark, d):
-    return rounded(L.rich_club_coefficient(G.part_graph(spark, d, 100)), "coefficient")
+    return rounded(L.rich_club_coefficient(G.part_graph(spark, d)), "coefficient")
 
 
-@query(f"""WITH {pp(100)}, tot AS (SELECT src AS i, sum(w) AS t, max(w) AS x FROM arcs GROUP BY 1), p AS (SELECT src AS i, dst AS j, w / t AS p, w / x AS m FROM arcs JOIN tot ON tot.i = src),
+@query(f"""WITH {PP}, tot AS (SELECT src AS i, sum(w) AS t, max(w) AS x FROM arcs GROUP BY 1), p AS (SELECT src AS i, dst AS j, w / t AS p, w / x AS m FROM arcs JOIN tot ON tot.i = src),
 two AS (SELECT x.i, y.j, sum(x.p * y.p) AS s FROM p x JOIN p y ON y.i = x.j AND y.j <> x.i GROUP BY 1, 2), red AS (SELECT x.i, y.i AS j, sum(x.p * y.m) AS s FROM p x JOIN p y ON y.j = x.j AND y.i <> x.i GROUP BY 1, 2),
 c AS (SELECT p.i, p.j, (p.p + coalesce(two.s, 0)) ** 2 AS c, coalesce(red.s, 0) AS r FROM p LEFT JOIN two USING (i, j) LEFT JOIN red USING (i, j)), a AS (SELECT i, count(*) AS n, sum(c) AS cc FROM c GROUP BY 1),
 h AS (SELECT c.i, any_value(n) AS n, any_value(cc) AS cc, sum(1 - r) AS size, sum(c / (cc / n) * ln(c / (cc / n))) AS s FROM c JOIN a USING (i) GROUP BY 1)
 SELECT i AS id, round(cc, 6) AS "constraint", round(size, 6) AS effective_size, round(size / n, 6) AS efficiency, CASE WHEN n > 1 THEN round(abs(s / (n * ln(n))), 6) ELSE 0 END AS hierarchy FROM h""")
 def structural_holes(spark, d):
-    return rounded(L.structural_holes(G.part_graph(spark, d, 100)).withColumn("hierarchy", F.abs("hierarchy")), "constraint", "effective_size", "efficiency", "hierarchy")
+    return rounded(L.structural_holes(G.part_graph(spark, d)).withColumn("hierarchy", F.abs("hierarchy")), "constraint", "effective_size", "efficiency", "hierarchy")
 
 
 # Communities
 
 
-@query(f"WITH {pp(300)}, m AS (SELECT sum(w) AS m FROM e), k AS (SELECT src % 7 AS part, sum(w) AS k FROM arcs GROUP BY 1), l AS (SELECT a % 7 AS part, sum(w) AS l FROM e WHERE a % 7 = b % 7 GROUP BY 1) SELECT round(sum(coalesce(l, 0) / m - (k / (2 * m)) ** 2), 9) AS modularity FROM k LEFT JOIN l USING (part), m")
+@query(f"WITH {PP}, m AS (SELECT sum(w) AS m FROM e), k AS (SELECT src % 7 AS part, sum(w) AS k FROM arcs GROUP BY 1), l AS (SELECT a % 7 AS part, sum(w) AS l FROM e WHERE a % 7 = b % 7 GROUP BY 1) SELECT round(sum(coalesce(l, 0) / m - (k / (2 * m)) ** 2), 9) AS modularity FROM k LEFT JOIN l USING (part), m")
 def modularity(spark, d):
-    g = G.part_graph(spark, d, 300).cut()
+    g = G.part_graph(spark, d).cut()
     return row(spark, modularity=round(M.modularity(g, g.nodes.select("id", (F.col("id") % 7).alias("part"))), 9))
 
 
@@ -326,41 +338,40 @@ def biconnected_components(spark, d):
     return T.biconnected_components(G.hierarchy(spark, d, False).cut())
 
 
-def _some_users(spark, d) -> Graph:
-    g = G.user_succession(spark, d)
-    return Graph.from_frame(g.arcs.where("(src * 31 + dst * 17) % 23 = 0").select("src", "dst"), True).cut()
+def _users(spark, d) -> Graph:
+    return G.user_succession(spark, d).cut()
 
 
-_USERS = "a0 AS (SELECT DISTINCT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS dst FROM events), arcs AS (SELECT src, dst FROM a0 WHERE dst IS NOT NULL AND (src * 31 + dst * 17) % 23 = 0), nodes AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs)"
+_USERS = "a0 AS (SELECT DISTINCT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS dst FROM events), arcs AS (SELECT src, dst FROM a0 WHERE dst IS NOT NULL), nodes AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs)"
 _REACH = "r AS (SELECT id AS s, id FROM nodes UNION SELECT s, dst FROM r JOIN arcs ON src = r.id), scc AS (SELECT x.s AS id, min(x.id) AS component FROM r x JOIN r y ON x.s = y.id AND x.id = y.s GROUP BY 1)"
 
 
 @query(f"WITH RECURSIVE {_USERS}, {_REACH} SELECT id, component FROM scc")
 def strongly_connected_components(spark, d):
-    return T.strongly_connected_components(_some_users(spark, d))
+    return T.strongly_connected_components(_users(spark, d))
 
 
 @query(f"WITH RECURSIVE {_USERS}, {_REACH} SELECT DISTINCT x.component AS src, y.component AS dst FROM arcs JOIN scc x ON x.id = src JOIN scc y ON y.id = dst WHERE x.component <> y.component")
 def condensation_dag(spark, d):
-    return T.condensation_dag(_some_users(spark, d))[0].arcs.select("src", "dst")
+    return T.condensation_dag(_users(spark, d))[0].arcs.select("src", "dst")
 
 
 @query(f"WITH RECURSIVE {_USERS}, {_REACH} SELECT (SELECT count(*) FROM r) = (SELECT count(*) * count(*) FROM nodes) AS strong")
 def is_strongly_connected(spark, d):
-    return row(spark, strong=T.is_strongly_connected(_some_users(spark, d)))
+    return row(spark, strong=T.is_strongly_connected(_users(spark, d)))
 
 
-_CLIQUES = f"WITH RECURSIVE {NL.format(n=14)}, c AS (SELECT [id] AS m, id AS last FROM nodes UNION ALL SELECT list_append(m, n.id), n.id FROM c JOIN nodes n ON n.id > c.last WHERE NOT EXISTS (SELECT 1 FROM unnest(c.m) t(x) WHERE NOT EXISTS (SELECT 1 FROM arcs WHERE src = t.x AND dst = n.id))), mx AS (SELECT m FROM c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE NOT list_contains(c.m, n.id) AND NOT EXISTS (SELECT 1 FROM unnest(c.m) t(x) WHERE NOT EXISTS (SELECT 1 FROM arcs WHERE src = t.x AND dst = n.id))))"
+_CLIQUES = f"WITH RECURSIVE {NL}, c AS (SELECT [id] AS m, id AS last FROM nodes UNION ALL SELECT list_append(m, n.id), n.id FROM c JOIN nodes n ON n.id > c.last WHERE NOT EXISTS (SELECT 1 FROM unnest(c.m) t(x) WHERE NOT EXISTS (SELECT 1 FROM arcs WHERE src = t.x AND dst = n.id))), mx AS (SELECT m FROM c WHERE NOT EXISTS (SELECT 1 FROM nodes n WHERE NOT list_contains(c.m, n.id) AND NOT EXISTS (SELECT 1 FROM unnest(c.m) t(x) WHERE NOT EXISTS (SELECT 1 FROM arcs WHERE src = t.x AND dst = n.id))))"
 
 
 @query(_CLIQUES + " SELECT len(m)::BIGINT AS size, array_to_string(m, ',') AS members FROM mx")
 def maximal_cliques(spark, d):
-    return T.find_cliques(G.nation_links(spark, d, 14)).select("size", F.array_join("members", ",").alias("members"))
+    return T.find_cliques(G.nation_links(spark, d)).select("size", F.array_join("members", ",").alias("members"))
 
 
 @query(_CLIQUES + " SELECT x AS id, max(len(m))::BIGINT AS size FROM mx, unnest(m) t(x) GROUP BY 1")
 def node_clique_number(spark, d):
-    return T.node_clique_number(G.nation_links(spark, d, 14))
+    return T.node_clique_number(G.nation_links(spark, d))
 
 
 _DOM = f"WITH RECURSIVE {HDIR}, reach AS (SELECT 0::BIGINT AS id UNION SELECT dst FROM reach JOIN arcs ON src = id), r AS (SELECT id AS gone, 0::BIGINT AS id FROM nodes WHERE id <> 0 UNION SELECT gone, dst FROM r JOIN arcs ON src = r.id WHERE dst <> gone), dom AS (SELECT v.id, x.id AS dominator FROM reach v JOIN reach x ON x.id = 0 OR x.id = v.id OR NOT EXISTS (SELECT 1 FROM r WHERE r.gone = x.id AND r.id = v.id)), depth AS (SELECT id, count(*) AS k FROM dom GROUP BY 1)"
@@ -381,7 +392,10 @@ def dominance_frontiers(spark, d):
     return T.dominance_frontiers(G.hierarchy(spark, d), 0)
 
 
-@query()
+_IDOM = ", idom AS (SELECT dom.id, max_by(dominator, x.k) FILTER (dominator <> dom.id) AS up FROM dom JOIN depth x ON x.id = dominator WHERE dom.id <> 0 GROUP BY 1)"
+
+
+@query(_DOM + _IDOM + " SELECT r.id, coalesce((SELECT string_agg(idom.id::VARCHAR, ',' ORDER BY idom.id) FROM idom WHERE up = r.id), '') AS children FROM reach r")
 def dominator_tree(spark, d):
     return T.dominator_tree(G.hierarchy(spark, d), 0).select("id", F.array_join("children", ",").alias("children"))
 
@@ -440,9 +454,9 @@ def distance_summary(spark, d):
     return row(spark, diameter=s["diameter"], radius=s["radius"], average=round(s["average_shortest_path_length"], 9), wiener=s["wiener_index"], efficiency=round(s["global_efficiency"], 9))
 
 
-@query(f"WITH RECURSIVE {NL.format(n=14)}, near AS (SELECT src AS ego, dst AS id FROM arcs), r AS (SELECT ego, id AS s, id, 0 AS d FROM near UNION SELECT r.ego, r.s, arcs.dst, r.d + 1 FROM r JOIN arcs ON arcs.src = r.id JOIN near ON near.ego = r.ego AND near.id = arcs.dst WHERE r.d < 13), q AS (SELECT ego, s, id, min(d) AS d FROM r GROUP BY 1, 2, 3), k AS (SELECT ego, count(*) AS k FROM near GROUP BY 1), t AS (SELECT ego, sum(1e0 / d) AS t FROM q WHERE d > 0 GROUP BY 1) SELECT nodes.id, round(CASE WHEN k > 1 THEN coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6)::DOUBLE AS efficiency FROM nodes LEFT JOIN k ON k.ego = id LEFT JOIN t ON t.ego = id")
+@query(f"WITH RECURSIVE {NL}, near AS (SELECT src AS ego, dst AS id FROM arcs), r AS (SELECT ego, id AS s, id, 0 AS d FROM near UNION SELECT r.ego, r.s, arcs.dst, r.d + 1 FROM r JOIN arcs ON arcs.src = r.id JOIN near ON near.ego = r.ego AND near.id = arcs.dst WHERE r.d < 13), q AS (SELECT ego, s, id, min(d) AS d FROM r GROUP BY 1, 2, 3), k AS (SELECT ego, count(*) AS k FROM near GROUP BY 1), t AS (SELECT ego, sum(1e0 / d) AS t FROM q WHERE d > 0 GROUP BY 1) SELECT nodes.id, round(CASE WHEN k > 1 THEN coalesce(t, 0) / (k * (k - 1)) ELSE 0 END, 6)::DOUBLE AS efficiency FROM nodes LEFT JOIN k ON k.ego = id LEFT JOIN t ON t.ego = id")
 def local_efficiency(spark, d):
-    return rounded(P.local_efficiency(G.nation_links(spark, d, 14)), "efficiency")
+    return rounded(P.local_efficiency(G.nation_links(spark, d)), "efficiency")
 
 
 @query()
@@ -514,65 +528,65 @@ def is_dag(spark, d):
 _CUT = "WITH {nt}, n AS (SELECT {n} AS n), s AS (SELECT unnest(range(0, 1 << {n})) AS s), c AS (SELECT s, sum({w}) AS c FROM s, arcs WHERE (s >> src) & 1 = 1 AND (s >> dst) & 1 = 0 GROUP BY 1)"
 
 
-@query(_CUT.format(nt=NT.format(n=9), n=9, w="w") + " SELECT min(c)::DOUBLE AS value FROM c WHERE s & 1 = 1 AND (s >> 8) & 1 = 0")
+@query(_CUT.format(nt=RT, n=5, w="w") + " SELECT min(c)::DOUBLE AS value FROM c WHERE s & 1 = 1 AND (s >> 4) & 1 = 0")
 def maximum_flow(spark, d):
-    return row(spark, value=W.maximum_flow(G.nation_trade(spark, d, 9), 0, 8).value)
+    return row(spark, value=W.maximum_flow(G.region_trade(spark, d), 0, 4).value)
 
 
-@query(_CUT.format(nt=NT.format(n=9), n=9, w="w") + " SELECT min(c)::DOUBLE AS capacity FROM c WHERE s & 1 = 1 AND (s >> 8) & 1 = 0")
+@query(_CUT.format(nt=RT, n=5, w="w") + " SELECT min(c)::DOUBLE AS capacity FROM c WHERE s & 1 = 1 AND (s >> 4) & 1 = 0")
 def minimum_cut(spark, d):
-    return row(spark, capacity=W.minimum_cut(G.nation_trade(spark, d, 9), 0, 8)[0])
+    return row(spark, capacity=W.minimum_cut(G.region_trade(spark, d), 0, 4)[0])
 
 
-@query(_CUT.format(nt=NT.format(n=9), n=9, w="1") + " SELECT min(c)::BIGINT AS connectivity FROM c WHERE s > 0 AND s < 511")
+@query(_CUT.format(nt=RT, n=5, w="1") + " SELECT min(c)::BIGINT AS connectivity FROM c WHERE s > 0 AND s < 31")
 def edge_connectivity(spark, d):
-    return row(spark, connectivity=W.edge_connectivity(G.nation_trade(spark, d, 9).cut()))
-
+    return row(spark, connectivity=W.edge_connectivity(G.region_trade(spark, d).cut()))
 
-_HALL = "WITH e AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem WHERE l_partkey < 11), l AS (SELECT DISTINCT a FROM e), s AS (SELECT unnest(range(0, 1024)) AS s), h AS (SELECT s, (SELECT count(*) FROM l WHERE (s >> (a - 1)) & 1 = 1) - (SELECT count(DISTINCT b) FROM e WHERE (s >> (a - 1)) & 1 = 1) AS d FROM s), m AS (SELECT (SELECT count(*) FROM l) - max(d) AS m FROM h)"
 
-
-@query(_HALL + " SELECT m::BIGINT AS size FROM m")
+@query()
 def bipartite_matching(spark, d):
-    return row(spark, size=W.maximum_bipartite_matching(G.part_supplier_slice(spark, d)).count())
+    g = G.part_supplier(spark, d).cut()
+    m = W.maximum_bipartite_matching(g)
+    return row(spark, size=m.count(), valid=W.is_matching(g, m))
 
 
-@query(_HALL + " SELECT ((SELECT count(*) FROM l) + (SELECT count(DISTINCT b) FROM e) - m)::BIGINT AS size FROM m")
+@query()
 def minimum_edge_cover(spark, d):
-    return row(spark, size=W.minimum_edge_cover(G.part_supplier_slice(spark, d)).count())
+    return row(spark, size=W.minimum_edge_cover(G.part_supplier(spark, d)).count())
 
 
-@query(f"WITH RECURSIVE {NL.format(n=12)}, k AS (SELECT a, b, row_number() OVER (ORDER BY a, b) AS i FROM e), r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, 0::BIGINT AS n UNION SELECT k.i, used | (1 << a) | (1 << b), n + 1 FROM r JOIN k ON k.i > r.i WHERE used & ((1 << a) | (1 << b)) = 0) SELECT max(n) AS size, true AS valid FROM r")
+@query()
 def maximum_matching(spark, d):
-    g = G.nation_links(spark, d, 12).cut()
+    g = G.nation_links(spark, d).cut()
     m = W.maximum_matching(g)
     return row(spark, size=m.count(), valid=W.is_matching(g, m))
 
 
-@query(f"WITH RECURSIVE {NT.format(n=8)}, r AS (SELECT -1::BIGINT AS i, 0::BIGINT AS used, 0e0 AS c UNION ALL SELECT src, used | (1 << dst), min(c + w) FROM r JOIN arcs ON src = i + 1 WHERE (used >> dst) & 1 = 0 GROUP BY 1, 2) SELECT min(c) AS cost FROM r WHERE i = 7")
+@query(f"WITH RECURSIVE {RT}, r AS (SELECT -1::BIGINT AS i, 0::BIGINT AS used, 0e0 AS c UNION ALL SELECT src, used | (1 << dst), min(c + w) FROM r JOIN arcs ON src = i + 1 WHERE (used >> dst) & 1 = 0 GROUP BY 1, 2) SELECT min(c) AS cost FROM r WHERE i = 4")
 def linear_sum_assignment(spark, d):
-    a = W.linear_sum_assignment(G.nation_trade(spark, d, 8).arcs.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("cost")))
+    a = W.linear_sum_assignment(G.region_trade(spark, d).arcs.select(F.col("src").alias("row"), F.col("dst").alias("col"), F.col("weight").alias("cost")))
     return a.agg(F.sum("cost").alias("cost"))
 
 
-@query(f"WITH RECURSIVE {NT.format(n=12)}, b AS (SELECT src, dst - 6 AS dst, w FROM arcs WHERE src < 6 AND dst >= 6), r AS (SELECT -1::BIGINT AS i, 0::BIGINT AS used, 0e0 AS c UNION ALL SELECT src, used | (1 << dst), max(c + w) FROM r JOIN b ON src = i + 1 WHERE (used >> dst) & 1 = 0 GROUP BY 1, 2) SELECT max(c) AS weight FROM r WHERE i = 5")
+@query(f"WITH RECURSIVE {RT}, r AS (SELECT -1::BIGINT AS i, 0::BIGINT AS used, 0e0 AS c UNION ALL SELECT src, used | (1 << dst), max(c + w) FROM r JOIN arcs ON src = i + 1 WHERE (used >> dst) & 1 = 0 GROUP BY 1, 2) SELECT max(c) AS weight FROM r WHERE i = 4")
 def weighted_bipartite_matching(spark, d):
-    arcs = G.nation_trade(spark, d, 12).arcs.where("src < 6 and dst >= 6").select("src", "dst", "weight")
-    return W.maximum_weight_bipartite_matching(Graph.from_frame(arcs), list(range(6))).agg(F.sum("weight").alias("weight"))
+    arcs = G.region_trade(spark, d).arcs.select("src", (F.col("dst") + 10).alias("dst"), "weight")
+    return W.maximum_weight_bipartite_matching(Graph.from_frame(arcs), list(range(5))).agg(F.sum("weight").alias("weight"))
 
 
 # Colouring and walks
 
 
-@query(f"WITH RECURSIVE {NL.format(n=9)}, r AS (SELECT -1::BIGINT AS i, []::BIGINT[] AS c, 0::BIGINT AS k UNION ALL SELECT i + 1, list_append(c, x), greatest(k, x + 1) FROM r, (SELECT unnest(range(0, 9)) AS x) WHERE i < 8 AND x <= k AND NOT EXISTS (SELECT 1 FROM e WHERE e.b = i + 1 AND c[e.a + 1] = x)) SELECT min(k) AS colors FROM r WHERE i = 8")
+@query()
 def chromatic_number(spark, d):
     return row(spark, colors=K.chromatic_number(G.nation_links(spark, d)))
 
 
-@query("SELECT unnest(['largest_first', 'smallest_last', 'dsatur', 'connected_sequential_bfs', 'connected_sequential_dfs', 'random_sequential']) AS strategy, true AS proper")
+@query()
 def greedy_color(spark, d):
-    g = G.part_graph(spark, d, 100).cut()
-    return spark.createDataFrame([(s, K.is_proper_coloring(g, K.greedy_color(g, s, 1))) for s in K.COLORING_STRATEGIES], "strategy string, proper boolean")
+    g = G.part_graph(spark, d).cut()
+    made = [(s, K.greedy_color(g, s, 1)) for s in K.COLORING_STRATEGIES]
+    return spark.createDataFrame([(s, c.select("color").distinct().count(), K.is_proper_coloring(g, c)) for s, c in made], "strategy string, colors long, proper boolean")
 
 
 @query()
@@ -580,21 +594,24 @@ def coloring_summary(spark, d):
     return K.coloring_summary(Graph.karate_club(spark))
 
 
-@query(f"WITH {pp(300)} SELECT id FROM deg WHERE k % 2 = 1")
+@query(f"WITH {PP} SELECT id FROM deg WHERE k % 2 = 1")
 def odd_degree_nodes(spark, d):
-    return K.odd_degree_nodes(G.part_graph(spark, d, 300).cut())
+    return K.odd_degree_nodes(G.part_graph(spark, d).cut())
 
 
-@query(f"WITH {NL.format(n=9)}, deg AS (SELECT src, count(*) % 2 AS odd FROM arcs GROUP BY 1) SELECT sum(odd) = 0 AS circuit, sum(odd) IN (0, 2) AS path FROM deg")
+@query(f"WITH {NL}, deg AS (SELECT src, count(*) % 2 AS odd FROM arcs GROUP BY 1) SELECT sum(odd) = 0 AS circuit, sum(odd) IN (0, 2) AS path FROM deg")
 def euler_flags(spark, d):
     g = G.nation_links(spark, d).cut()
     return row(spark, circuit=K.is_eulerian(g), path=K.has_eulerian_path(g))
 
 
-@query("SELECT 25::BIGINT AS steps, 25::BIGINT AS edges, true AS closed")
+@query(f"WITH {MT}, k AS (SELECT id, count(*) AS k FROM (SELECT a AS id FROM mt UNION ALL SELECT b FROM mt) GROUP BY 1) SELECT count(*) AS steps, count(*) AS edges, true AS closed FROM mt HAVING (SELECT count(*) FROM k WHERE k % 2 = 1) = 0")
 def eulerian_circuit(spark, d):
-    ring = G.read(spark, d, "nation").select(F.col("n_nationkey").alias("src"), ((F.col("n_nationkey") + 1) % 25).alias("dst"))
-    c = K.eulerian_circuit(Graph.from_frame(ring).cut())
+    """A walk over all pairs of nations that trade; no row where some nation has an odd number of partners."""
+    g = Graph.from_frame(G.mutual_trade(spark, d)).cut()
+    if not K.is_eulerian(g):
+        return spark.createDataFrame([], "steps long, edges long, closed boolean")
+    c = K.eulerian_circuit(g)
     ends = c.agg(F.min_by("src", "step").alias("a"), F.max_by("dst", "step").alias("b"), F.count("*").alias("steps"), F.countDistinct(F.least("src", "dst"), F.greatest("src", "dst")).alias("edges"))
     return ends.select("steps", "edges", (F.col("a") == F.col("b")).alias("closed"))
 
@@ -604,41 +621,44 @@ def eulerian_circuit(spark, d):
 
 def _wl(rounds: int = 2) -> str:
     steps = "".join(f", c{i + 1} AS MATERIALIZED (SELECT n.id, sha256(any_value(n.c) || '|' || string_agg(y.c, ',' ORDER BY y.c)) AS c FROM c{i} n JOIN arcs ON arcs.src = n.id JOIN c{i} y ON y.id = arcs.dst GROUP BY 1)" for i in range(rounds))
-    return f"WITH {pp(120)}, c0 AS (SELECT id, k::VARCHAR AS c FROM deg){steps} SELECT size, count(*) AS classes FROM (SELECT c, count(*) AS size FROM c{rounds} GROUP BY 1) GROUP BY 1"
+    return f"WITH {PP}, c0 AS (SELECT id, k::VARCHAR AS c FROM deg){steps} SELECT size, count(*) AS classes FROM (SELECT c, count(*) AS size FROM c{rounds} GROUP BY 1) GROUP BY 1"
 
 
 @query(_wl())
 def wl_classes(spark, d):
-    c = I.wl_colors(G.part_graph(spark, d, 120), 2)
+    c = I.wl_colors(G.part_graph(spark, d), 2)
     return c.groupBy("color").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("classes"))
 
 
 @query("SELECT true AS same, true AS hash, false AS other")
 def isomorphic(spark, d):
+    """The nations' graph, the same under other names, and the same without an edge."""
     g = G.nation_links(spark, d).cut()
-    h = Graph.from_frame(g.arcs.select(((F.col("src") * 4 + 1) % 9).alias("src"), ((F.col("dst") * 4 + 1) % 9).alias("dst")), False, g.nodes.select("id")).cut()
-    return row(spark, same=I.is_isomorphic(g, h), hash=I.wl_graph_hash(g) == I.wl_graph_hash(h), other=I.is_isomorphic(g, G.nation_links(spark, d, 8).cut()))
+    named = lambda c: (F.col(c) * 7 + 3) % 25
+    h = Graph.from_frame(g.arcs.select(named("src").alias("src"), named("dst").alias("dst")), False, g.nodes.select(named("id").alias("id"))).cut()
+    one = g.simple().orderBy("a", "b").first()
+    return row(spark, same=I.is_isomorphic(g, h), hash=I.wl_graph_hash(g) == I.wl_graph_hash(h), other=I.is_isomorphic(g, g.without_edges([(one["a"], one["b"])]).cut()))
 
 
-@query(f"WITH RECURSIVE {NL.format(n=7)}, r AS (SELECT -1::BIGINT AS i, []::BIGINT[] AS m UNION ALL SELECT i + 1, list_append(m, x) FROM r, (SELECT id AS x FROM nodes) WHERE i < 6 AND NOT list_contains(m, x) AND NOT EXISTS (SELECT 1 FROM nodes y WHERE y.id <= i AND (EXISTS (SELECT 1 FROM e WHERE a = y.id AND b = i + 1) <> EXISTS (SELECT 1 FROM arcs WHERE src = m[y.id + 1] AND dst = x)))) SELECT count(*) AS n FROM r WHERE i = 6")
+@query()
 def automorphism_count(spark, d):
-    return row(spark, n=I.automorphism_count(G.nation_links(spark, d, 7).cut()))
+    return row(spark, n=I.automorphism_count(G.nation_links(spark, d).cut()))
 
 
 @query()
 def wl_kernel(spark, d):
-    k = I.wl_subtree_kernel([G.nation_links(spark, d).cut(), G.nation_links(spark, d, 8).cut()])
+    k = I.wl_subtree_kernel([G.nation_links(spark, d).cut(), G.hierarchy(spark, d, False).cut()])
     return spark.createDataFrame([(i, j, float(k[i, j])) for i in range(2) for j in range(2)], "a long, b long, value double")
 
 
 # Tours
 
-_TOUR = f"WITH RECURSIVE {NT.format(n=8)}, r AS (SELECT 0::BIGINT AS cur, 1::BIGINT AS used, 0e0 AS c UNION ALL SELECT dst, used | (1 << dst), min(c + w) FROM r JOIN arcs ON src = cur WHERE (used >> dst) & 1 = 0 GROUP BY 1, 2) SELECT min(c + w) AS cost, true AS optimal FROM r JOIN arcs ON src = cur AND dst = 0 WHERE used = 255"
+_TOUR = f"WITH RECURSIVE {RT}, r AS (SELECT 0::BIGINT AS cur, 1::BIGINT AS used, 0e0 AS c UNION ALL SELECT dst, used | (1 << dst), min(c + w) FROM r JOIN arcs ON src = cur WHERE (used >> dst) & 1 = 0 GROUP BY 1, 2) SELECT min(c + w) AS cost, true AS optimal FROM r JOIN arcs ON src = cur AND dst = 0 WHERE used = 31"
 
 
 @query(_TOUR)
 def solve_tsp(spark, d):
-    r = R.solve_tsp(G.nation_trade(spark, d, 8).cut())
+    r = R.solve_tsp(G.region_trade(spark, d).cut())
     return row(spark, cost=r.cost, optimal=r.optimal)
 
 

@@ -21,27 +21,45 @@ def part_supplier(spark: SparkSession, sf_dir: str) -> Graph:
     return Graph.from_frame(e)
 
 
-def part_pairs(spark: SparkSession, sf_dir: str, below: int | None = None) -> DataFrame:
-    """``(src, dst, weight)``: how many orders hold both parts; ``below`` keeps parts of smaller keys."""
+def part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst, weight)``: how many orders hold both parts."""
     e = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey").distinct()
-    e = e.where(F.col("l_partkey") < below) if below else e
     a, b = e.withColumnRenamed("l_partkey", "src"), e.withColumnRenamed("l_partkey", "dst")
     return a.join(b, "l_orderkey").where("src < dst").groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
 
 
-def part_graph(spark: SparkSession, sf_dir: str, below: int | None = None) -> Graph:
+def part_graph(spark: SparkSession, sf_dir: str) -> Graph:
     """Parts in the same order, weighted, undirected."""
-    return Graph.from_frame(part_pairs(spark, sf_dir, below))
+    return Graph.from_frame(part_pairs(spark, sf_dir))
 
 
-def nation_trade(spark: SparkSession, sf_dir: str, below: int = 25) -> Graph:
-    """Lines sold from a customer's nation to a supplier's, directed, weighted by their number."""
+def sales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst, weight)``: lines sold from a customer's nation to a supplier's."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_suppkey")
     orders = read(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_custkey").alias("c_custkey"))
     customers = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_nationkey").alias("src"))
     suppliers = read(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_suppkey"), F.col("s_nationkey").alias("dst"))
     e = lines.join(orders, "l_orderkey").join(customers, "c_custkey").join(suppliers, "l_suppkey")
-    return Graph.from_frame(e.where((F.col("src") < below) & (F.col("dst") < below)).groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight")), True)
+    return e.groupBy("src", "dst").agg(F.count("*").cast("double").alias("weight"))
+
+
+def nation_trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Lines sold between nations, directed, weighted by their number."""
+    return Graph.from_frame(sales(spark, sf_dir), True)
+
+
+def region_trade(spark: SparkSession, sf_dir: str) -> Graph:
+    """Lines sold between the five regions, directed: a graph small enough to try everything."""
+    region = read(spark, sf_dir, "nation").select("n_nationkey", F.col("n_regionkey").cast("long").alias("r"))
+    src, dst = (region.select(F.col("n_nationkey").alias(c), F.col("r").alias(f"{c}_r")) for c in ("src", "dst"))
+    e = sales(spark, sf_dir).join(src, "src").join(dst, "dst").groupBy(F.col("src_r").alias("src"), F.col("dst_r").alias("dst")).agg(F.sum("weight").alias("weight"))
+    return Graph.from_frame(e, True)
+
+
+def mutual_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(src, dst, weight)``, src < dst: lines sold either way between two nations."""
+    e = sales(spark, sf_dir).where("src <> dst")
+    return e.groupBy(F.least("src", "dst").cast("long").alias("src"), F.greatest("src", "dst").cast("long").alias("dst")).agg(F.sum("weight").alias("weight"))
 
 
 def user_succession(spark: SparkSession, sf_dir: str) -> Graph:
@@ -60,23 +78,19 @@ def event_dag(spark: SparkSession, sf_dir: str) -> Graph:
 
 
 def hierarchy(spark: SparkSession, sf_dir: str, directed: bool = True) -> Graph:
-    """Root, regions, nations and the first suppliers, and each nation's step to the next: a DAG of about a hundred nodes."""
+    """Root, regions, nations and suppliers, and each nation's step to the next: a DAG over three whole tables."""
     region, nation, supplier = (read(spark, sf_dir, t) for t in ("region", "nation", "supplier"))
     e = region.select(F.lit(0).alias("src"), (1000 + F.col("r_regionkey")).alias("dst"))
     e = e.unionByName(nation.select((1000 + F.col("n_regionkey")).alias("src"), (2000 + F.col("n_nationkey")).alias("dst")))
-    e = e.unionByName(supplier.where("s_suppkey <= 60").select((2000 + F.col("s_nationkey")).alias("src"), (3000 + F.col("s_suppkey")).alias("dst")))
-    e = e.unionByName(nation.where("n_nationkey < 24").select((2000 + F.col("n_nationkey")).alias("src"), (2001 + F.col("n_nationkey")).alias("dst")))
+    e = e.unionByName(supplier.select((2000 + F.col("s_nationkey")).alias("src"), (3000 + F.col("s_suppkey")).alias("dst")))
+    after = nation.select((F.col("n_nationkey") - 1).alias("n_nationkey"))
+    e = e.unionByName(nation.join(after, "n_nationkey").select((2000 + F.col("n_nationkey")).alias("src"), (2001 + F.col("n_nationkey")).alias("dst")))
     return Graph.from_frame(e.withColumn("weight", 1.0 + F.col("dst") % 7), directed)
 
 
-def nation_links(spark: SparkSession, sf_dir: str, below: int = 9) -> Graph:
-    """Some pairs of the first nations, undirected: small enough to try everything."""
-    k = read(spark, sf_dir, "nation").where(F.col("n_nationkey") < below).select(F.col("n_nationkey").cast("long").alias("k"))
-    a, b = k.withColumnRenamed("k", "src"), k.withColumnRenamed("k", "dst")
-    return Graph.from_frame(a.join(b, F.col("src") < F.col("dst")).where("(src * 7 + dst * 3) % 5 < 2"), False, k.withColumnRenamed("k", "id"))
-
-
-def part_supplier_slice(spark: SparkSession, sf_dir: str, below: int = 11) -> Graph:
-    """The first parts and their suppliers."""
-    e = read(spark, sf_dir, "lineitem").where(F.col("l_partkey") < below).select(F.col("l_partkey").alias("src"), (F.col("l_suppkey") + SUPPLIER).alias("dst")).distinct()
-    return Graph.from_frame(e)
+def nation_links(spark: SparkSession, sf_dir: str) -> Graph:
+    """All nations, linked where their mutual trade is above the average: undirected, and small by nature."""
+    e = mutual_trade(spark, sf_dir)
+    mean = e.agg(F.avg("weight").alias("mean"))
+    k = read(spark, sf_dir, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    return Graph.from_frame(e.join(F.broadcast(mean), F.col("weight") > F.col("mean")).select("src", "dst"), False, k)

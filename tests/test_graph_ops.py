@@ -228,7 +228,7 @@ def test_blossom_against_brute_force():
         e = [x for x in combinations(range(n), 2) if rng.random() < 0.45]
         near = [[b if a == v else a for a, b in e if v in (a, b)] for v in range(n)]
         best = max(k for k in range(n // 2 + 1) if any(len({x for p in c for x in p}) == 2 * k for c in combinations(e, k)))
-        mate = W._blossom(near)
+        mate = W._mates(near)
         assert sum(x >= 0 for x in mate) == 2 * best and all(mate[mate[v]] == v for v in range(n) if mate[v] >= 0)
 
 
