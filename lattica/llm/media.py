@@ -247,8 +247,13 @@ def facts(spark: SparkSession, path: str) -> DataFrame:
         names = [x.split()[0] for x in FACTS.split(", ")]
         return pa.table({n: pa.array(v, t) for n, v, t in zip(names, zip(*out, strict=True), kinds, strict=True)})
 
-    lacking = F.array_except(F.array_distinct(F.flatten("lists")), "digests")
-    lacks = cut(found.select("block", F.explode(lacking).alias("digest")))
+    def lacking(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, lists, digests in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                wanted = {d for x in lists for d in x}.difference(digests)
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(wanted), pa.int64()), pa.array(sorted(wanted), pa.binary())], names=["block", "digest"])
+
+    lacks = cut(found.select("block", "lists", "digests").mapInArrow(lacking, "block long, digest binary"))
     owners = found.select(F.col("block").alias("owner"), F.explode("digests").alias("digest"))
     wanted = owners.join(lacks.select("digest").distinct(), "digest").groupBy(F.col("owner").alias("block")).agg(F.collect_list("digest").alias("digests"))
     supply = found.select("block", "digests", "sizes", "pack").groupBy("block").cogroup(wanted.groupBy("block")).applyInArrow(given, "digest binary, chunk binary")
