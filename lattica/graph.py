@@ -94,18 +94,18 @@ class Graph:
         """From ``src, dst[, weight][, seq]`` and extra nodes ``id[, seq]``.
 
         Without ``seq`` nodes and neighbours are in order of their ids, which needs no sort of
-        the whole table.
+        the whole table, and of a repeated edge's weights the greatest counts.
         """
         ordered = "seq" in edges.columns
         weight = F.col("weight").cast("double") if "weight" in edges.columns else F.lit(1.0)
         seq = F.col("seq").cast("long") if ordered else F.lit(0).cast("long")
         e = edges.select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"), weight.alias("weight"), seq.alias("seq"))
         if directed:
-            first = e.groupBy("src", "dst").agg(F.min("seq").alias("pos"), F.max_by("weight", "seq").alias("weight"))
+            first = e.groupBy("src", "dst").agg(F.min("seq").alias("pos"), F.max_by("weight", F.struct("seq", "weight")).alias("weight"))
             arcs = first.select("src", "dst", "weight", (2 * F.col("pos")).alias("pos"))
         else:
             pair = [F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")]
-            first = e.groupBy(*pair).agg(F.min("seq").alias("pos"), F.max_by("weight", "seq").alias("weight"), F.min_by("src", F.struct("seq", "src")).alias("u"))
+            first = e.groupBy(*pair).agg(F.min("seq").alias("pos"), F.max_by("weight", F.struct("seq", "weight")).alias("weight"), F.min_by("src", F.struct("seq", "src")).alias("u"))
             ends = first.select("u", F.when(F.col("u") == F.col("a"), F.col("b")).otherwise(F.col("a")).alias("v"), "weight", "pos")
             ways = F.when(F.col("u") == F.col("v"), F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("k")))).otherwise(F.array(F.struct(F.col("u").alias("src"), F.col("v").alias("dst"), F.lit(0).alias("k")), F.struct(F.col("v").alias("src"), F.col("u").alias("dst"), F.lit(1).alias("k"))))
             arcs = ends.select(F.explode(ways).alias("w"), "weight", "pos").select("w.src", "w.dst", "weight", (2 * F.col("pos") + F.col("w.k")).alias("pos"))
@@ -206,7 +206,9 @@ class Graph:
         return n if self.directed else n // 2
 
     def density(self) -> float:
-        n, m = self.number_of_nodes(), self.number_of_edges()
+        return self._density(self.number_of_nodes(), self.number_of_edges())
+
+    def _density(self, n: int, m: int) -> float:
         return 0.0 if n < 2 else m / (n * (n - 1) * (1 if self.directed else 0.5))
 
     def has_node(self, n: int) -> bool:
@@ -259,11 +261,12 @@ class Graph:
         return self.nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
     def is_connected(self) -> bool:
+        if not self.directed:
+            ends = self.connected_components().agg(F.min("component").alias("a"), F.max("component").alias("b")).first()
+            return ends["a"] is not None and ends["a"] == ends["b"]
         n = self.number_of_nodes()
         if n == 0:
             return False
-        if not self.directed:
-            return self.connected_components().select("component").distinct().count() == 1
         first = self.nodes.orderBy("pos").first()["id"]
         return self.bfs_distances(first).count() == n
 
@@ -274,7 +277,8 @@ class Graph:
         return multi_source_bfs(self, self.spark.createDataFrame([(source,)], "source long")).select(F.col("dst").alias("id"), "distance")
 
     def summary(self) -> DataFrame:
-        row = (self.number_of_nodes(), self.number_of_edges(), self.directed, self.density(), self.is_connected())
+        n, m = self.number_of_nodes(), self.number_of_edges()
+        row = (n, m, self.directed, self._density(n, m), self.is_connected())
         return self.spark.createDataFrame([row], "n_nodes long, n_edges long, directed boolean, density double, connected boolean")
 
 

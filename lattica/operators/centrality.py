@@ -255,6 +255,8 @@ def core_number(g: Graph, max_rounds: int = 10_000) -> DataFrame:
         now = new.drop("moved")
         if done:
             break
+    else:
+        raise RuntimeError(f"core numbers aren't settled after {max_rounds} rounds")
     return g.nodes.join(now, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 
 

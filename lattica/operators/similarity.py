@@ -153,9 +153,50 @@ def open_wedges(g: Graph) -> DataFrame:
     return two.join(joined, ["u", "v"], "left_anti")
 
 
+def by_degree(g: Graph, k: int) -> DataFrame:
+    """``(u, v)``, u < v: pairs that no edge joins, with each node's ``k`` partners of greatest degree among them.
+
+    Of as many nodes of greatest degree as a node has arcs either way, and ``k + 1``, at least
+    ``k`` aren't the node or its neighbours; so rows are in proportion to arcs and nodes.
+    """
+    from pyspark.sql import Window
+
+    ends = g.arcs.select(F.explode(F.array("src", "dst")).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
+    degrees = cut(g.degrees().join(ends, "id", "left").select("id", "degree", F.coalesce("n", F.lit(0)).alias("n")))
+    most = (degrees.agg(F.max("n")).first()[0] or 0) + k + 1
+    top = degrees.orderBy(F.desc("degree"), "id").limit(most).select(F.col("id").alias("v"), F.row_number().over(Window.orderBy(F.desc("degree"), "id")).alias("rank"))
+    tries = degrees.select(F.col("id").alias("u"), F.explode(F.sequence(F.lit(1), (F.col("n") + k + 1).cast("int"))).alias("rank"))
+    pairs = tries.join(top, "rank").where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    joined = g.arcs.select(F.least("src", "dst").alias("u"), F.greatest("src", "dst").alias("v")).distinct()
+    return pairs.join(joined, ["u", "v"], "left_anti")
+
+
+def first_pairs(g: Graph, k: int) -> DataFrame:
+    """The first ``k`` pairs ``(u, v)``, u < v, that no edge joins, in order of ids."""
+    found: list[tuple[int, int]] = []
+    for row in g.nodes.select("id").orderBy("id").toLocalIterator():
+        u = row["id"]
+        near = g.arcs.where((F.col("src") == u) | (F.col("dst") == u)).select(F.when(F.col("src") == u, F.col("dst")).otherwise(F.col("src")).alias("id"))
+        rest = g.nodes.where(F.col("id") > u).select("id").join(near, "id", "left_anti").orderBy("id").limit(k - len(found))
+        found += [(u, r["id"]) for r in rest.collect()]
+        if len(found) >= k:
+            break
+    return g.spark.createDataFrame(found, "u long, v long")
+
+
 def predicted_links(g: Graph, metric=adamic_adar_scores, k: int = 10, candidates: DataFrame | None = None) -> DataFrame:
-    """The ``k`` best pairs of ``candidates`` (open wedges), ties by the smaller ids."""
-    c = candidates if candidates is not None else open_wedges(g)
+    """The ``k`` best of ``candidates``, ties by the smaller ids.
+
+    Without candidates all pairs that no edge joins count. For most metrics they aren't all
+    made: those with common neighbours are, those of greatest degree for a product of degrees,
+    and the first ones where there are fewer than ``k``, since all others score zero. Katz
+    scores any pair, and makes them all.
+    """
+    c = candidates
+    if c is None:
+        c = cut({preferential_attachment_scores: lambda: by_degree(g, k), katz_index_scores: lambda: non_edges(g)}.get(metric, lambda: open_wedges(g))())
+        if c.count() < k:
+            c = c.unionByName(first_pairs(g, k)).distinct()
     c = cut(c.withColumn("pair_pos", F.monotonically_increasing_id()))
     return metric(g, c).orderBy(F.desc("score"), "u", "v").limit(k).select("u", "v", "score")
 

@@ -131,6 +131,8 @@ def strongly_connected_components(g: Graph, max_rounds: int = 10_000) -> DataFra
             rest = cut(rest.join(found, "id", "left_anti"))
         arcs = cut(arcs.join(rest.select(F.col("id").alias("src")), "src", "left_semi").join(rest.select(F.col("id").alias("dst")), "dst", "left_semi"))
         done = cut(done)
+    else:
+        raise RuntimeError(f"components aren't all found after {max_rounds} rounds")
     return done
 
 

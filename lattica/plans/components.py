@@ -14,7 +14,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     Every round looks two parents up, hooks each vertex and its parent onto the smallest
     grandparent next to it, and shortcuts. Parents only fall, so a round that leaves the sum
     of parents unchanged is the last. A round moves one row per edge and vertex, whatever the
-    shape of a component; all minima are combined before they are shuffled.
+    shape of a component; all minima are combined before they are shuffled. Labels that aren't
+    settled after ``max_rounds`` raise an error.
     """
     pairs = edges.where("u <> v").select("u", "v")
     both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
@@ -23,7 +24,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     before = parent.agg(total).first()["s"]
     for _ in range(max_rounds):
         if before is None:
-            break
+            return parent
         up = parent.select(F.col("id").alias("root"), F.col("root").alias("grand"))
         known = parent.join(up, "root").select("id", "root", "grand")
         near = both.join(known.select(F.col("id").alias("v"), "grand"), "v").groupBy(F.col("u").alias("id")).agg(F.min("grand").alias("best"))
@@ -38,4 +39,4 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         if after == before:
             return parent
         before = after
-    return parent
+    raise RuntimeError(f"components aren't settled after {max_rounds} rounds")

@@ -276,3 +276,18 @@ def test_tours(spark):
         best = min(R.tour_cost(d, [0, *q]) for q in permutations(range(1, 7)))
         assert R.held_karp(d)[1] == pytest.approx(best) and R.one_tree_bound(d) <= best + 1e-9
         assert R.tour_cost(d, R.or_opt(d, R.two_opt(d, R.nearest_neighbor_tour(d)))) >= best - 1e-9
+
+
+def test_predicted_links_over_all_pairs(spark):
+    """The best pairs of all that no edge joins, against every pair, whatever the metric."""
+    import random
+
+    rng = random.Random(13)
+    stars = [(0, i) for i in (1, 2, 3)] + [(10, i) for i in (11, 12, 13)]
+    for edges in (stars, sorted({tuple(sorted(rng.sample(range(12), 2))) for _ in range(16)}), [(1, 2), (3, 4), (5, 6)]):
+        g = Graph.from_edges(spark, edges).cut()
+        for metric in (S.preferential_attachment_scores, S.adamic_adar_scores):
+            want = [tuple(r) for r in S.predicted_links(g, metric, 6, S.non_edges(g)).collect()]
+            assert [tuple(r) for r in S.predicted_links(g, metric, 6).collect()] == want
+    best = S.predicted_links(Graph.from_edges(spark, stars), S.preferential_attachment_scores, 1).first()
+    assert tuple(best) == (0, 10, 9.0)
