@@ -14,7 +14,7 @@ from lattica.operators.kernels import Net, run
 from lattica.plans.cut import cut
 
 PAIRS = "pair_pos long, u long, v long"
-#: Nodes that a dense matrix may have.
+#: Nodes up to which a dense matrix in one task is quicker than rounds over pairs.
 MOST_DENSE = 5000
 
 
@@ -103,14 +103,19 @@ def _beta(beta: float) -> None:
 
 
 def katz_index_scores(g: Graph, pairs, beta: float = 0.05) -> DataFrame:
-    """``((I - beta A)^-1 - I)[u, v]`` over the symmetric 0/1 adjacency, a column solved for each distinct ``u``."""
+    """``((I - beta A)^-1 - I)[u, v]`` over the symmetric 0/1 adjacency, for each distinct ``u``.
+
+    A small graph's columns are solved for; a larger one's walks are summed length by length,
+    which settles where ``beta`` is below the inverse of the greatest eigenvalue and is an error
+    elsewhere.
+    """
     _beta(beta)
     p = pairs_frame(g, pairs)
+    if g.nodes.count() > MOST_DENSE:
+        return katz_walks(g, p, beta)
     wanted = [(r["pair_pos"], r["u"], r["v"]) for r in p.collect()]
 
     def kernel(net: Net):
-        if net.n > MOST_DENSE:
-            raise ValueError(f"{net.n} nodes are more than a dense system may have")
         a = np.zeros((net.n, net.n))
         for u, row in enumerate(net.adj):
             for v, _ in row:
@@ -131,6 +136,26 @@ def katz_index_scores(g: Graph, pairs, beta: float = 0.05) -> DataFrame:
     return g.spark.createDataFrame(run(g, kernel, "x long") if wanted else [], PAIRS + ", score double")
 
 
+def katz_walks(g: Graph, p: DataFrame, beta: float, tol: float = 1e-12, max_rounds: int = 500) -> DataFrame:
+    """Katz scores of pairs by weighted walks from each ``u``, one step a round."""
+    p = cut(p)
+    ways = g.arcs.select("src", "dst").unionByName(g.arcs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
+    ways = cut(ways.distinct())
+    front = cut(p.select("u").distinct().join(g.nodes.select(F.col("id").alias("u")), "u").select("u", F.col("u").alias("v"), F.lit(1.0).alias("x")))
+    sums = cut(p.select("pair_pos", F.lit(0.0).alias("score")))
+    for _ in range(max_rounds):
+        step = front.join(ways.withColumnRenamed("src", "v"), "v").groupBy("u", F.col("dst").alias("v"))
+        front = cut(step.agg((beta * F.sum("x")).alias("x")))
+        met = p.join(front, ["u", "v"]).select("pair_pos", F.col("x").alias("score"))
+        sums = cut(sums.unionByName(met).groupBy("pair_pos").agg(F.sum("score").alias("score")))
+        most = front.agg(F.max("x")).first()[0] or 0.0
+        if most <= tol:
+            return p.join(sums, "pair_pos").select("pair_pos", "u", "v", "score")
+        if most > 1e12:
+            break
+    raise ValueError("the walks don't settle: beta is too great for the graph")
+
+
 def katz_index(g: Graph, u: int, v: int, beta: float = 0.05) -> float:
     if not (g.has_node(u) and g.has_node(v)):
         return 0.0
@@ -214,15 +239,20 @@ def auc(scores: DataFrame) -> float:
 
 
 def simrank_matrix(g: Graph, decay: float = 0.8, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
-    """``(u, v, score)`` for all ordered pairs: similar are those whose in-neighbours are."""
+    """``(u, v, score)`` for all ordered pairs: similar are those whose in-neighbours are.
+
+    A small graph's matrix is dense. Of a larger graph only pairs that don't score zero are kept,
+    a round of two joins a step.
+    """
     if not 0 < decay < 1:
         raise ValueError("decay must be between 0 and 1")
     if isinstance(max_iter, bool) or not isinstance(max_iter, int) or max_iter < 1:
         raise ValueError("max_iter must be an integer of 1 or more")
 
+    if g.nodes.count() > MOST_DENSE:
+        return simrank_pairs(g, decay, max_iter, tol)
+
     def kernel(net: Net):
-        if net.n > MOST_DENSE:
-            raise ValueError(f"{net.n} nodes are more than a dense matrix may have")
         w = np.zeros((net.n, net.n))
         for u, row in enumerate(net.adj):
             for v, _ in row:
@@ -247,6 +277,23 @@ def simrank_matrix(g: Graph, decay: float = 0.8, max_iter: int = 100, tol: float
     return on_executor(g, kernel, "u long, v long, score double")
 
 
+def simrank_pairs(g: Graph, decay: float, max_iter: int, tol: float) -> DataFrame:
+    """SimRank over the pairs that don't score zero."""
+    size = g.arcs.groupBy("dst").agg(F.count("*").alias("n"))
+    into = cut(g.arcs.join(size, "dst").select("src", "dst", (1.0 / F.col("n")).alias("w")))
+    same = cut(g.nodes.select(F.col("id").alias("u"), F.col("id").alias("v"), F.lit(1.0).alias("score")))
+    now = same
+    for _ in range(max_iter):
+        half = now.join(into.withColumnRenamed("src", "u"), "u").groupBy(F.col("dst").alias("a"), "v").agg(F.sum(F.col("score") * F.col("w")).alias("s"))
+        both = half.join(into.withColumnRenamed("src", "v"), "v").where("a <> dst").groupBy(F.col("a").alias("u"), F.col("dst").alias("v")).agg((decay * F.sum(F.col("s") * F.col("w"))).alias("score"))
+        new = cut(both.unionByName(same))
+        gap = new.join(now.withColumnRenamed("score", "old"), ["u", "v"], "full").agg(F.max(F.abs(F.coalesce("score", F.lit(0.0)) - F.coalesce("old", F.lit(0.0)))).alias("d")).first()["d"]
+        now = new
+        if gap is None or gap < tol:
+            break
+    return now
+
+
 def simrank_similarity(g: Graph, source: int | None = None, target: int | None = None, decay: float = 0.8, max_iter: int = 100, tol: float = 1e-6) -> DataFrame:
     if source is None and target is not None:
         raise ValueError("a target needs a source")

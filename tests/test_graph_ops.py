@@ -291,3 +291,17 @@ def test_predicted_links_over_all_pairs(spark):
             assert [tuple(r) for r in S.predicted_links(g, metric, 6).collect()] == want
     best = S.predicted_links(Graph.from_edges(spark, stars), S.preferential_attachment_scores, 1).first()
     assert tuple(best) == (0, 10, 9.0)
+
+
+def test_large_graphs_need_no_dense_matrix(spark, monkeypatch):
+    """Katz and SimRank by rounds against the dense forms."""
+    for directed in (False, True):
+        g = Graph.from_edges(spark, [(0, 1), (1, 2), (2, 0), (2, 3), (3, 4), (4, 4), (5, 3)], directed, [9]).cut()
+        pairs = [(0, 4), (1, 3), (2, 2), (4, 4), (9, 0), (0, 77)]
+        dense = [r["score"] for r in S.katz_index_scores(g, pairs, 0.1).orderBy("pair_pos").collect()]
+        matrix = {(r["u"], r["v"]): r["score"] for r in S.simrank_matrix(g, max_iter=4, tol=0.0).collect()}
+        monkeypatch.setattr(S, "MOST_DENSE", 0)
+        assert [r["score"] for r in S.katz_index_scores(g, pairs, 0.1).orderBy("pair_pos").collect()] == pytest.approx(dense, abs=1e-9)
+        sparse = {(r["u"], r["v"]): r["score"] for r in S.simrank_matrix(g, max_iter=4, tol=0.0).collect()}
+        assert {k: sparse.get(k, 0.0) for k in matrix} == pytest.approx(matrix, abs=1e-9)
+        monkeypatch.setattr(S, "MOST_DENSE", 5000)
