@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from lattica.plans.components import components
 from lattica.plans.cut import cut
+from lattica.plans.ranked import ranked
 
 EDGES = "seq long, src long, dst long, weight double"
 NODES = "id long, seq long"
@@ -221,9 +222,7 @@ class Graph:
 
     def adjacency_matrix(self) -> DataFrame:
         """``(i, j, value)`` by place in node order; places that aren't there are zero."""
-        from pyspark.sql import Window
-
-        at = self.nodes.select("id", (F.row_number().over(Window.orderBy("pos")) - 1).alias("k"))
+        at = cut(ranked(self.nodes, ["pos", "id"], "k").select("id", F.col("k").cast("int").alias("k")))
         a, b = at.select(F.col("id").alias("src"), F.col("k").alias("i")), at.select(F.col("id").alias("dst"), F.col("k").alias("j"))
         return self.arcs.join(a, "src").join(b, "dst").select("i", "j", F.col("weight").alias("value"))
 

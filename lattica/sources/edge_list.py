@@ -6,17 +6,18 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
+from lattica.plans.ranked import ranked
 
 
 def from_edge_list(spark: SparkSession, path: str, directed: bool = False, delimiter: str | None = None, weighted: bool = False, comments: str = "#") -> Graph:
     """Lines ``u v [w]``; blank lines and those that begin with ``comments`` are skipped.
 
     Fields are parted by white space, or read as CSV with ``delimiter``. The third is read only
-    if ``weighted``. What isn't a number raises an error. Files are read whole, so that lines
-    keep their order, which insertion order depends on.
+    if ``weighted``. What isn't a number raises an error. Large files are read in splits; lines
+    are in order of their file's path, their split's place in it and their place in the split.
     """
-    whole = spark.read.text(path, wholetext=True)
-    lines = whole.select(F.posexplode(F.split("value", "\r?\n")).alias("seq", "line"))
+    split = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"))
+    lines = ranked(split, ["file", "block", "at"], "seq").select("seq", "line")
     if delimiter is None:
         fields = F.split(F.trim(F.regexp_replace("line", r"\s+", " ")), " ")
     else:

@@ -72,3 +72,19 @@ def test_contract(spark):
     assert __spark_entry__.entry(spark).count() == 10
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(o) > 70
+
+
+def test_edge_list_in_splits(spark, tmp_path):
+    """Lines of several files, read in many splits, keep their order."""
+    from lattica.sources.edge_list import from_edge_list
+
+    edges = [(i * 7919 % 1009, i * 104729 % 997 + 2000) for i in range(900)]
+    for k in range(3):
+        (tmp_path / f"part-{k}.txt").write_text("# u v\n" + "".join(f"{u} {v}\n" for u, v in edges[300 * k : 300 * (k + 1)]))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        g = from_edge_list(spark, str(tmp_path))
+        nodes = [r["id"] for r in g.node_labels().collect()]
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert nodes == list(dict.fromkeys(n for e in edges for n in e))
