@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from lattica.plans.cut import cut
+
 #: Arcs that one task or one broadcast may hold.
 MOST_ARCS = 5_000_000
 
@@ -105,8 +107,22 @@ def run(g, kernel: Callable[[Net], Iterable[tuple]], schema: str) -> list:
 
 
 def frame(g, kernel: Callable[[Net], Iterable[tuple]], schema: str) -> DataFrame:
-    """``run`` as a DataFrame: errors come now, not when it is read."""
-    return g.spark.createDataFrame(run(g, kernel, schema), schema)
+    """``on_executor``, computed once: errors come now, not when it is read, and rows don't pass the driver."""
+    width = len(schema.split(","))
+
+    def caught(net: Net) -> Iterator[tuple]:
+        try:
+            rows = list(kernel(net))
+        except Exception as e:  # noqa: BLE001
+            yield pickle.dumps(e), *[None] * width
+            return
+        for row in rows:
+            yield None, *row
+
+    made = cut(on_executor(g, caught, f"error binary, {schema}"))
+    if (bad := made.where("error is not null").first()) is not None:
+        raise pickle.loads(bytes(bad["error"]))
+    return made.drop("error")
 
 
 def per_component(g, kernel: Callable[[Net], Iterable[tuple]], schema: str) -> DataFrame:
