@@ -374,7 +374,12 @@ def node_clique_number(spark, d):
     return T.node_clique_number(G.nation_links(spark, d))
 
 
-_DOM = f"WITH RECURSIVE {HDIR}, reach AS (SELECT 0::BIGINT AS id UNION SELECT dst FROM reach JOIN arcs ON src = id), r AS (SELECT id AS gone, 0::BIGINT AS id FROM nodes WHERE id <> 0 UNION SELECT gone, dst FROM r JOIN arcs ON src = r.id WHERE dst <> gone), dom AS (SELECT v.id, x.id AS dominator FROM reach v JOIN reach x ON x.id = 0 OR x.id = v.id OR NOT EXISTS (SELECT 1 FROM r WHERE r.gone = x.id AND r.id = v.id)), depth AS (SELECT id, count(*) AS k FROM dom GROUP BY 1)"
+def _dominated(arcs: str, root: int) -> str:
+    """SQL for who dominates whom, and how deep each node is."""
+    return f"WITH RECURSIVE {arcs}, reach AS (SELECT {root}::BIGINT AS id UNION SELECT dst FROM reach JOIN arcs ON src = id), r AS (SELECT id AS gone, {root}::BIGINT AS id FROM nodes WHERE id <> {root} UNION SELECT gone, dst FROM r JOIN arcs ON src = r.id WHERE dst <> gone), dom AS (SELECT v.id, x.id AS dominator FROM reach v JOIN reach x ON x.id = {root} OR x.id = v.id OR NOT EXISTS (SELECT 1 FROM r WHERE r.gone = x.id AND r.id = v.id)), depth AS (SELECT id, count(*) AS k FROM dom GROUP BY 1)"
+
+
+_DOM = _dominated(HDIR, 0)
 
 
 @query(_DOM + " SELECT id, dominator FROM dom")
@@ -400,7 +405,10 @@ def dominator_tree(spark, d):
     return T.dominator_tree(G.hierarchy(spark, d), 0).select("id", F.array_join("children", ",").alias("children"))
 
 
-@query()
+_BACK = HDIR.replace("SELECT a AS src, b AS dst, w FROM e", "SELECT b AS src, a AS dst, w FROM e")
+
+
+@query(_dominated(_BACK, 2024) + " SELECT dom.id, CASE WHEN dom.id = 2024 THEN 2024 ELSE max_by(dominator, x.k) FILTER (dominator <> dom.id) END AS idom FROM dom JOIN depth x ON x.id = dominator GROUP BY 1")
 def post_dominators(spark, d):
     return T.post_dominators(G.hierarchy(spark, d), 2024)
 
@@ -477,7 +485,7 @@ def topological_generations(spark, d):
     return D.topological_generations(G.hierarchy(spark, d))
 
 
-@query()
+@query(f"WITH RECURSIVE {HDIR}, r AS (SELECT -1::BIGINT AS step, []::BIGINT[] AS done, NULL::BIGINT AS id UNION ALL SELECT step + 1, list_append(done, m), m FROM (SELECT r.step, any_value(r.done) AS done, min(n.id) AS m FROM r, nodes n WHERE NOT list_contains(r.done, n.id) AND NOT EXISTS (SELECT 1 FROM arcs WHERE dst = n.id AND NOT list_contains(r.done, src)) GROUP BY r.step)) SELECT step, id FROM r WHERE step >= 0")
 def topological_sort(spark, d):
     return D.topological_sort(G.hierarchy(spark, d))
 
