@@ -9,9 +9,10 @@ from lattica.llm.mixing import op9_mixing
 from lattica.llm.packing import op4_packing
 from lattica.llm.pii import op1_pii
 from lattica.llm.quality import op2_quality
+from lattica.llm.repair import op12_repair
 from lattica.llm.sharding import op11_sharding
 from lattica.llm.simhash import op6_simhash
 from lattica.llm.token_files import op3_token_files
 
-QUERIES = {"op1_pii": op1_pii, "op2_quality": op2_quality, "op3_token_files": op3_token_files, "op4_packing": op4_packing, "op5_html_text": op5_html_text, "op6_simhash": op6_simhash, "op7_media_chunks": op7_media_chunks, "op8_lm_score": op8_lm_score, "op9_mixing": op9_mixing, "op10_license": op10_license, "op11_sharding": op11_sharding}
+QUERIES = {"op1_pii": op1_pii, "op2_quality": op2_quality, "op3_token_files": op3_token_files, "op4_packing": op4_packing, "op5_html_text": op5_html_text, "op6_simhash": op6_simhash, "op7_media_chunks": op7_media_chunks, "op8_lm_score": op8_lm_score, "op9_mixing": op9_mixing, "op10_license": op10_license, "op11_sharding": op11_sharding, "op12_repair": op12_repair}
 ORACLE: dict[str, str] = {"op10_license": license.oracle()}
