@@ -2,19 +2,22 @@
 
 Words, with a mark at either end, are decomposed into grams of 2 to 4 characters, one from each
 place. The dictionary of grams is pruned by frequency: a gram that is found at no more than
-``RARE`` places is not extended, a more frequent one is, so that lists stay short where they can.
-Whether a gram is extended depends on its own characters alone. So one edit affects just the grams
-that hold its place, and the most that any place is in is the word's bound on affected grams. Of
-a word's grams, in order of their frequency, one of the ``bound + 1`` rarest outlives the edit, and
-it is among the rarest of the other word too: only these are indexed. A gram that outlives an edit
-keeps its distance from the start or from the end of the word, and is listed under both. Lists are
-merged: words that meet in a list are compared, and verified by their edit distance. A list of more
-than ``LIST`` words is not compared pair by pair: its words meet where they, or they without one
-character, agree, which one edit can't prevent (words of more than ``LONG`` characters: their halves).
+``RARE`` places is not extended, a more frequent one is. Whether a gram is extended depends on its
+own characters alone, so one edit affects just the grams that hold its place, and the most that
+any place is in is the word's bound on affected grams. A gram that outlives an edit to its right
+keeps all that stands before it, too, and one that outlives an edit to its left all that follows.
+So each gram is listed twice: by the beginning of the word up to the gram's end, and by the rest
+of the word from its start. With g grams and a bound of b, one edit leaves all but g + b of these
+2 g entries in both words; so of the g + b + 1 longest, which make the shortest lists, one is
+common to both, and only these are indexed. Lists are merged: the words in a list that differ by
+one character, on the side of the entry that the edit must be on, are paired, each pair in the
+list of the longest entry that both have. A list of more than ``LIST`` words isn't held by a task:
+its words meet by a shuffle, where they agree but for one character. Words of more than ``LONG``
+characters are listed by their halves, one of which an edit leaves as it is.
 
 Words are counted a document at a time, and counts added up before and after they are shuffled;
-what follows grows with the distinct words. Frequent grams of 2 and 3 characters are told to tasks
-by broadcast: there are at most ``92^2`` and ``92^3`` of them, whatever the data. Forms lead to words at
+what follows grows with the distinct words. Frequent grams of 2 and 3 characters are told to all
+tasks: there are at most ``92^2`` and ``92^3`` of them, whatever the data. Forms lead to words at
 least twice as frequent, so that a root is found in a few rounds of looking two steps ahead.
 
 Nulls, ties and the like: a null text has no words; a null id counts as an empty one. Very long
@@ -30,6 +33,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,13 +44,11 @@ RUN = re.compile("[A-Za-zÀ-ÿ]+")
 #: Of so many runs one loses a character; a word's least length and count.
 DAMAGE = 97
 LEAST_LENGTH, LEAST_COUNT = 5, 3
-#: Places up to which a gram is rare, words in a list that are compared pair by pair, characters from which words are parted by halves, counts that a task holds.
+#: Places up to which a gram is rare, words in a list that a task holds, characters from which words are listed by halves, counts that a task holds.
 RARE = 32
-LIST = 64
+LIST = 50_000
 LONG = 64
 HELD = 200_000
-#: A key is common from so many rows, or this share of all, so that few are.
-COMMON_ROWS, COMMON_SHARE = 1000, 0.001
 
 
 def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", damage: int | None = DAMAGE) -> DataFrame:
@@ -82,79 +84,147 @@ def count_words(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return counts.groupBy("word").agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_COUNT)
 
 
-def with_sizes(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows``, computed before, with ``_n``, how many agree with them in ``keys``. Common keys, of which there are few, are told by broadcast."""
-    sizes = cut(rows.groupBy(*keys).agg(F.count("*").alias("_n")))
-    limit = max(COMMON_ROWS, int(COMMON_SHARE * (sizes.agg(F.sum("_n")).first()[0] or 0)))
-    few = F.broadcast(sizes.where(F.col("_n") > limit))
-    rest = rows.join(few.select(*keys), keys, "left_anti").join(sizes.where(F.col("_n") <= limit), keys)
-    return rows.join(few, keys).unionByName(rest)
+def frequent_grams(words: DataFrame) -> frozenset[str]:
+    """The grams of 2 and 3 characters that are found at more than ``RARE`` places: those that are extended."""
+    letters = words.select(F.regexp_extract_all(F.concat(F.lit("^"), "word", F.lit("$")), F.lit("(?s)."), F.lit(0)).alias("c"))
+    both = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.array(F.concat(F.get("c", i), F.get("c", i + 1)), F.concat(F.get("c", i), F.get("c", i + 1), F.get("c", i + 2))))
+    each = letters.select(F.explode(F.flatten(both)).alias("gram")).where("gram is not null")
+    return frozenset(r["gram"] for r in each.groupBy("gram").agg(F.count("*").alias("n")).where(F.col("n") > RARE).select("gram").collect())
 
 
-def grams(words: DataFrame) -> DataFrame:
-    """``(wid, at, gram)`` of ``words (wid, word)``: a gram from each place, as long as the dictionary has it."""
-    letters = words.select("wid", F.regexp_extract_all(F.concat(F.lit("^"), "word", F.lit("$")), F.lit("(?s)."), F.lit(0)).alias("c"))
-    cut_at = lambda i, q: F.concat_ws("", *(F.get("c", i + d) for d in range(q)))
-    each = F.transform(F.sequence(F.lit(0), F.size("c") - 2), lambda i: F.struct(i.alias("at"), *(cut_at(i, q).alias(f"g{q}") for q in (2, 3, 4))))
-    cuts = cut(letters.select("wid", F.explode(each).alias("x")).select("wid", "x.*"))
-    frequent = lambda df, g: cut(df.groupBy(g).agg(F.count("*").alias("n")).where(F.col("n") > RARE).select(g, F.lit(True).alias(f"{g}_often")))
-    known = cuts.join(F.broadcast(frequent(cuts, "g2")), "g2", "left")
-    often3 = F.broadcast(frequent(known.where("g2_often and length(g3) = 3"), "g3"))
-    gram = F.when(F.col("g2_often").isNull(), F.col("g2")).when(F.col("g3_often").isNull(), F.col("g3")).otherwise(F.col("g4"))
-    return known.join(often3, "g3", "left").select("wid", "at", gram.alias("gram"))
+def gram_ends(marked: str, frequent: frozenset[str]) -> list[int]:
+    """Where the gram from each place of a word ends: behind the first 2 to 4 characters that aren't frequent."""
+    out = []
+    for at in range(len(marked) - 1):
+        end = at + 2
+        while end < min(at + 4, len(marked)) and marked[at:end] in frequent:
+            end += 1
+        out.append(end)
+    return out
 
 
-def affected(lengths: str) -> Column:
-    """The most grams that one edit can affect: that hold one place. ``lengths`` names those of the grams from each place in order."""
-    held = lambda i: sum(F.when(F.get(lengths, i - d) > d, 1).otherwise(0) for d in range(4))
-    return F.array_max(F.transform(F.sequence(F.lit(0), F.size(lengths)), held))
+def bound(ends: list[int]) -> int:
+    """The most grams that one edit can affect: that hold one place."""
+    return max(sum(ends[k] > at for k in range(max(0, at - 3), min(at + 1, len(ends)))) for at in range(len(ends) + 1))
+
+
+def entries(word: str, frequent: frozenset[str]) -> list[tuple[int, int]]:
+    """``(side, length)`` of the entries that a word is indexed by: so much of its beginning (side 0) or end (1), marks included."""
+    marked = f"^{word}$"
+    ends = gram_ends(marked, frequent)
+    every = [(-end, 0) for end in ends] + [(at - len(marked), 1) for at in range(len(ends))]
+    longest = sorted(every)[: len(ends) + bound(ends) + 1]
+    return [(side, -n) for n, side in sorted(set(longest)) if -n < len(marked)]
 
 
 def index(words: DataFrame) -> DataFrame:
-    """``(gram, side, place, wid)``: each word's rarest grams, by distance from its start (side 0) and end (1)."""
-    found = with_sizes(cut(grams(words)), ["gram"])
-    each = found.groupBy("wid").agg(F.array_sort(F.collect_list(F.struct("at", F.length("gram").alias("length")))).alias("by_place"), F.array_sort(F.collect_list(F.struct("_n", "gram", "at"))).alias("by_count"))
-    each = each.select("wid", F.col("by_place.length").alias("lengths"), "by_count")
-    rarest = each.select("wid", F.size("lengths").alias("m"), F.explode(F.slice("by_count", F.lit(1), affected("lengths") + 1)).alias("g"))
-    sides = F.array(F.struct(F.lit(0).alias("side"), F.col("g.at").alias("place")), F.struct(F.lit(1).alias("side"), (F.col("m") - F.col("g.at")).alias("place")))
-    return rarest.select("wid", "g.gram", F.explode(sides).alias("s")).select("gram", "s.side", "s.place", "wid")
+    """``(key, side, length, word, longer)``: an entry's hash, and the next longer entry of the word on that side."""
+    frequent = frequent_grams(words)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows: list[tuple] = []
+            for word in batch.column(0).to_pylist():
+                marked, longer = f"^{word}$", [0, 0]
+                for side, n in entries(word, frequent):
+                    part = marked[-n:] if side else marked[:n]
+                    rows.append((xxhash.xxh64_intdigest(part.encode(), side) - (1 << 63), side, n, word, longer[side]))
+                    longer[side] = n
+            for k in range(0, len(rows), 20_000):
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows[k : k + 20_000], strict=True), INDEX.types, strict=True)], schema=INDEX)
+
+    INDEX = pa.schema([("key", pa.int64()), ("side", pa.int32()), ("length", pa.int32()), ("word", pa.string()), ("longer", pa.int32())])
+    return words.select("word").mapInArrow(work, "key long, side int, length int, word string, longer int")
+
+
+def paired(side: int, length: int, words: dict[str, int]) -> set[tuple[str, str]]:
+    """The pairs in a list of ``words``, by their next longer entries, that one edit outside the entry makes equal, but for those that meet in a longer entry's list."""
+    out: set[tuple[str, str]] = set()
+    rest: dict[tuple[int, str], list[str]] = {}
+    for w, longer in words.items():
+        n = len(w)
+        for i in range(length - 1, n) if not side else range(n - length + 1):
+            less = w[:i] + w[i + 1 :]
+            agree = (n - i - 1 if side else i) + 1  # of the entry's characters, with its mark
+            if less in words and not (longer == words[less] and 0 < longer <= agree):
+                out.add((less, w) if less < w else (w, less))
+            same = rest.setdefault((i, less), [])
+            for x in same:
+                if not (longer == words[x] and 0 < longer <= agree):
+                    out.add((x, w) if x < w else (w, x))
+            same.append(w)
+    return out
+
+
+def merged_lists(entries_of: DataFrame) -> DataFrame:
+    """``(a, b, key)``: the pairs of each list; or, of a list of more than ``LIST``, each word as ``a`` without ``b``."""
 
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[tuple] = []
+        now, held, many = None, {}, False
+
+        def close() -> None:
+            if now is not None and len(held) > 1:
+                made.extend((a, b, None) for a, b in paired(*now[1:], held))
 
-def less_one() -> Column:
-    """Keys of which words that are one edit apart have one in common.
+        def told() -> pa.RecordBatch:
+            a, b, k = zip(*made, strict=True) if made else ((), (), ())
+            made.clear()
+            return pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string()), pa.array(k, pa.int64())], names=["a", "b", "key"])
 
-    A word and what is left of it without one character; for words of more than ``LONG``
-    characters, halves: an edit leaves the first half of the shorter word as it is, or the last.
-    """
+        for batch in batches:
+            for key, side, length, word, longer in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if now is None or now != (key, side, length):
+                    if not many:
+                        close()
+                    now, held, many = (key, side, length), {}, False
+                if many:
+                    made.append((word, None, key))
+                else:
+                    held[word] = longer
+                    if len(held) > LIST:
+                        made.extend((w, None, key) for w in held)
+                        held, many = {}, True
+                if len(made) >= 20_000:
+                    yield told()
+        if not many:
+            close()
+        yield told()
+
+    order = ["key", "side", "length"]
+    return entries_of.repartition(*order).sortWithinPartitions(*order).mapInArrow(work, "a string, b string, key long")
+
+
+def halves() -> Column:
+    """The first and the last half of a word, and of one that is a character shorter."""
     n = F.length("word")
-    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, n)))
-    ends = lambda m: [F.concat_ws(":", m.cast("string"), F.lit("<"), F.substring("word", F.lit(1), F.floor(m / 2).cast("int"))), F.concat_ws(":", m.cast("string"), F.lit(">"), F.substring("word", n - F.floor(m / 2).cast("int") + 1, n))]
-    none = F.array().cast("array<string>")
-    short = F.when(n <= LONG + 1, F.array_distinct(F.concat(F.array("word"), less))).otherwise(none)
-    return F.concat(short, F.when(n > LONG, F.array(*ends(n - 1), *ends(n))).otherwise(none))
+    ends = lambda m: [F.struct(m.alias("m"), F.lit(0).alias("side"), F.xxhash64(F.substring("word", F.lit(1), F.floor(m / 2).cast("int"))).alias("h")), F.struct(m.alias("m"), F.lit(1).alias("side"), F.xxhash64(F.substring("word", n - F.floor(m / 2).cast("int") + 1, n)).alias("h"))]
+    return F.array(*ends(n - 1), *ends(n))
 
 
-def near_pairs(words: DataFrame) -> DataFrame:
-    """``(a, b)``, a < b, of ``words (wid, word)``: words that one inserted, deleted or replaced character makes equal."""
-    keys = ["gram", "side", "place"]
-    lists = cut(with_sizes(cut(index(words)), keys).where("_n > 1"))
+def met(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """``(a, b)``, a < b: the words of ``rows`` that agree in ``keys`` and are one edit apart."""
+    a, b = rows.select(*keys, F.col("word").alias("a")), rows.select(*keys, F.col("word").alias("b"))
+    one = (F.abs(F.length("a") - F.length("b")) <= 1) & (F.levenshtein("a", "b", 1) == 1)
+    return a.join(b, keys).where("a < b").where(one).select("a", "b")
 
-    def met(rows: DataFrame, on: list[str]) -> DataFrame:
-        a, b = rows.select(*on, F.col("wid").alias("x")), rows.select(*on, F.col("wid").alias("y"))
-        return a.join(b, on).where("x < y").select("x", "y")
 
-    parted = lists.where(F.col("_n") > LIST).join(words, "wid").select(*keys, "wid", F.explode(less_one()).alias("variant"))
-    pairs = met(lists.where(F.col("_n") <= LIST), keys).unionByName(met(parted, [*keys, "variant"])).distinct()
-    named = pairs.join(words.select(F.col("wid").alias("x"), F.col("word").alias("v")), "x").join(words.select(F.col("wid").alias("y"), F.col("word").alias("w")), "y")
-    one = (F.abs(F.length("v") - F.length("w")) <= 1) & (F.levenshtein("v", "w", 1) == 1)
-    return named.where(one).select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b"))
+def near_pairs(words: DataFrame) -> DataFrame:
+    """``(a, b)``, a < b, of ``words (word)``: words that one inserted, deleted or replaced character makes equal."""
+    found = cut(merged_lists(index(words.where(F.length("word") <= LONG + 1))))
+    n = F.length("word")
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.substring("word", F.lit(1), i - 1), F.substring("word", i + 1, n)))
+    many = found.where("b is null").select("key", F.col("a").alias("word")).distinct()
+    parted = many.withColumn("variant", F.explode(F.array_distinct(F.concat(F.array("word"), less))))
+    long = words.where(F.length("word") > LONG).select("word", F.explode(halves()).alias("k")).select("word", "k.*")
+    pairs = found.where("b is not null").select("a", "b").unionByName(met(parted, ["key", "variant"])).unionByName(met(long, ["m", "side", "h"]))
+    return pairs.distinct()
 
 
 def variants(words: DataFrame) -> DataFrame:
     """``(word, form, root, n, n_near, form_n)`` of ``words (word, n)``."""
-    words = cut(words.withColumn("wid", F.monotonically_increasing_id()))
-    pairs = cut(near_pairs(words.select("wid", "word")))
-    words = words.drop("wid")
+    words = cut(words)
+    pairs = cut(near_pairs(words.select("word")))
     both = pairs.select(F.col("a").alias("word"), F.col("b").alias("other")).unionByName(pairs.select(F.col("b").alias("word"), F.col("a").alias("other")))
     sized = both.join(words.select(F.col("word").alias("other"), F.col("n").alias("m")), "other")
     near = sized.groupBy("word").agg(F.count("*").alias("n_near"), F.min(F.struct((-F.col("m")).alias("m"), "other")).alias("best"))

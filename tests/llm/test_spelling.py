@@ -64,7 +64,6 @@ def test_words(spark, tmp_path, monkeypatch, alphabet, rare, most):
     """Few letters make frequent grams and long lists; low limits take every way."""
     monkeypatch.setattr(S, "RARE", rare)
     monkeypatch.setattr(S, "LIST", most)
-    monkeypatch.setattr(S, "COMMON_ROWS", 50)
     monkeypatch.setattr(S, "HELD", 100)
     monkeypatch.setattr(S, "LONG", 8)
     rows = corpus(len(alphabet), alphabet, 150)
@@ -75,9 +74,19 @@ def test_words(spark, tmp_path, monkeypatch, alphabet, rare, most):
     assert any(v[0] for v in got.values()) and any(v[0] != v[1] and v[0] for v in got.values())
 
 
-def test_bounds(spark):
-    lengths = spark.createDataFrame([([2, 2, 2, 2, 2],), ([4, 4, 3, 3, 2],), ([4, 2, 3, 2, 2],)], "x array<int>")
-    assert [r[0] for r in lengths.select(S.affected("x")).collect()] == [2, 4, 3]
+def test_entries_outlive_edits():
+    """Whatever the edit and the dictionary, two near words have an entry in common."""
+    rng = random.Random(1)
+    for _ in range(3000):
+        letters = rng.choice(["ab", "abcdé"])
+        frequent = frozenset("".join(rng.choice("^$" + letters) for _ in range(rng.choice([2, 3]))) for _ in range(rng.choice([0, 10, 200])))
+        w = "".join(rng.choice(letters) for _ in range(rng.randint(5, 12)))
+        k, c = rng.randrange(len(w)), rng.choice(letters)
+        x = rng.choice([w[:k] + w[k + 1 :], w[:k] + c + w[k:], w[:k] + c + w[k + 1 :], w + c])
+        if x == w:
+            continue
+        keys = [{(side, f"^{y}$"[-n:] if side else f"^{y}$"[:n]) for side, n in S.entries(y, frequent)} for y in (w, x)]
+        assert keys[0] & keys[1], (w, x)
 
 
 def test_empty(spark, empty):
