@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from lattica.graph import Graph
 from lattica.operators import vectors
-from lattica.operators.kernels import Net, frame, per_source
-from lattica.operators.paths import hops
+from lattica.operators.kernels import Net, frame
 from lattica.plans.cut import cut
+from lattica.plans.frontiers import batches, dependencies, levels
 
 
 class ConvergenceError(ArithmeticError):
@@ -33,61 +33,50 @@ def degree_centrality_array(g: Graph) -> DataFrame:
     return g.degrees().join(g.nodes, "id").orderBy("pos").select("id", F.col("degree").cast("double").alias("score"))
 
 
-def _distances(g: Graph, value) -> DataFrame:
-    n = g.number_of_nodes()
-
-    def kernel(net: Net, sources: list[int]):
-        for s in sources:
-            yield net.ids[s], value(hops(net.adj, s), n)
+def _distances(g: Graph, value: Column) -> DataFrame:
+    """``(id, score)`` from ``s``, the sum of distances to the ``k`` other nodes that are reached, and ``x``, that of their inverses.
 
-    return per_source(g, kernel, "id long, score double")
+    Sources are searched from in batches of bounded rows, all of a batch at once; the graph stays a table.
+    """
+    arcs = cut(g.arcs.where("src <> dst").select("src", "dst"))
+    parts = None
+    for sources in batches(g.nodes):
+        sums = None
+        for k, level in enumerate(levels(sources, arcs)):
+            one = level.groupBy("source").agg(F.count("*").alias("n")).withColumn("d", F.lit(k))
+            sums = one if sums is None else sums.unionByName(one)
+        d = F.col("d")
+        made = cut(sums.groupBy(F.col("source").alias("id")).agg(F.sum(d * F.col("n")).alias("s"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("k"), F.coalesce(F.sum(F.when(d > 0, F.col("n") / d)), F.lit(0.0)).alias("x")).select("id", value.alias("score")))
+        parts = made if parts is None else parts.unionByName(made)
+    return parts
 
 
 def closeness_centrality(g: Graph) -> DataFrame:
     """``(n - 1) / sum of distances`` over what is reached; 0 if nothing is."""
-    return _distances(g, lambda d, n: (n - 1) / sum(d.values()) if len(d) > 1 else 0.0)
+    n = g.number_of_nodes()
+    return _distances(g, F.when(F.col("k") > 0, F.lit(float(n - 1)) / F.col("s")).otherwise(0.0))
 
 
 def harmonic_centrality(g: Graph) -> DataFrame:
     """Sum of 1 / distance."""
-    return _distances(g, lambda d, n: float(sum(1 / x for x in d.values() if x)))
-
-
-def dependencies(adj, s: int) -> dict[int, float]:
-    """Shares of the shortest paths from ``s`` that pass each node."""
-    dist, count, order = {s: 0}, {s: 1}, [s]
-    before: dict[int, list[int]] = {s: []}
-    for u in order:
-        for v, _ in adj[u]:
-            if v not in dist:
-                dist[v], count[v], before[v] = dist[u] + 1, 0, []
-                order.append(v)
-            if dist[v] == dist[u] + 1:
-                count[v] += count[u]
-                before[v].append(u)
-    passed = dict.fromkeys(order, 0.0)
-    for v in reversed(order):
-        for u in before[v]:
-            passed[u] += count[u] / count[v] * (1 + passed[v])
-    passed[s] = 0.0
-    return passed
+    return _distances(g, F.col("x"))
 
 
 def betweenness_centrality(g: Graph, normalized: bool = True) -> DataFrame:
-    """Shortest paths (in hops) through each node. Sources are spread over tasks, and a task adds
-    its sources up before anything is shuffled."""
+    """Shortest paths (in hops) through each node.
+
+    Sources are searched from in batches of bounded rows, with the number of paths to each node;
+    levels are then gone back over, each handing on what hangs on it.
+    """
     n = g.number_of_nodes()
     scale = 0.0 if n < 3 else 1 / ((n - 1) * (n - 2)) if normalized else 1.0 if g.directed else 0.5
-
-    def kernel(net: Net, sources: list[int]):
-        total: dict[int, float] = {}
-        for s in sources:
-            for v, x in dependencies(net.adj, s).items():
-                total[v] = total.get(v, 0.0) + x
-        return [(net.ids[v], x) for v, x in total.items()]
-
-    sums = per_source(g, kernel, "id long, part double").groupBy("id").agg(F.sum("part").alias("part"))
-    return g.nodes.join(sums, "id", "left").select("id", (F.coalesce("part", F.lit(0.0)) * scale).alias("score"))
+    arcs = cut(g.arcs.where("src <> dst").select("src", "dst"))
+    sums = g.nodes.select("id", F.lit(0.0).alias("part"))
+    for sources in batches(g.nodes):
+        for part in dependencies(levels(sources, arcs), arcs):
+            sums = sums.unionByName(part)
+        sums = cut(sums.groupBy("id").agg(F.sum("part").alias("part")))
+    return sums.select("id", (F.col("part") * scale).alias("score"))
 
 
 def _iterate(g: Graph, start: DataFrame, step, max_iter: int, tol: float | None) -> tuple[DataFrame, bool]:

@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import heapq
+import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
 from lattica.operators.kernels import Net, frame, run
+from lattica.operators.paths import multi_source_bfs
 from lattica.plans.cut import cut
+from lattica.plans.sweep import along, sweep
 
 
 class CycleError(ValueError):
@@ -62,19 +65,15 @@ def is_dag(g: Graph) -> bool:
 
 def _layers(g: Graph) -> tuple[DataFrame, bool]:
     """``(id, generation)`` by peeling nodes without arcs in, and whether all went."""
-    arcs = cut(g.arcs.select("src", "dst"))
-    left = cut(g.nodes.select("id"))
-    done, k = left.where(F.lit(False)).withColumn("generation", F.lit(0).cast("long")), 0
-    while not left.isEmpty():
-        front = cut(left.join(arcs.select(F.col("dst").alias("id")).distinct(), "id", "left_anti"))
-        if front.isEmpty():
-            return done, False
-        done = done.unionByName(front.withColumn("generation", F.lit(k).cast("long")))
-        done = cut(done) if k % 8 == 7 else done
-        left = cut(left.join(front, "id", "left_anti"))
-        arcs = cut(arcs.join(front.withColumnRenamed("id", "src"), "src", "left_anti"))
-        k += 1
-    return done, True
+    return sweep(g.nodes.select("id"), cut(g.arcs.select("src", "dst")), [], dict)
+
+
+def _swept(g: Graph, nodes: DataFrame, arcs: DataFrame, push: list, merge) -> DataFrame:
+    """``sweep``, or the cycle that stands against it; an order of a node's predecessors is that of ``pos``."""
+    rows, whole = sweep(nodes, arcs, push, merge)
+    if not whole:
+        raise CycleError(find_cycle(g))
+    return rows
 
 
 def _checked(g: Graph) -> DataFrame:
@@ -127,61 +126,68 @@ def ancestors(g: Graph, target: int) -> DataFrame:
     return descendants(g.reversed(), target)
 
 
-def dag_longest_path(g: Graph, weighted: bool = True) -> tuple[float, list[int]]:
-    """Length and nodes of the heaviest path; of equal ends the first in order counts."""
+def longest_paths(g: Graph, weighted: bool = True) -> DataFrame:
+    """``(id, pos, length, previous, generation)``: the heaviest path that ends in each node, and the node before it.
+
+    A path begins where nothing before it adds to its weight; of equal predecessors the one of the
+    earliest generation counts, and of these the first in node order.
+    """
     _need(g)
+    arcs = cut(g.arcs.select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight")))
+    nodes = g.nodes.select("id", "pos", F.lit(0.0).alias("length"), F.lit(None).cast("long").alias("previous"))
+    way = F.struct((F.col("length") + F.col("weight")).alias("x"), (-F.col("pos")).alias("first"), F.col("src").alias("via"))
+    grows = F.coalesce(F.col("_way.x") > F.col("length"), F.lit(False))
+    return _swept(g, nodes, arcs, [F.max(way).alias("_way")], lambda: {"length": F.when(grows, F.col("_way.x")).otherwise(F.col("length")), "previous": F.when(grows, F.col("_way.via")).otherwise(F.col("previous"))})
 
-    def kernel(net: Net):
-        order = _order(net)
-        best, before = {v: 0.0 for v in order}, {}
-        for u in order:
-            for v, w in net.adj[u]:
-                x = best[u] + (w if weighted else 1.0)
-                if x > best[v]:
-                    best[v], before[v] = x, u
-        if not order:
-            return []
-        top = max(best.values())
-        end = min(v for v in order if best[v] == top)
-        path = [end]
-        while path[-1] in before:
-            path.append(before[path[-1]])
-        return [(top, net.ids[x]) for x in reversed(path)]
-
-    rows = run(g, kernel, "length double, id long")
-    return (rows[0][0], [r[1] for r in rows]) if rows else (0.0, [])
-
-
-def _order(net: Net) -> list[int]:
-    need = [0] * net.n
-    for row in net.adj:
-        for v, _ in row:
-            need[v] += 1
-    queue = [v for v in range(net.n) if not need[v]]
-    for u in queue:
-        for v, _ in net.adj[u]:
-            need[v] -= 1
-            if not need[v]:
-                queue.append(v)
-    if len(queue) < net.n:
-        raise CycleError(_cycle(net))
-    return queue
+
+def dag_longest_path(g: Graph, weighted: bool = True) -> tuple[float, list[int]]:
+    """Length and nodes of the heaviest path; of equal ends the first in node order counts. The path alone comes to the driver."""
+    rows = cut(longest_paths(g, weighted))
+    end = rows.orderBy(F.desc("length"), "pos").first()
+    if end is None:
+        return 0.0, []
+    path = rows.join(along(end["id"], rows.select("id", F.col("previous").alias("next"))), "id").orderBy("generation")
+    return end["length"], [r["id"] for r in path.select("id").collect()]
+
+
+#: Bits of a prime that paths are counted by.
+_BITS = 30
+
+
+def _primes(n: int) -> list[int]:
+    """The greatest ``n`` primes below ``2^_BITS``."""
+    out, k = [], (1 << _BITS) - 1
+    while len(out) < n:
+        if all(k % d for d in range(3, math.isqrt(k) + 1, 2)):
+            out.append(k)
+        k -= 2
+    return out
 
 
 def count_paths(g: Graph, source: int, target: int) -> int:
-    """The exact number of paths, of any size."""
+    """The exact number of paths, of any size.
+
+    It is counted by its remainders of as many primes as its size may ask for, which the arcs
+    that come together in each generation bound, and put together from them.
+    """
     _need(g)
     g.require(source, target)
-
-    def kernel(net: Net):
-        ways = [0] * net.n
-        ways[net.index[source]] = 1
-        for u in _order(net):
-            for v, _ in net.adj[u]:
-                ways[v] += ways[u]
-        return [(str(ways[net.index[target]]),)]
-
-    return int(run(g, kernel, "n string")[0][0])
+    known = _checked(g)
+    arcs = cut(g.arcs.select("src", "dst"))
+    ahead = cut(multi_source_bfs(Graph(g.nodes, arcs.withColumns({"weight": F.lit(1.0), "pos": F.lit(0)}), True), g.spark.createDataFrame([(source,)], "source long")).select(F.col("dst").alias("id")))
+    arcs = cut(arcs.join(ahead.withColumnRenamed("id", "src"), "src"))
+    met = arcs.groupBy(F.col("dst").alias("id")).agg(F.count("*").alias("k")).join(known, "id").groupBy("generation").agg(F.max("k").alias("k"))
+    bits = met.agg(F.sum(F.log2("k"))).first()[0] or 0.0
+    primes = _primes(int(bits) // (_BITS - 1) + 1)
+    nodes = ahead.select("id", *(F.when(F.col("id") == source, 1).otherwise(0).cast("long").alias(f"n{k}") for k in range(len(primes))))
+    push = [F.sum(f"n{k}").alias(f"_n{k}") for k in range(len(primes))]
+    rows = _swept(g, nodes, arcs, push, lambda: {f"n{k}": (F.col(f"n{k}") + F.coalesce(f"_n{k}", F.lit(0))) % p for k, p in enumerate(primes)})
+    row = rows.where(F.col("id") == target).first()
+    total, product = 0, 1
+    for k, p in enumerate(primes if row else []):
+        total += product * ((row[f"n{k}"] - total) * pow(product, -1, p) % p)
+        product *= p
+    return total
 
 
 def path_counts(g: Graph) -> DataFrame:
@@ -218,34 +224,35 @@ def transitive_reduction(g: Graph) -> DataFrame:
     return g.arcs.join(over, ["src", "dst"], "left_anti").select("src", "dst", "weight")
 
 
-def critical_path(g: Graph, durations: dict[int, float]) -> tuple[DataFrame, float, list[int]]:
-    """``(id, es, ef, ls, lf, slack, critical)``, the whole duration and a critical path."""
+def critical_path(g: Graph, durations: dict[int, float] | DataFrame) -> tuple[DataFrame, float, list[int]]:
+    """``(id, es, ef, ls, lf, slack, critical)``, the whole duration and a critical path.
+
+    ``durations`` are a mapping or ``(id, duration)``. Forward the nodes take the latest finish before
+    them, backward the earliest start after them. The path begins in the first critical node
+    that nothing is before, and goes on to the first that it holds up.
+    """
     _need(g)
-    if any(d < 0 for d in durations.values()):
+    if not isinstance(durations, DataFrame):
+        durations = g.spark.createDataFrame([(int(k), float(v)) for k, v in durations.items()], "id long, duration double")
+    given = cut(g.nodes.join(durations.select("id", F.col("duration").cast("double").alias("d")), "id", "left"))
+    if not given.where("d < 0").isEmpty():
         raise ValueError("durations must not be negative")
-
-    def kernel(net: Net):
-        order = _order(net)
-        d = [float(durations[i]) for i in net.ids]
-        es, back = [0.0] * net.n, net.back()
-        for u in order:
-            es[u] = max((es[v] + d[v] for v, _ in back[u]), default=0.0)
-        whole = max((es[u] + d[u] for u in order), default=0.0)
-        lf = [whole] * net.n
-        for u in reversed(order):
-            lf[u] = min((lf[v] - d[v] for v, _ in net.adj[u]), default=whole)
-        tol = 1e-9 * max(1.0, whole)
-        rows = []
-        for u in range(net.n):
-            slack = lf[u] - d[u] - es[u]
-            rows.append((net.ids[u], es[u], es[u] + d[u], lf[u] - d[u], lf[u], 0.0 if abs(slack) <= tol else slack, abs(slack) <= tol, whole))
-        path, crit = [], {u for u in range(net.n) if rows[u][6]}
-        now = next((u for u in range(net.n) if u in crit and es[u] <= tol), None)
-        while now is not None:
-            path.append(net.ids[now])
-            now = next((v for v, _ in net.adj[now] if v in crit and abs(es[v] - es[now] - d[now]) <= tol), None)
-        return [(*r, path) for r in rows]
-
-    rows = run(g, kernel, "id long")
-    out = g.spark.createDataFrame([r[:7] for r in rows], "id long, es double, ef double, ls double, lf double, slack double, critical boolean")
-    return out, rows[0][7] if rows else 0.0, rows[0][8] if rows else []
+    if (bare := given.where("d is null").first()) is not None:
+        raise KeyError(f"no duration for node {bare['id']}")
+    arcs = cut(g.arcs.select("src", "dst", F.col("pos").alias("place")))
+    forward = cut(_swept(g, given.withColumn("es", F.lit(0.0)), arcs, [F.max(F.col("es") + F.col("d")).alias("_es")], lambda: {"es": F.greatest("es", "_es")}))
+    whole = forward.agg(F.max(F.col("es") + F.col("d"))).first()[0] or 0.0
+    turned = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
+    backward = _swept(g, given.select("id", "d", F.lit(whole).alias("lf")), turned, [F.min(F.col("lf") - F.col("d")).alias("_lf")], lambda: {"lf": F.least("lf", "_lf")})
+    both = forward.join(backward.select("id", "lf"), "id")
+    slack, tol = F.col("lf") - F.col("d") - F.col("es"), 1e-9 * max(1.0, whole)
+    rows = cut(both.select("id", "pos", "d", "generation", "es", "lf", F.when(F.abs(slack) <= tol, 0.0).otherwise(slack).alias("slack"), (F.abs(slack) <= tol).alias("critical")))
+    hot = rows.where("critical")
+    start = hot.where("generation = 0").orderBy("pos").first()
+    path: list[int] = []
+    if start is not None:
+        ends = arcs.join(hot.select(F.col("id").alias("src"), (F.col("es") + F.col("d")).alias("ef")), "src").join(hot.select(F.col("id").alias("dst"), F.col("es").alias("next_es")), "dst")
+        steps = ends.where(F.abs(F.col("next_es") - F.col("ef")) <= tol).groupBy(F.col("src").alias("id")).agg(F.min_by("dst", F.struct("place", "dst")).alias("next"))
+        path = [r["id"] for r in rows.join(along(start["id"], steps), "id").orderBy("generation").select("id").collect()]
+    out = rows.select("id", "es", (F.col("es") + F.col("d")).alias("ef"), (F.col("lf") - F.col("d")).alias("ls"), "lf", "slack", "critical")
+    return out, whole, path

@@ -6,83 +6,76 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
-from lattica.operators.kernels import LONGS, Net, frame, per_component, per_source
+from lattica.operators.kernels import LONGS, Net, frame, per_source
 from lattica.plans.components import components
 from lattica.plans.cut import cut
+from lattica.plans.forest import below, rooted, spanning_forest
 
 
-def _lowlinks(net: Net):
-    """Bridges, articulation points and blocks of the simple view, without recursion."""
-    near = [sorted(x) for x in net.simple()]
-    when, low = [-1] * net.n, [0] * net.n
-    clock, bridges, points, blocks = 0, [], set(), []
-    for root in range(net.n):
-        if when[root] >= 0:
-            continue
-        when[root] = low[root] = clock
-        clock += 1
-        walk, trail, children = [(root, -1, 0)], [], 0
-        while walk:
-            u, up, k = walk.pop()
-            if k < len(near[u]):
-                walk.append((u, up, k + 1))
-                v = near[u][k]
-                if when[v] < 0:
-                    when[v] = low[v] = clock
-                    clock += 1
-                    trail.append((u, v))
-                    walk.append((v, u, 0))
-                elif v != up and when[v] < when[u]:
-                    trail.append((u, v))
-                    low[u] = min(low[u], when[v])
-                continue
-            if up < 0:
-                continue
-            low[up] = min(low[up], low[u])
-            if low[u] > when[up]:
-                bridges.append((up, u))
-            if low[u] >= when[up]:
-                children += up == root
-                if up != root:
-                    points.add(up)
-                block: set[int] = set()
-                while True:
-                    a, b = trail.pop()
-                    block |= {a, b}
-                    if (a, b) == (up, u):
-                        break
-                blocks.append(block)
-        if children > 1:
-            points.add(root)
-    return bridges, points, blocks
-
-
-def bridges(g: Graph) -> DataFrame:
-    """``(a, b)``, a < b: edges whose loss parts their component."""
-    return per_component(g, lambda net: [tuple(sorted((net.ids[u], net.ids[v]))) for u, v in _lowlinks(net)[0]], LONGS("a", "b")).orderBy("a", "b")
-
-
-def articulation_points(g: Graph) -> DataFrame:
-    return per_component(g, lambda net: [(net.ids[v],) for v in _lowlinks(net)[1]], LONGS("id")).orderBy("id")
-
-
-def biconnected_components(g: Graph) -> DataFrame:
-    """``(size, members)``, the largest first; isolated nodes are in none."""
-    rows = per_component(g, lambda net: [(len(b), sorted(net.ids[v] for v in b)) for b in _lowlinks(net)[2]], "size long, members array<long>")
-    return rows.orderBy(F.desc("size"), "members")
-
-
-def two_edge_connected_components(g: Graph) -> DataFrame:
+def blocks(g: Graph) -> DataFrame:
+    """``(child, parent, block)``: the edges of a spanning forest of the simple view, each with its biconnected component, named by some child.
+
+    An edge of the forest and that above it are in one block if an edge leaves what hangs below
+    them both, which the least and greatest places of the neighbours below tell; so are the
+    edges above two nodes that an edge joins, neither of which is over the other.
+    """
+    edges = cut(g.simple())
+    forest, label = spanning_forest(edges)
+    tree = rooted(forest, label)
+    rest = edges.join(forest, ["a", "b"], "left_anti")
+    at = lambda x: tree.select(F.col("id").alias(x), F.col("enter").alias(f"e{x}"), F.col("leave").alias(f"l{x}"))
+    back = cut(rest.join(at("a"), "a").join(at("b"), "b"))
+    seen = back.select(F.col("a").alias("id"), F.col("eb").alias("e")).unionByName(back.select(F.col("b").alias("id"), F.col("ea").alias("e")))
+    seen = seen.groupBy("id").agg(F.min("e").alias("l"), F.max("e").alias("h"))
+    own = tree.join(seen, "id", "left").select("id", "parent", F.least("enter", "l").alias("low"), F.greatest("enter", "h").alias("high"))
+    reach = below(own)
+    aside = back.where("not (ea <= eb and lb <= la) and not (eb <= ea and la <= lb)").select(F.col("a").alias("u"), F.col("b").alias("v"))
+    kids = cut(tree.where("parent is not null").select(F.col("id").alias("child"), "parent"))
+    above = tree.where("parent is not null").select(F.col("id").alias("parent"), "enter", "leave")
+    out = kids.join(above, "parent").join(reach.withColumnRenamed("id", "child"), "child").where("low < enter or high > leave").select(F.col("parent").alias("u"), F.col("child").alias("v"))
+    roots = components(aside.unionByName(out)).select(F.col("id").alias("child"), F.col("root").alias("block"))
+    return cut(kids.join(roots, "child", "left").select("child", "parent", F.coalesce("block", "child").alias("block")))
+
+
+def bridges(g: Graph, found: DataFrame | None = None) -> DataFrame:
+    """``(a, b)``, a < b: edges whose loss parts their component: blocks of one edge. ``found`` are the graph's ``blocks``."""
+    one = (found or blocks(g)).groupBy("block").agg(F.count("*").alias("n"), F.min("child").alias("u"), F.min("parent").alias("v")).where("n = 1")
+    return one.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).orderBy("a", "b")
+
+
+def _members(found: DataFrame) -> DataFrame:
+    return found.select("block", F.explode(F.array("child", "parent")).alias("id")).distinct()
+
+
+def articulation_points(g: Graph, found: DataFrame | None = None) -> DataFrame:
+    """``(id)``: nodes whose loss parts their component, which are in several blocks."""
+    return _members(found or blocks(g)).groupBy("id").count().where("count > 1").select("id").orderBy("id")
+
+
+def biconnected_labels(g: Graph, found: DataFrame | None = None) -> DataFrame:
+    """``(id, block)``: the blocks that a node is in."""
+    return _members(found or blocks(g)).select("id", "block")
+
+
+def biconnected_components(g: Graph, found: DataFrame | None = None) -> DataFrame:
+    """``(size, members)``, the largest first; isolated nodes are in none. A block's members are one row: ``biconnected_labels`` has a row for each."""
+    rows = _members(found or blocks(g)).groupBy("block").agg(F.array_sort(F.collect_list("id")).alias("members"))
+    return rows.select(F.size("members").cast("long").alias("size"), "members").orderBy(F.desc("size"), "members")
+
+
+def two_edge_connected_components(g: Graph, found: DataFrame | None = None) -> DataFrame:
     """``(id, component)``, named by its least member."""
-    gone = cut(bridges(g))
+    gone = cut(bridges(g, found))
     left = g.simple().join(gone, ["a", "b"], "left_anti")
     roots = components(left.select(F.col("a").alias("u"), F.col("b").alias("v")))
     return g.nodes.join(roots, "id", "left").select("id", F.coalesce("root", "id").alias("component"))
 
 
 def cut_structure(g: Graph) -> dict:
-    b, a, c = bridges(g).collect(), articulation_points(g).collect(), biconnected_components(g).collect()
-    t = two_edge_connected_components(g).groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("m")).collect()
+    """All of it, from one computation of the blocks; lists of all that is found come to the driver, as the result is one."""
+    found = blocks(g)
+    b, a, c = bridges(g, found).collect(), articulation_points(g, found).collect(), biconnected_components(g, found).collect()
+    t = two_edge_connected_components(g, found).groupBy("component").agg(F.array_sort(F.collect_list("id")).alias("m")).collect()
     return {
         "bridges": [tuple(x) for x in b], "articulation_points": [x["id"] for x in a], "biconnected_components": [x["members"] for x in c],
         "two_edge_connected_components": sorted(x["m"] for x in t), "n_bridges": len(b), "n_articulation_points": len(a),

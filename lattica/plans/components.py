@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.plans.cut import cut
+from lattica.plans.cut import round_cut
 
 
 def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
@@ -18,8 +18,8 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     settled after ``max_rounds`` raise an error.
     """
     pairs = edges.where("u <> v").select("u", "v")
-    both = cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    parent = cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
+    both = round_cut(pairs.unionByName(pairs.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    parent = round_cut(both.groupBy(F.col("u").alias("id")).agg(F.least(F.col("u"), F.min("v")).alias("root")))
     total = F.sum(F.col("root").cast("decimal(38,0)")).alias("s")
     before = parent.agg(total).first()["s"]
     for _ in range(max_rounds):
@@ -34,7 +34,7 @@ def components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
             .unionByName(seen.select("id", F.col("best").alias("root")))
             .unionByName(seen.select(F.col("root").alias("id"), F.col("best").alias("root")))
         )
-        parent = cut(offers.groupBy("id").agg(F.min("root").alias("root")))
+        parent = round_cut(offers.groupBy("id").agg(F.min("root").alias("root")))
         after = parent.agg(total).first()["s"]
         if after == before:
             return parent

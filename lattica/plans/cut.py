@@ -44,6 +44,16 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def round_cut(df: DataFrame) -> DataFrame:
+    """``cut`` for a round whose result is joined with itself in the next.
+
+    A checkpoint keeps Spark's estimate of its plan's size, and joins multiply those: over many
+    rounds the number itself grows beyond all bounds. Here the estimate is left behind.
+    """
+    spark, there = df.sparkSession, cut(df)._jdf
+    return DataFrame(spark._jsparkSession.internalCreateDataFrame(there.queryExecution().toRdd(), there.schema(), False), spark)
+
+
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a Parquet table in the shared folder: its lineage ends there, and later readers take the columns they need."""
     path = f"{shared_dir(df.sparkSession)}/lattica_table_{uuid.uuid4().hex}"

@@ -333,9 +333,22 @@ def articulation_points(spark, d):
     return T.articulation_points(G.hierarchy(spark, d, False).cut())
 
 
-@query()
+#: Who reaches whom without one node; two nodes that no node parts are in one block.
+_SAME = f"WITH RECURSIVE {HUND}, r AS (SELECT g.id AS gone, s.id AS s, s.id AS id FROM nodes g JOIN nodes s ON s.id <> g.id UNION SELECT gone, s, dst FROM r JOIN arcs ON src = r.id WHERE dst <> gone), sep AS (SELECT x.id AS a, y.id AS b FROM nodes g JOIN nodes x ON x.id <> g.id JOIN nodes y ON y.id <> g.id LEFT JOIN r ON r.gone = g.id AND r.s = x.id AND r.id = y.id WHERE r.id IS NULL GROUP BY 1, 2), m AS (SELECT e.a, e.b, n.id FROM e JOIN nodes n ON NOT EXISTS (SELECT 1 FROM sep WHERE sep.a = e.a AND sep.b = n.id) AND NOT EXISTS (SELECT 1 FROM sep WHERE sep.a = e.b AND sep.b = n.id))"
+
+
+@query(_SAME + " SELECT DISTINCT count(*) AS size, string_agg(id::VARCHAR, ',' ORDER BY id) AS members FROM m GROUP BY a, b")
 def biconnected_components(spark, d):
-    return T.biconnected_components(G.hierarchy(spark, d, False).cut())
+    return T.biconnected_components(G.hierarchy(spark, d, False)).select("size", F.array_join("members", ",").alias("members"))
+
+
+@query(f"WITH RECURSIVE {PS}, n AS (SELECT DISTINCT src AS id FROM arcs), r AS (SELECT b AS gone, min(id) AS id FROM (SELECT DISTINCT b FROM e) x JOIN n ON id <> b GROUP BY 1 UNION SELECT gone, dst FROM r JOIN arcs ON src = r.id WHERE dst <> gone), lone AS (SELECT a FROM e GROUP BY 1 HAVING count(*) = 1) SELECT (SELECT count(*) FROM lone) AS lone, count(*) AS cuts FROM (SELECT gone FROM r GROUP BY 1 HAVING count(*) < (SELECT count(*) - 1 FROM n))")
+def part_supplier_cuts(spark, d):
+    """Parts of one supplier, which hang on bridges, and suppliers without whom the graph falls apart."""
+    g = G.part_supplier(spark, d).cut()
+    found = T.blocks(g)
+    lone = T.bridges(g, found).join(g.degrees().where("degree = 1").select(F.col("id").alias("a")), "a").count()
+    return row(spark, lone=lone, cuts=T.articulation_points(g, found).where(F.col("id") >= G.SUPPLIER).count())
 
 
 def _users(spark, d) -> Graph:
@@ -523,10 +536,19 @@ def count_paths(spark, d):
 @query(f"WITH RECURSIVE {HDIR}, t AS (SELECT id, (1 + id % 5)::DOUBLE AS t FROM nodes), f AS (SELECT id, 0e0 AS x, 0 AS i FROM nodes UNION ALL SELECT dst, max(x + t), i + 1 FROM f JOIN t USING (id) JOIN arcs ON src = id GROUP BY dst, i), b AS (SELECT id, 0e0 AS x, 0 AS i FROM nodes UNION ALL SELECT src, max(x + t), i + 1 FROM b JOIN t USING (id) JOIN arcs ON dst = id GROUP BY src, i), es AS (SELECT id, max(x) AS es FROM f GROUP BY 1), tail AS (SELECT id, max(x) AS tail FROM b GROUP BY 1), whole AS (SELECT max(es + t) AS w FROM es JOIN t USING (id)) SELECT id, es, es + t AS ef, w - tail - t AS ls, w - tail AS lf, w - tail - t - es AS slack, w - tail - t - es = 0 AS critical FROM es JOIN t USING (id) JOIN tail USING (id), whole")
 def critical_path(spark, d):
     g = G.hierarchy(spark, d).cut()
-    return D.critical_path(g, {r["id"]: 1.0 + r["id"] % 5 for r in g.nodes.collect()})[0]
+    return D.critical_path(g, g.nodes.select("id", (1.0 + F.col("id") % 5).alias("duration")))[0]
+
+
+_EVENTS = "a0 AS (SELECT DISTINCT user_id AS src, lead(user_id) OVER (PARTITION BY event_type, date_trunc('day', ts) ORDER BY ts, event_id) AS dst FROM events), arcs AS MATERIALIZED (SELECT src, dst FROM a0 WHERE src < dst), nodes AS (SELECT src AS id FROM arcs UNION SELECT dst FROM arcs)"
+
+
+@query(f"WITH RECURSIVE {_EVENTS}, r AS (SELECT id, 0::BIGINT AS generation FROM nodes UNION SELECT dst, generation + 1 FROM r JOIN arcs ON src = id) SELECT id, max(generation) AS length FROM r GROUP BY 1")
+def event_chains(spark, d):
+    """The longest chain of users' events, each of a greater id, that ends with each user."""
+    return D.longest_paths(G.event_dag(spark, d)).select("id", F.col("length").cast("long").alias("length"))
 
 
-@query("SELECT true AS dag, false AS other")
+@query(f"WITH RECURSIVE {HDIR}, {NT.replace('arcs AS', 'trade AS')}, r AS (SELECT src AS s, dst AS id FROM arcs UNION SELECT s, dst FROM r JOIN arcs ON src = id), q AS (SELECT src AS s, dst AS id FROM trade UNION SELECT s, dst FROM q JOIN trade ON src = id) SELECT (SELECT count(*) = 0 FROM r WHERE s = id) AS dag, (SELECT count(*) = 0 FROM q WHERE s = id) AS other")
 def is_dag(spark, d):
     return row(spark, dag=D.is_dag(G.hierarchy(spark, d)), other=D.is_dag(G.nation_trade(spark, d)))
 
