@@ -3,8 +3,8 @@
 A page is read into blocks: runs of text between the tags that break lines. A linear
 classifier gives each block its cost of being content or boilerplate, from where it stands in
 the DOM, its links, length and punctuation; the costs are the capacities from the source and to
-the sink. An element whose tag or names tell of a page's furniture speaks against what it
-holds, unless its names also tell of content, or it holds the page's first heading, or its main
+the sink. An element whose tag or one of whose names tells of a page's furniture speaks against
+what it holds, whatever else its names tell of, unless it holds the page's first heading, or its main
 part, with half of the text, as wrappers do. Blocks that follow each other are joined by edges that weaken with their distance in
 the DOM, and so are a block and the last one under the same parent, wherever it stands. The
 minimum cut is the labelling of least total cost, and the blocks on the source's side are the
@@ -46,9 +46,11 @@ BREAKS = frozenset("address article aside blockquote body caption center dd deta
 ITEMS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 CONTENT = frozenset(["article", "main"])
 BOILER = frozenset("nav footer aside form menu dialog fieldset".split())
-#: Parts of a class, id or role that name a page's furniture, and those that name its content.
-FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popup promo promoted recommended related replies reply respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar widget".split())
-NAMED_CONTENT = frozenset("article body content entry main page post story text wrapper".split())
+#: Parts of a class, id or role that name a page's furniture.
+FURNITURE = frozenset("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies copyright disqus feedback footer gdpr header login masthead menu menubar modal nav navbar navigation newsletter notice notices pager pagination popular popup promo promoted reaction reactions recommended related replies reply respond responses search share sharing sidebar signup skip social sponsor sponsored subscribe subscription tags toolbar topbar trending widget".split())
+#: Parts that make a name one of a state (``no-sidebar``, ``comments-open``), and names that a quotation can have for what it is offered for.
+STATES = frozenset("closed disabled enabled has is no none off on open with without".split())
+QUOTED = frozenset("promo promoted share sharing social sponsor sponsored".split())
 #: Share of a page's text from which an element with its heading or main part is a wrapper.
 WRAPS = 0.5
 
@@ -100,12 +102,15 @@ class Mark:
     last: int = -1
 
 
-def _furniture(attributes: str) -> bool:
-    """Whether the names of an element tell of furniture and not of content."""
-    parts: set[str] = set()
+def _furniture(name: str, attributes: str) -> bool:
+    """Whether one of an element's names tells of furniture, whatever else it tells of."""
+    barred = FURNITURE - QUOTED if name in ("blockquote", "q", "pre") else FURNITURE
     for match in _NAMES.finditer(attributes):
-        parts.update(p.lower() for p in _PARTS.findall(next(x for x in match.groups() if x is not None)))
-    return not FURNITURE.isdisjoint(parts) and NAMED_CONTENT.isdisjoint(parts)
+        for each in next(x for x in match.groups() if x is not None).split():
+            parts = {p.lower() for p in _PARTS.findall(each)}
+            if not barred.isdisjoint(parts) and STATES.isdisjoint(parts):
+                return True
+    return False
 
 
 class Tree:
@@ -217,7 +222,7 @@ def blocks(page: str) -> tuple[list[Part], Tree]:
         top = stack[-1]
         inside = top[3] or name in CONTENT
         mark = None
-        if name in BOILER or name == "header" and not inside or bool(attributes) and name not in ("html", "body") and _furniture(attributes):
+        if name in BOILER or name == "header" and not inside or bool(attributes) and name not in ("html", "body") and _furniture(name, attributes):
             mark = Mark(name, len(made))
             marks.append(mark)
         elif name in CONTENT:
