@@ -5,8 +5,8 @@ exponent is bisected: either the entropy of the weights meets a share of the gre
 (``target_entropy``), or the most repeated source is seen at most ``repeats`` times as often as
 the least repeated one; if both are given the larger exponent counts, which keeps both limits
 on repetition. The budget is the smallest at which every source is seen whole (or what is
-given). A source is cut into blocks of about ``BLOCK_TOKENS`` by ranges of a hash of its
-documents. Its part of the budget is dealt in epochs: each full epoch is a permutation of all
+given). A source is cut into blocks of about ``BLOCK_TOKENS``, and into ``LEAST_BLOCKS`` at least, by
+ranges of a hash of its documents; tokens here are words and one end for each text. Its part of the budget is dealt in epochs: each full epoch is a permutation of all
 its blocks, and the last one takes the blocks that come first in its own permutation until the
 part is used up, the last of these as far as it is needed. A permutation orders blocks by a
 keyed hash, drawn for each epoch anew; in a block documents are in order of their hash.
@@ -35,10 +35,11 @@ from lattica.llm.common import flat, nested, running, table
 from lattica.llm.packing import tokens
 from lattica.plans.cut import cut
 
-#: Share of the greatest entropy, times the most repeated source is seen to the least's, and tokens in a block, about.
+#: Share of the greatest entropy, times the most repeated source is seen to the least's, tokens in a block, about, and blocks of a source at least.
 TARGET_ENTROPY = 0.97
 REPEATS = 2.0
 BLOCK_TOKENS = 1 << 18
+LEAST_BLOCKS = 64
 SEED = 17
 BROADCAST_SOURCES = 10_000
 
@@ -90,9 +91,9 @@ def plan(sized: DataFrame, target_entropy: float | None = TARGET_ENTROPY, repeat
     return raised.select("_source", "_rows", "_size", (F.col("_raised") / z).alias("_weight"), quota.alias("_quota")), int(whole["k"])
 
 
-def _hash(block: Column, epoch: Column, seed: int) -> Column:
-    """The keyed hash that orders an epoch's blocks."""
-    return F.xxhash64(block, epoch.cast("long"), F.lit(seed).cast("long"))
+def _hash(source: Column, block: Column, epoch: Column, seed: int) -> Column:
+    """The keyed hash that orders an epoch's blocks, for each source anew."""
+    return F.xxhash64(source, block, epoch.cast("long"), F.lit(seed).cast("long"))
 
 
 def _block() -> Column:
@@ -109,10 +110,10 @@ def scheduled(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, re
     """
     light = cut(docs.select(F.col(source_col).alias("_source"), tokens(text_col).alias("_tokens"), F.xxhash64(id_col, text_col).alias("_order"), F.col(id_col).cast("long").alias("_id")))
     sources, n = plan(light, target_entropy, repeats, budget)
-    bits = F.ceil(F.log2(F.greatest(F.col("_size") / BLOCK_TOKENS, F.lit(1.0)))).cast("int")
+    bits = F.ceil(F.log2(F.greatest(F.col("_size") / BLOCK_TOKENS, F.lit(float(LEAST_BLOCKS))))).cast("int")
     sources = cut(sources.withColumns({"_full": F.floor(F.col("_quota") / F.col("_size")).cast("long"), "_part": F.col("_quota") % F.col("_size"), "_bits": bits}))
     last = with_sources(light, sources, n).where(F.col("_part") > 0).withColumn("_block", _block())
-    sums = cut(last.groupBy("_source", "_block").agg(F.sum("_tokens").alias("_tokens"), F.max("_part").alias("_part"), F.max("_full").alias("_full")).withColumn("_hash", _hash(F.col("_block"), F.col("_full"), seed)))
+    sums = cut(last.groupBy("_source", "_block").agg(F.sum("_tokens").alias("_tokens"), F.max("_part").alias("_part"), F.max("_full").alias("_full")).withColumn("_hash", _hash(F.col("_source"), F.col("_block"), F.col("_full"), seed)))
     laid = running(sums, ["_source"], "_hash", ["_block"], {"_before": F.col("_tokens")}, sums.count())
     # The block in which the part ends, and in it the first document that begins where it is used up.
     edge = laid.where((F.col("_before") < F.col("_part")) & (F.col("_before") + F.col("_tokens") >= F.col("_part")))
@@ -131,9 +132,9 @@ def with_sources(df: DataFrame, sources: DataFrame, n: int, source: Column | Non
     return df.join(F.broadcast(known) if n <= BROADCAST_SOURCES else known, source.eqNullSafe(F.col("_s"))).drop("_s")
 
 
-def _epochs(seed: int) -> Column:
+def _epochs(seed: int, source: str = "_source") -> Column:
     """The epochs that a document of ``_block`` is seen in."""
-    hashed = _hash(F.col("_block"), F.col("_full"), seed)
+    hashed = _hash(F.col(source), F.col("_block"), F.col("_full"), seed)
     late = (hashed < F.col("_reach")) | ((hashed == F.col("_reach")) & (F.col("_until").isNull() | (F.col("_order") < F.col("_until"))))
     copies = F.col("_full") + F.when((F.col("_part") > 0) & late, 1).otherwise(0)
     return F.when(copies > 0, F.sequence(F.lit(0).cast("long"), copies - 1)).otherwise(F.array().cast("array<bigint>"))
@@ -149,7 +150,7 @@ def mix(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, repeats:
     light, sources, n = scheduled(docs, target_entropy, repeats, budget, seed, source_col, id_col, text_col)
     each = with_sources(light, sources, n).withColumn("_block", _block()).withColumn("_epoch", F.explode(_epochs(seed)))
     place = ["_source", "_epoch", "_block"]
-    sums = cut(each.groupBy(*place).agg(F.sum("_tokens").alias("_tokens")).withColumn("_hash", _hash(F.col("_block"), F.col("_epoch"), seed)))
+    sums = cut(each.groupBy(*place).agg(F.sum("_tokens").alias("_tokens")).withColumn("_hash", _hash(F.col("_source"), F.col("_block"), F.col("_epoch"), seed)))
     laid = running(sums, ["_source", "_epoch"], "_hash", ["_block"], {"_before": F.col("_tokens")}, sums.count())
     laid = laid.select(*(F.col(c).alias(f"{c}_") for c in place), "_before")
     own = Window.partitionBy(*place).orderBy("_order", "_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
@@ -164,7 +165,7 @@ def repeated(docs: DataFrame, target_entropy: float | None = TARGET_ENTROPY, rep
     """``docs`` as the mix sees them, with its own columns; texts meet no shuffle."""
     _, sources, n = scheduled(docs, target_entropy, repeats, budget, seed)
     told = with_sources(nested(docs), sources, n, F.col("_doc.source")).withColumn("_order", F.xxhash64("_doc.doc_id", "_doc.text"))
-    return flat(told.withColumn("_block", _block()).withColumn("_epoch", F.explode(_epochs(seed))), docs.columns)
+    return flat(told.withColumn("_block", _block()).withColumn("_epoch", F.explode(_epochs(seed, "_doc.source"))), docs.columns)
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import table
+from lattica.llm.spelling import CRC, CRC_TABLE
 from lattica.plans.cut import cut
 
 #: Costs of edits, and of a truncated row that stays.
@@ -430,3 +431,26 @@ def op12_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     every = conversations.select(F.col("conv_id").cast("long").alias("conv_id")).distinct()
     both = every.join(done, every["conv_id"].eqNullSafe(done["_id"]), "left").drop("_id")
     return both.fillna(0, ["gaps", "blank", "duplicate", "truncated", "illegal", "cost"]).fillna({"audit": "", "repaired_sha256": hashlib.sha256(b"").hexdigest()})
+
+
+def oracle() -> str:
+    """DuckDB SQL for ``op12_repair``: the best prefix in each state, row by row, in place of a search."""
+    best = lambda *x: f"list_sort([{', '.join(x)}], 'ASC', 'NULLS LAST')[1]"
+    put = lambda x, letter, cost, line: f"CASE WHEN {x} IS NOT NULL THEN {{'cost': {x}.cost + {cost}, 'audit': {x}.audit || '{letter}', 'lines': {x}.lines || {line}}} END"
+    insert = lambda x, role: put(x, "I", INSERT, f"'{role}:' || chr(10)")
+    drop = lambda x: put(x, "D", DELETE, "''")
+    keep = lambda x, initial: f"CASE WHEN fault IN (0, 3) AND c = '{initial}' THEN {put(x, 'K', 't', 'role || chr(58) || text || chr(10)')} END"
+    rerole = lambda x, role: f"CASE WHEN fault IN (0, 3) THEN {put(x, 'R', f'{REROLE} + t', f'{chr(39)}{role}:{chr(39)} || text || chr(10)')} END"
+    key = "coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ')"
+    crc = CRC.format(b=f"list_transform(string_split({key}, ''), lambda ch: ord(ch)::BIGINT)")
+    ready = lambda source: f"(SELECT *, {best('a', insert('u1', 'assistant'))} AS a1 FROM (SELECT *, {best('u', insert('z', 'user'), insert('s', 'user'), insert('a', 'user'))} AS u1 FROM {source}))"
+    step = ready("r JOIN f ON f.conv_id IS NOT DISTINCT FROM r.conv AND f.i = r.k + 1")
+    return f"""WITH RECURSIVE {CRC_TABLE}, k AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {crc} % 20 AS kind FROM conversations, crc),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text, unnest(CASE WHEN kind = 3 THEN [0, 1] ELSE [0] END) AS copy FROM k WHERE kind <> 0),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(coalesce(conv_id::VARCHAR, ' ') || ':' || length(role)::VARCHAR || ':' || role || text)) AS i, rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM d),
+f AS MATERIALIZED (SELECT *, left(role, 1) AS c, CASE fault WHEN 3 THEN {TRUNCATED} ELSE 0 END AS t FROM (SELECT *, CASE WHEN bare = '' THEN 1 WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 2 WHEN right(bare, 1) NOT IN ('.', '!', '?') THEN 3 ELSE 0 END AS fault FROM n)),
+r AS (SELECT DISTINCT conv_id AS conv, 0::BIGINT AS k, {{'cost': 0::BIGINT, 'audit': '', 'lines': ''}} AS z, NULL::STRUCT(cost BIGINT, audit VARCHAR, lines VARCHAR) AS s, NULL::STRUCT(cost BIGINT, audit VARCHAR, lines VARCHAR) AS u, NULL::STRUCT(cost BIGINT, audit VARCHAR, lines VARCHAR) AS a FROM f
+UNION ALL SELECT conv, i, {drop('z')}, {best(drop('s'), keep('z', 's'))}, {best(drop('u1'), keep('x', 'u'), rerole('x', 'user'))}, {best(drop('a1'), keep('u1', 'a'), rerole('u1', 'assistant'))} FROM (SELECT *, {best('z', 's', 'a1')} AS x FROM {step})),
+c AS (SELECT conv_id AS conv, max(i) AS m, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 1) AS blank, count(*) FILTER (fault = 2) AS duplicate, count(*) FILTER (fault = 3) AS truncated, count(*) FILTER (i > 1 AND pair NOT IN ('su', 'ua', 'au')) AS illegal FROM (SELECT *, lag(c) OVER (PARTITION BY conv_id ORDER BY i) || c AS pair FROM f) GROUP BY 1),
+e AS (SELECT c.*, {best('z', 'a1')} AS w FROM c JOIN {ready('r')} q ON q.conv IS NOT DISTINCT FROM c.conv AND q.k = c.m)
+SELECT o.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0)::BIGINT AS blank, coalesce(duplicate, 0)::BIGINT AS duplicate, coalesce(truncated, 0)::BIGINT AS truncated, coalesce(illegal, 0)::BIGINT AS illegal, coalesce(w.cost, 0)::BIGINT AS cost, coalesce(w.audit, '') AS audit, sha256(coalesce(left(w.lines, greatest(length(w.lines) - 1, 0)), '')) AS repaired_sha256 FROM (SELECT DISTINCT conv_id FROM conversations) o LEFT JOIN e ON e.conv IS NOT DISTINCT FROM o.conv_id"""
