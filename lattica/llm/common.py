@@ -7,6 +7,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lattica.plans.cut import cut
+
 #: ASCII capitals to small letters; other bytes stay.
 LOWER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 
@@ -49,13 +51,14 @@ def shards_for(rows: int, rows_per_shard: int) -> int:
     return 1 << max(0, math.ceil(math.log2(max(1, rows / rows_per_shard))))
 
 
-def running(df: DataFrame, group: list[str], order: str, ties: list[str], values: dict[str, Column], rows: int, rows_per_shard: int = 100_000) -> DataFrame:
+def running(df: DataFrame, group: list[str], order: str, ties: list[str], values: dict[str, Column], rows: int, rows_per_shard: int = 100_000, told: int = 0) -> DataFrame:
     """``df`` with, for each of ``values``, its sum over the group's rows before this one.
 
     The order in a group is ``order`` (a uniform 64-bit hash) and then ``ties``. A group is cut
     into shards by the top bits of ``order``; only shards are sorted in one task, and a shard
     begins where the sums of the shards before it end. So a group of any size is spread evenly.
-    Rows that agree in ``order`` and ``ties`` follow each other in some order.
+    Rows that agree in ``order`` and ``ties`` follow each other in some order. Up to ``told``
+    shards' beginnings are broadcast, so that wide rows are shuffled once; more are joined.
     """
     bits = shards_for(rows, rows_per_shard).bit_length() - 1
     flipped = F.col(order).bitwiseXOR(F.lit(-(1 << 63)))
@@ -67,5 +70,9 @@ def running(df: DataFrame, group: list[str], order: str, ties: list[str], values
     starts = sums.select(*(F.col(c).alias(f"_g_{c}") for c in group), F.col("_shard").alias("_g_shard"), *(F.coalesce(F.sum(f"_s_{k}").over(ahead), F.lit(0)).alias(f"_b_{k}") for k in values))
     placed = work.withColumns({f"_c_{k}": F.sum(f"_v_{k}").over(within) - F.col(f"_v_{k}") for k in values})
     same = [placed[c].eqNullSafe(starts[f"_g_{c}"]) for c in group] + [placed["_shard"] == starts["_g_shard"]]
+    if told:
+        starts = cut(starts)
+        same = [placed[c].eqNullSafe(starts[f"_g_{c}"]) for c in group] + [placed["_shard"] == starts["_g_shard"]]
+        starts = F.broadcast(starts) if starts.count() <= told else starts
     out = placed.join(starts, same, "left")
     return out.select(*df.columns, *((F.col(f"_c_{k}") + F.coalesce(F.col(f"_b_{k}"), F.lit(0))).alias(k) for k in values))

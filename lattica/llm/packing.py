@@ -35,6 +35,8 @@ BUCKETS = 16
 BUDGET = 16_384
 #: Rows of a bucket that one task puts in order, without and with their ids.
 SHARD, SHARD_WITH_IDS = 100_000, 4_096
+#: Shards whose beginnings are broadcast, at most, where rows have their ids.
+TOLD = 1_000_000
 SPACE = "[\\x20\\x09-\\x0D]+"
 
 
@@ -114,7 +116,7 @@ def pack(docs: DataFrame, buckets: int = BUCKETS, budget: int = BUDGET, with_ids
     top = F.array(*(F.lit(x).cast("long") for x in tops)) if tops else F.array().cast("array<bigint>")
     filed = sized.withColumn("bucket", F.size(F.filter(top, lambda x: x < F.col("n_tokens"))))
     filed = filed.withColumn("bucket_len", F.get(top, F.col("bucket")))
-    ranked = running(filed, ["bucket"], "order", ["doc_id"], {"rank": F.lit(1).cast("long")}, int(counts.sum()), SHARD_WITH_IDS if with_ids else SHARD)
+    ranked = running(filed, ["bucket"], "order", ["doc_id"], {"rank": F.lit(1).cast("long")}, int(counts.sum()), SHARD_WITH_IDS if with_ids else SHARD, TOLD if with_ids else 0)
     room = F.greatest(F.floor(F.lit(budget) / F.col("bucket_len")), F.lit(1)).cast("long")
     more = ["ids"] if with_ids else []
     return ranked.select("doc_id", "n_tokens", "bucket", "bucket_len", F.floor(F.col("rank") / room).cast("long").alias("batch"), (F.col("rank") % room).alias("slot"), (F.col("bucket_len") - F.col("n_tokens")).alias("padding"), *more)
