@@ -113,9 +113,13 @@ _CLUB = [(u, v) for u, vs in KARATE.items() for v in vs]
 _SEEN = list(dict.fromkeys(n for e in _CLUB for n in e))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"({u}::BIGINT, {v}::BIGINT, 1e0)" for u, v in (sorted(e, key=_SEEN.index) for e in _CLUB)) + ") t(src, dst, weight)")
+@query("SELECT src, dst, (coalesce(x.k, 0) + coalesce(y.k, 0))::DOUBLE AS weight FROM (VALUES " + ", ".join(f"({u}::BIGINT, {v}::BIGINT)" for u, v in (sorted(e, key=_SEEN.index) for e in _CLUB)) + ") t(src, dst) LEFT JOIN (SELECT o_custkey AS c, count(*) AS k FROM orders GROUP BY 1) x ON x.c = src + 1 LEFT JOIN (SELECT o_custkey AS c, count(*) AS k FROM orders GROUP BY 1) y ON y.c = dst + 1")
 def karate_club(spark, d):
-    return Graph.karate_club(spark).edges().select("src", "dst", "weight")
+    """The club's ties, its members taken for the first customers: how many orders the two placed."""
+    placed = G.read(spark, d, "orders").groupBy((F.col("o_custkey") - 1).alias("id")).agg(F.count("*").alias("k"))
+    ends = [placed.select(F.col("id").alias(x), F.col("k").alias(f"k{x}")) for x in ("src", "dst")]
+    ties = Graph.karate_club(spark).edges().join(ends[0], "src", "left").join(ends[1], "dst", "left")
+    return ties.select("src", "dst", (F.coalesce("ksrc", F.lit(0)) + F.coalesce("kdst", F.lit(0))).cast("double").alias("weight"))
 
 
 # Centrality
@@ -310,7 +314,7 @@ def girvan_newman(spark, d):
 
 @query()
 def spectral_clustering(spark, d):
-    return M.spectral_clustering(Graph.karate_club(spark), 2)
+    return M.spectral_clustering(G.nation_links(spark, d), 3)
 
 
 # Structure
@@ -573,14 +577,16 @@ def edge_connectivity(spark, d):
     return row(spark, connectivity=W.edge_connectivity(G.region_trade(spark, d).cut()))
 
 
-@query()
+#: All suppliers touch all edges, so no matching has more edges than there are suppliers: one that has as many is greatest.
+@query("SELECT count(DISTINCT l_suppkey) AS size, true AS valid FROM lineitem")
 def bipartite_matching(spark, d):
     g = G.part_supplier(spark, d).cut()
     m = W.maximum_bipartite_matching(g)
     return row(spark, size=m.count(), valid=W.is_matching(g, m))
 
 
-@query()
+#: Every node that the greatest matching leaves out takes an edge of its own.
+@query("SELECT count(DISTINCT l_partkey) AS size FROM lineitem")
 def minimum_edge_cover(spark, d):
     return row(spark, size=W.minimum_edge_cover(G.part_supplier(spark, d)).count())
 
@@ -621,7 +627,7 @@ def greedy_color(spark, d):
 
 @query()
 def coloring_summary(spark, d):
-    return K.coloring_summary(Graph.karate_club(spark))
+    return K.coloring_summary(G.nation_links(spark, d).cut())
 
 
 @query(f"WITH {PP} SELECT id FROM deg WHERE k % 2 = 1")

@@ -63,7 +63,7 @@ def mutual_trade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def user_succession(spark: SparkSession, sf_dir: str) -> Graph:
-    """Which user's event follows which user's, of the same type in the same hour; directed."""
+    """Which user's event follows which user's, of the same type on the same day; directed."""
     from pyspark.sql import Window
 
     e = read(spark, sf_dir, "events")
