@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.graph import Graph
-from lattica.operators.kernels import LONGS, Net, frame, per_source
+from lattica.operators.kernels import LONGS, Net, frame
 from lattica.plans.components import components
-from lattica.plans.cut import cut
+from lattica.plans.cut import cut, written
 from lattica.plans.forest import below, rooted, spanning_forest
+from lattica.plans.layers import onward
 
 
 def blocks(g: Graph) -> DataFrame:
@@ -145,48 +149,65 @@ def condensation_dag(g: Graph) -> tuple[Graph, DataFrame]:
     return Graph.from_frame(e.select(F.col("a").alias("src"), F.col("b").alias("dst")).distinct(), True, of.select(F.col("component").alias("id")).distinct()), of
 
 
+def _within(later: list[int], edges: list[tuple[int, int]]) -> Iterator[list[int]]:
+    """Maximal cliques of a small graph, from a node with most candidates beside it at each step."""
+    near: dict[int, set[int]] = {v: set() for v in later}
+    for u, v in edges:
+        near[u].add(v)
+        near[v].add(u)
+    todo = [([], set(later), set())]
+    while todo:
+        clique, may, barred = todo.pop()
+        if not may:
+            if not barred:
+                yield clique
+            continue
+        pivot = max(may | barred, key=lambda x: len(may & near[x]))
+        for v in may - near[pivot]:
+            todo.append(([*clique, v], may & near[v], barred & near[v]))
+            may = may - {v}
+            barred = barred | {v}
+
+
 def find_cliques(g: Graph, min_size: int = 1) -> DataFrame:
     """``(size, members)``: all maximal cliques of the simple view, the largest first.
 
-    A node's task finds the cliques in which it comes first in a degeneracy order, so tasks
-    are independent and small.
+    In an order with few later neighbours (``layers``) a clique belongs to its first node. A
+    row holds a node's later neighbours and the edges between them, from the triangles that the
+    node begins: at most four times the degeneracy of nodes. In it the maximal cliques are found; one of
+    them isn't maximal in the whole graph if a node before the first sees all of it, which a
+    join with what earlier nodes see tells, led by the member that fewest of them see. The
+    graph is never in one place, and no node's earlier neighbours are gathered.
     """
-
-    def kernel(net: Net, sources: list[int]):
-        near = net.simple()
-        left, place = {v: len(near[v]) for v in range(net.n)}, {}
-        by: dict[int, set[int]] = {}
-        for v, d in left.items():
-            by.setdefault(d, set()).add(v)
-        low = 0
-        while len(place) < net.n:
-            low = max(0, low - 1)
-            while not by.get(low):
-                low += 1
-            v = min(by[low])
-            by[low].discard(v)
-            place[v] = len(place)
-            for u in near[v]:
-                if u not in place:
-                    by[left[u]].discard(u)
-                    left[u] -= 1
-                    by.setdefault(left[u], set()).add(u)
-        for s in sources:
-            later = {u for u in near[s] if place[u] > place[s]}
-            todo = [([s], later, near[s] - later)]
-            while todo:
-                clique, may, barred = todo.pop()
-                if not may:
-                    if not barred and len(clique) >= min_size:
-                        yield len(clique), sorted(net.ids[v] for v in clique)
-                    continue
-                pivot = max(may | barred, key=lambda x: len(may & near[x]))
-                for v in list(may - near[pivot]):
-                    todo.append(([*clique, v], may & near[v], barred & near[v]))
-                    may = may - {v}
-                    barred = barred | {v}
-
-    return per_source(g, kernel, "size long, members array<long>").orderBy(F.desc("size"), "members")
+    edges = cut(g.simple())
+    way = onward(edges)
+    wedge = way.alias("p").join(way.alias("q"), F.col("p.x") == F.col("q.x")).where("p.k < q.k").select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.y").alias("z"))
+    corner = written(wedge.join(way.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"]).select("x", "y", "z"))
+    # How many nodes before y see both y and its later neighbour z.
+    seen = corner.groupBy(F.col("y").alias("x"), F.col("z").alias("y")).agg(F.count("*").alias("seen"))
+    later = way.join(seen, ["x", "y"], "left").groupBy("x").agg(F.collect_list(F.struct("y", F.coalesce("seen", F.lit(0)).alias("seen"))).alias("later"))
+    small = later.join(corner.groupBy("x").agg(F.collect_list(F.struct("y", "z")).alias("edges")), "x", "left")
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple] = []
+            for row in batch.to_pylist():
+                seen = {p["y"]: p["seen"] for p in row["later"]}
+                for rest in _within(list(seen), [(e["y"], e["z"]) for e in row["edges"] or ()]):
+                    lead = min(rest, key=lambda v: (seen[v], v))
+                    out.append((row["x"], sorted(rest), lead if seen[lead] else None))
+            yield pa.RecordBatch.from_pylist([{"x": x, "rest": rest, "lead": lead} for x, rest, lead in out], pa.schema([("x", pa.int64()), ("rest", pa.list_(pa.int64())), ("lead", pa.int64())]))
+
+    made = written(small.mapInArrow(kernel, "x long, rest array<long>, lead long").where(F.size("rest") + 1 >= min_size))
+    # What a node w before x sees of x's later neighbours, once for each distinct set, under each member.
+    views = corner.groupBy(F.col("x").alias("w"), F.col("y").alias("x")).agg(F.sort_array(F.collect_list("z")).alias("view")).select("x", "view").distinct()
+    views = views.select("x", "view", F.explode("view").alias("lead"))
+    whole = made.alias("m").join(views.alias("v"), (F.col("m.x") == F.col("v.x")) & (F.col("m.lead") == F.col("v.lead")) & (F.size(F.array_except("m.rest", "v.view")) == 0), "left_anti")
+    whole = whole.select((F.size("rest") + 1).cast("long").alias("size"), F.array_sort(F.concat(F.array("x"), "rest")).alias("members"))
+    if min_size <= 1:
+        alone = g.nodes.select("id").join(edges.select(F.explode(F.array("a", "b")).alias("id")), "id", "left_anti")
+        whole = whole.unionByName(alone.select(F.lit(1).cast("long").alias("size"), F.array("id").alias("members")))
+    return whole.orderBy(F.desc("size"), "members")
 
 
 def number_of_maximal_cliques(g: Graph) -> int:

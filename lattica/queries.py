@@ -391,6 +391,13 @@ def node_clique_number(spark, d):
     return T.node_clique_number(G.nation_links(spark, d))
 
 
+@query(f"""WITH RECURSIVE {PP}, near AS (SELECT src AS id, list(dst) AS near FROM arcs GROUP BY 1), c AS (SELECT [id] AS m, id AS last, near AS com FROM near UNION ALL SELECT list_append(m, u), u, list_intersect(com, near.near) FROM (SELECT m, last, com, unnest(com) AS u FROM c) JOIN near ON near.id = u WHERE u > last)
+SELECT len(m)::BIGINT AS size, array_to_string(m, ',') AS members FROM c WHERE len(com) = 0""")
+def part_cliques(spark, d):
+    found = T.find_cliques(G.part_graph(spark, d).cut())
+    return found.select("size", F.array_join("members", ",").alias("members"))
+
+
 def _dominated(arcs: str, root: int) -> str:
     """SQL for who dominates whom, and how deep each node is."""
     return f"WITH RECURSIVE {arcs}, reach AS (SELECT {root}::BIGINT AS id UNION SELECT dst FROM reach JOIN arcs ON src = id), r AS (SELECT id AS gone, {root}::BIGINT AS id FROM nodes WHERE id <> {root} UNION SELECT gone, dst FROM r JOIN arcs ON src = r.id WHERE dst <> gone), dom AS (SELECT v.id, x.id AS dominator FROM reach v JOIN reach x ON x.id = {root} OR x.id = v.id OR NOT EXISTS (SELECT 1 FROM r WHERE r.gone = x.id AND r.id = v.id)), depth AS (SELECT id, count(*) AS k FROM dom GROUP BY 1)"
