@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from lattica.graph import Graph
 from lattica.operators.kernels import Net, frame, per_source, run
 from lattica.plans.components import components
-from lattica.plans.cut import cut
+from lattica.plans.cut import cut, round_cut
 
 
 class NegativeCycleError(ValueError):
@@ -76,15 +76,49 @@ def relaxed(adj: list[list[tuple[int, float]]], s: int, target: int | None = Non
     return dist, before
 
 
-def dijkstra_shortest_path(g: Graph, source: int, target: int | None = None) -> DataFrame:
-    """``(id, distance, previous)`` for what is reached from ``source``."""
-    g.require(source)
+def dijkstra_shortest_path(g: Graph, source: int, target: int | None = None, width: float | None = None) -> DataFrame:
+    """``(id, distance, previous)`` for what is reached from ``source``; with ``target``, for what is settled once it is.
 
-    def kernel(net: Net):
-        dist, before = relaxed(net.adj, net.index[source], net.index.get(target))
-        return [(net.ids[v], d, net.ids[before[v]] if v in before else None) for v, d in dist.items()]
-
-    return frame(g, kernel, "id long, distance double, previous long")
+    Nodes are settled a bucket of distances of ``width`` (the mean weight) at a time: arcs of at
+    most that weight are followed in rounds until the bucket stands still, the others once after.
+    Wider buckets need fewer rounds and follow more arcs in vain. A node's predecessor
+    changes with a shorter distance only, so that arcs of weight 0 close no circle. An arc that can
+    be reached and has a negative weight is an error.
+    """
+    g.require(source)
+    arcs = cut(g.arcs.select("src", "dst", "weight"))
+    known = arcs.agg(F.avg("weight").alias("mean"), F.min("weight").alias("least")).first()
+    start = g.spark.createDataFrame([(source, 0.0, None, True)], "id long, distance double, previous long, fresh boolean")
+    if (known["least"] or 0) < 0:
+        met = multi_source_bfs(g, start.select(F.col("id").alias("source"))).select(F.col("dst").alias("src"))
+        if not arcs.where("weight < 0").join(met, "src", "left_semi").isEmpty():
+            raise ValueError("edges must not be negative")
+    width = width or max(known["mean"] or 0.0, 0.0) or 1.0
+    bucket = F.floor(F.col("distance") / width)
+
+    def followed(state: DataFrame, front, heavy: bool) -> DataFrame:
+        """``state`` after the arcs of one kind from its rows where ``front`` holds."""
+        kind = F.col("weight") > width if heavy else F.col("weight") <= width
+        step = state.where(front).select(F.col("id").alias("src"), "distance").join(arcs.where(kind), "src")
+        step = step.groupBy(F.col("dst").alias("id")).agg(F.min(F.struct((F.col("distance") + F.col("weight")).alias("d"), "src")).alias("new"))
+        shorter = F.coalesce(F.col("new.d") < F.col("distance"), F.col("new").isNotNull())
+        waits = F.coalesce(F.col("fresh"), F.lit(False)) if heavy else F.coalesce(F.col("fresh") & ~front, F.lit(False))
+        return round_cut(state.join(step, "id", "full").select("id", F.when(shorter, F.col("new.d")).otherwise(F.col("distance")).alias("distance"), F.when(shorter, F.col("new.src")).otherwise(F.col("previous")).alias("previous"), (shorter | waits).alias("fresh")))
+
+    state, goal = round_cut(start), F.min(F.when(F.col("id") == F.lit(target), bucket))
+    at = None
+    while True:
+        now = state.agg(F.min(F.when(F.col("fresh"), bucket)).alias("next"), goal.alias("goal")).first()
+        if at is not None and now["next"] != at:
+            state = followed(state, bucket == at, True)
+            now = state.agg(F.min(F.when(F.col("fresh"), bucket)).alias("next"), goal.alias("goal")).first()
+        if now["next"] is None or (now["goal"] is not None and now["next"] > now["goal"]):
+            break
+        at = now["next"]
+        state = followed(state, F.col("fresh") & (bucket == at), False)
+    if now["goal"] is not None:
+        state = state.where(bucket <= now["goal"])
+    return state.select("id", "distance", "previous")
 
 
 def sssp(g: Graph, sources: DataFrame, weighted: bool = True) -> DataFrame:
