@@ -12,6 +12,7 @@ from lattica.operators import vectors
 from lattica.operators.kernels import Net, frame
 from lattica.plans.cut import cut
 from lattica.plans.frontiers import batches, dependencies, levels
+from lattica.plans.leaves import core_of, leaves
 
 
 class ConvergenceError(ArithmeticError):
@@ -38,17 +39,9 @@ def _distances(g: Graph, value: Column) -> DataFrame:
 
     Sources are searched from in batches of bounded rows, all of a batch at once; the graph stays a table.
     """
-    arcs = cut(g.arcs.where("src <> dst").select("src", "dst"))
-    parts = None
-    for sources in batches(g.nodes):
-        sums = None
-        for k, level in enumerate(levels(sources, arcs)):
-            one = level.groupBy("source").agg(F.count("*").alias("n")).withColumn("d", F.lit(k))
-            sums = one if sums is None else sums.unionByName(one)
-        d = F.col("d")
-        made = cut(sums.groupBy(F.col("source").alias("id")).agg(F.sum(d * F.col("n")).alias("s"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("k"), F.coalesce(F.sum(F.when(d > 0, F.col("n") / d)), F.lit(0.0)).alias("x")).select("id", value.alias("score")))
-        parts = made if parts is None else parts.unionByName(made)
-    return parts
+    d = F.col("d")
+    sums = g.distance_counts().groupBy("id").agg(F.sum(d * F.col("n")).alias("s"), F.sum(F.when(d > 0, F.col("n")).otherwise(0)).alias("k"), F.coalesce(F.sum(F.when(d > 0, F.col("n") / d)), F.lit(0.0)).alias("x"))
+    return cut(sums.select("id", value.alias("score")))
 
 
 def closeness_centrality(g: Graph) -> DataFrame:
@@ -66,15 +59,33 @@ def betweenness_centrality(g: Graph, normalized: bool = True) -> DataFrame:
     """Shortest paths (in hops) through each node.
 
     Sources are searched from in batches of bounded rows, with the number of paths to each node;
-    levels are then gone back over, each handing on what hangs on it.
+    levels are then gone back over, each handing on what hangs on it. In an undirected graph
+    leaves aren't searched: their neighbour stands for them, and is on all shortest paths from
+    and to them.
     """
     n = g.number_of_nodes()
     scale = 0.0 if n < 3 else 1 / ((n - 1) * (n - 2)) if normalized else 1.0 if g.directed else 0.5
-    arcs = cut(g.arcs.where("src <> dst").select("src", "dst"))
-    sums = g.nodes.select("id", F.lit(0.0).alias("part"))
-    for sources in batches(g.nodes):
-        for part in dependencies(levels(sources, arcs), arcs):
+    near = g.arcs.where("src <> dst").select("src", "dst", "weight")
+    if g.directed:
+        nodes, arcs, mass = g.nodes, cut(near.select("src", "dst")), None
+        sums = nodes.select("id", F.lit(0.0).alias("part"))
+    else:
+        off = leaves(near)
+        nodes, arcs = core_of(g.nodes, near, off)
+        arcs, mass = arcs.select("src", "dst"), cut(off.groupBy(F.col("core").alias("id")).agg((F.count("*") + 1).alias("mass")))
+        sums = g.nodes.select("id", F.lit(0.0).alias("part"))
+    for sources in batches(nodes):
+        found = levels(sources, arcs)
+        for part in dependencies(found, arcs, mass):
             sums = sums.unionByName(part)
+        if mass is not None:
+            met = None
+            for level in found:
+                one = level.select("source", "id").join(mass, "id", "left").groupBy("source").agg(F.sum(F.coalesce("mass", F.lit(1))).alias("size"))
+                met = one if met is None else met.unionByName(one)
+            size, hung = F.col("size"), F.col("mass") - 1
+            whole = met.groupBy(F.col("source").alias("id")).agg(F.sum("size").alias("size")).join(mass, "id")
+            sums = sums.unionByName(whole.select("id", (2 * hung * (size - 2) - hung * (hung - 1)).cast("double").alias("part")))
         sums = cut(sums.groupBy("id").agg(F.sum("part").alias("part")))
     return sums.select("id", (F.col("part") * scale).alias("score"))
 
