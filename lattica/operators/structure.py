@@ -14,6 +14,7 @@ from lattica.plans.components import components
 from lattica.plans.cut import cut, written
 from lattica.plans.forest import below, rooted, spanning_forest
 from lattica.plans.layers import onward
+from lattica.plans.triangles import closed
 
 
 def blocks(g: Graph) -> DataFrame:
@@ -181,8 +182,7 @@ def find_cliques(g: Graph, min_size: int = 1) -> DataFrame:
     """
     edges = cut(g.simple())
     way = onward(edges)
-    wedge = way.alias("p").join(way.alias("q"), F.col("p.x") == F.col("q.x")).where("p.k < q.k").select(F.col("p.x").alias("x"), F.col("p.y").alias("y"), F.col("q.y").alias("z"))
-    corner = written(wedge.join(way.select(F.col("x").alias("y"), F.col("y").alias("z")), ["y", "z"]).select("x", "y", "z"))
+    corner = written(closed(way))
     # How many nodes before y see both y and its later neighbour z.
     seen = corner.groupBy(F.col("y").alias("x"), F.col("z").alias("y")).agg(F.count("*").alias("seen"))
     later = way.join(seen, ["x", "y"], "left").groupBy("x").agg(F.collect_list(F.struct("y", F.coalesce("seen", F.lit(0)).alias("seen"))).alias("later"))
