@@ -178,12 +178,12 @@ def eigenvector_centrality(g: Graph, max_iter: int = 100, tol: float | None = 1e
     return _iterate(g, g.nodes.select("id", F.lit(1 / math.sqrt(n)).alias("score")), step, max_iter, None if tol is None else n * tol)[0]
 
 
-def katz_centrality(g: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 100, tol: float = 1e-6, normalized: bool = True) -> DataFrame:
-    """``x = alpha A' x + beta``, weighted; raises if it doesn't converge."""
-    for name, x in (("alpha", alpha), ("beta", beta), ("tol", tol)):
+def katz_centrality(g: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: int = 100, tol: float | None = 1e-6, normalized: bool = True) -> DataFrame:
+    """``x = alpha A' x + beta``, weighted; raises if it doesn't converge. Without ``tol`` all rounds are made, from x = 0."""
+    for name, x in (("alpha", alpha), ("beta", beta), *([("tol", tol)] if tol is not None else ())):
         if isinstance(x, bool) or not isinstance(x, int | float) or not math.isfinite(x):
             raise ValueError(f"{name} must be a finite number")
-    if alpha <= 0 or tol <= 0:
+    if alpha <= 0 or tol is not None and tol <= 0:
         raise ValueError("alpha and tol must be positive")
     _rounds(max_iter)
     g = Graph(cut(g.nodes), cut(g.arcs), g.directed)
@@ -201,7 +201,7 @@ def katz_centrality(g: Graph, alpha: float = 0.1, beta: float = 1.0, max_iter: i
 
     now, done = _iterate(g, g.nodes.select("id", F.lit(0.0).alias("score")), step, max_iter, tol)
     total = now.agg(F.sum("score")).first()[0]
-    if not done or total is not None and not math.isfinite(total):
+    if not (done or tol is None) or total is not None and not math.isfinite(total):
         raise ConvergenceError(f"no convergence in {max_iter} rounds")
     size = (_norm(now, "score") or 1.0) if normalized else 1.0
     return now.select("id", (F.col("score") / size).alias("score"))
