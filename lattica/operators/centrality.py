@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from lattica.graph import Graph
 from lattica.operators import vectors
 from lattica.operators.kernels import Net, frame
+from lattica.plans.cores import core_numbers
 from lattica.plans.cut import cut
 from lattica.plans.frontiers import batches, dependencies, levels
 from lattica.plans.leaves import core_of, leaves
@@ -240,23 +241,10 @@ def core_number(g: Graph, max_rounds: int = 10_000) -> DataFrame:
     """``(id, core)`` of the undirected simple view.
 
     Every node's estimate falls to the h-index of its neighbours' until none moves; started
-    from the degrees this ends at the core numbers.
+    from the degrees this ends at the core numbers. Blocks of nodes settle by themselves before
+    they tell each other (``plans/cores.py``).
     """
-    from pyspark.sql import Window
-
-    both = cut(g.both())
-    now = cut(both.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("core")))
-    for _ in range(max_rounds):
-        near = both.join(now.withColumnRenamed("id", "dst"), "dst").groupBy(F.col("src").alias("id"), "core").agg(F.count("*").alias("n"))
-        ranked = near.withColumn("upto", F.sum("n").over(Window.partitionBy("id").orderBy(F.desc("core"))))
-        h = ranked.groupBy("id").agg(F.max(F.least("upto", "core")).alias("h"))
-        new = cut(now.join(h, "id").select("id", F.least("core", "h").alias("core"), (F.col("h") < F.col("core")).alias("moved")))
-        done = new.where("moved").isEmpty()
-        now = new.drop("moved")
-        if done:
-            break
-    else:
-        raise RuntimeError(f"core numbers aren't settled after {max_rounds} rounds")
+    now = core_numbers(g.both(), max_rounds)
     return g.nodes.join(now, "id", "left").select("id", F.coalesce("core", F.lit(0)).cast("long").alias("core"))
 
 
