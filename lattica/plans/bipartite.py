@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lattica.plans.components import components
+from lattica.plans.contract import with_sides
 from lattica.plans.cut import round_cut
 from lattica.plans.ranked import ranked
 
@@ -13,13 +14,16 @@ from lattica.plans.ranked import ranked
 def sides(nodes: DataFrame, near: DataFrame) -> DataFrame:
     """``(id, side, odd)`` for ``nodes (id, pos)`` and ``near (src, dst)``, both ways: 0 for the side of each part's first node, and whether an odd cycle leaves no sides.
 
-    Each node stands twice, and every edge joins either of an end to the other of the other. A
+    Each task first puts fewer edges for those that it has. Each node stands twice, and every edge joins either of an
+    end to the other of the other, or to the same one if its ends are on one side. A
     part with sides falls into two that way, one for each side of its first node; one with an odd
     cycle stays together.
     """
     k = round_cut(ranked(nodes, ["pos", "id"], "k").select("id", (2 * F.col("k")).alias("k")))
-    ends = near.join(k.withColumnRenamed("id", "src").withColumnRenamed("k", "a"), "src").join(k.withColumnRenamed("id", "dst").withColumnRenamed("k", "b"), "dst")
-    roots = round_cut(components(ends.select(F.col("a").alias("u"), (F.col("b") + 1).alias("v"))))
+    few = with_sides(near.where("src < dst").select(F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).cast("long").alias("odd")))
+    ends = few.join(k.withColumnRenamed("id", "u").withColumnRenamed("k", "a"), "u").join(k.withColumnRenamed("id", "v").withColumnRenamed("k", "b"), "v")
+    twice = F.explode(F.array(F.struct(F.col("a").alias("u"), (F.col("b") + F.col("odd")).alias("v")), F.struct((F.col("a") + 1).alias("u"), (F.col("b") + 1 - F.col("odd")).alias("v"))))
+    roots = round_cut(components(ends.select(twice.alias("e")).select("e.u", "e.v")))
     one = k.join(roots.select(F.col("id").alias("k"), F.col("root").alias("even")), "k", "left").join(roots.select((F.col("id") - 1).alias("k"), F.col("root").alias("odd")), "k", "left")
     return round_cut(one.select("id", F.coalesce((F.col("even") > F.col("odd")).cast("int"), F.lit(0)).alias("side"), F.coalesce(F.col("even") == F.col("odd"), F.lit(False)).alias("odd")))
 
