@@ -14,6 +14,7 @@ from lattica.plans.cores import core_numbers
 from lattica.plans.cut import cut
 from lattica.plans.frontiers import batches, dependencies, levels
 from lattica.plans.leaves import core_of, leaves
+from lattica.plans.messages import Blocks, sums
 
 
 class ConvergenceError(ArithmeticError):
@@ -115,10 +116,10 @@ def personalized_pagerank(g: Graph, personalization: dict[int, float] | None = N
     if not 0 < alpha < 1:
         raise ValueError("alpha must be between 0 and 1")
     _rounds(max_iter)
+    g = g.cut()
     n = g.number_of_nodes()
     if n == 0:
         return g.nodes.select("id", F.lit(0.0).alias("score"))
-    g = Graph(cut(g.nodes), cut(g.arcs), g.directed)
     nodes = g.nodes.select("id")
     if personalization:
         if any(w < 0 for w in personalization.values()):
@@ -136,12 +137,11 @@ def personalized_pagerank(g: Graph, personalization: dict[int, float] | None = N
         return vectors.on_arrays(g, vectors.pagerank(known, alpha, max_iter, tol), "score double")
     out = g.arcs.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
     base = cut(jump.join(out, "id", "left"))
-    arcs = cut(g.arcs.select("src", "dst"))
+    arcs = Blocks(g.arcs)
 
     def step(now: DataFrame) -> DataFrame:
         lost = now.where("deg is null").agg(F.sum("score")).first()[0] or 0.0
-        sent = now.where("deg is not null").select(F.col("id").alias("src"), (F.col("score") / F.col("deg")).alias("x"))
-        got = arcs.join(sent, "src").groupBy(F.col("dst").alias("id")).agg(F.sum("x").alias("x"))
+        got = sums(arcs, now.where("deg is not null").select("id", (F.col("score") / F.col("deg")).alias("x")))
         new = alpha * (F.coalesce("x", F.lit(0.0)) + lost * F.col("jump")) + (1 - alpha) * F.col("jump")
         return now.join(got, "id", "left").select("id", new.alias("score"), "jump", "deg", F.abs(new - F.col("score")).alias("_delta"))
 
