@@ -12,7 +12,7 @@ from lattica.graph import Graph
 from lattica.operators.kernels import Net, frame, run
 from lattica.operators.paths import multi_source_bfs
 from lattica.plans.cut import cut
-from lattica.plans.sweep import along, sweep
+from lattica.plans.sweep import along, heaviest, sweep
 
 
 class CycleError(ValueError):
@@ -65,12 +65,13 @@ def is_dag(g: Graph) -> bool:
 
 def _layers(g: Graph) -> tuple[DataFrame, bool]:
     """``(id, generation)`` by peeling nodes without arcs in, and whether all went."""
-    return sweep(g.nodes.select("id"), cut(g.arcs.select("src", "dst")), [], dict)
+    rows, whole = heaviest(cut(g.nodes.select("id", "pos")).withColumn("start", F.lit(0.0)), cut(g.arcs.select("src", "dst", F.lit(1.0).alias("weight"))))
+    return rows.select("id", "generation"), whole
 
 
-def _swept(g: Graph, nodes: DataFrame, arcs: DataFrame, push: list, merge) -> DataFrame:
-    """``sweep``, or the cycle that stands against it; an order of a node's predecessors is that of ``pos``."""
-    rows, whole = sweep(nodes, arcs, push, merge)
+def _whole(g: Graph, swept: tuple[DataFrame, bool]) -> DataFrame:
+    """What was swept, or the cycle that stands against it."""
+    rows, whole = swept
     if not whole:
         raise CycleError(find_cycle(g))
     return rows
@@ -78,10 +79,7 @@ def _swept(g: Graph, nodes: DataFrame, arcs: DataFrame, push: list, merge) -> Da
 
 def _checked(g: Graph) -> DataFrame:
     _need(g)
-    rows, whole = _layers(g)
-    if not whole:
-        raise CycleError(find_cycle(g))
-    return rows
+    return _whole(g, _layers(g))
 
 
 def topological_generations(g: Graph) -> DataFrame:
@@ -134,10 +132,7 @@ def longest_paths(g: Graph, weighted: bool = True) -> DataFrame:
     """
     _need(g)
     arcs = cut(g.arcs.select("src", "dst", F.col("weight") if weighted else F.lit(1.0).alias("weight")))
-    nodes = g.nodes.select("id", "pos", F.lit(0.0).alias("length"), F.lit(None).cast("long").alias("previous"))
-    way = F.struct((F.col("length") + F.col("weight")).alias("x"), (-F.col("pos")).alias("first"), F.col("src").alias("via"))
-    grows = F.coalesce(F.col("_way.x") > F.col("length"), F.lit(False))
-    return _swept(g, nodes, arcs, [F.max(way).alias("_way")], lambda: {"length": F.when(grows, F.col("_way.x")).otherwise(F.col("length")), "previous": F.when(grows, F.col("_way.via")).otherwise(F.col("previous"))})
+    return _whole(g, heaviest(cut(g.nodes.select("id", "pos")).withColumn("start", F.lit(0.0)), arcs))
 
 
 def dag_longest_path(g: Graph, weighted: bool = True) -> tuple[float, list[int]]:
@@ -181,7 +176,7 @@ def count_paths(g: Graph, source: int, target: int) -> int:
     primes = _primes(int(bits) // (_BITS - 1) + 1)
     nodes = ahead.select("id", *(F.when(F.col("id") == source, 1).otherwise(0).cast("long").alias(f"n{k}") for k in range(len(primes))))
     push = [F.sum(f"n{k}").alias(f"_n{k}") for k in range(len(primes))]
-    rows = _swept(g, nodes, arcs, push, lambda: {f"n{k}": (F.col(f"n{k}") + F.coalesce(f"_n{k}", F.lit(0))) % p for k, p in enumerate(primes)})
+    rows = _whole(g, sweep(nodes, arcs, push, lambda: {f"n{k}": (F.col(f"n{k}") + F.coalesce(f"_n{k}", F.lit(0))) % p for k, p in enumerate(primes)}))
     row = rows.where(F.col("id") == target).first()
     total, product = 0, 1
     for k, p in enumerate(primes if row else []):
@@ -240,11 +235,12 @@ def critical_path(g: Graph, durations: dict[int, float] | DataFrame) -> tuple[Da
     if (bare := given.where("d is null").first()) is not None:
         raise KeyError(f"no duration for node {bare['id']}")
     arcs = cut(g.arcs.select("src", "dst", F.col("pos").alias("place")))
-    forward = cut(_swept(g, given.withColumn("es", F.lit(0.0)), arcs, [F.max(F.col("es") + F.col("d")).alias("_es")], lambda: {"es": F.greatest("es", "_es")}))
+    took = given.select(F.col("id").alias("src"), F.col("d").alias("weight"))
+    forward = cut(_whole(g, heaviest(given.select("id", "pos", F.lit(0.0).alias("start")), arcs.join(took, "src"))).select("id", F.col("length").alias("es"), "generation").join(given.select("id", "pos", "d"), "id"))
     whole = forward.agg(F.max(F.col("es") + F.col("d"))).first()[0] or 0.0
-    turned = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("src"))
-    backward = _swept(g, given.select("id", "d", F.lit(whole).alias("lf")), turned, [F.min(F.col("lf") - F.col("d")).alias("_lf")], lambda: {"lf": F.least("lf", "_lf")})
-    both = forward.join(backward.select("id", "lf"), "id")
+    turned = arcs.select(F.col("src").alias("dst"), F.col("dst").alias("src")).join(took, "src")
+    backward = _whole(g, heaviest(given.select("id", "pos", F.lit(-whole).alias("start")), turned)).select("id", (F.lit(0.0) - F.col("length")).alias("lf"))
+    both = forward.join(backward, "id")
     slack, tol = F.col("lf") - F.col("d") - F.col("es"), 1e-9 * max(1.0, whole)
     rows = cut(both.select("id", "pos", "d", "generation", "es", "lf", F.when(F.abs(slack) <= tol, 0.0).otherwise(slack).alias("slack"), (F.abs(slack) <= tol).alias("critical")))
     hot = rows.where("critical")
