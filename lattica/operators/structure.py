@@ -182,7 +182,7 @@ def find_cliques(g: Graph, min_size: int = 1) -> DataFrame:
     """
     edges = cut(g.simple())
     way = onward(edges)
-    corner = written(closed(way))
+    corner = written(closed(way.select(F.col("x").alias("a"), F.col("y").alias("b")), True, True))
     # How many nodes before y see both y and its later neighbour z.
     seen = corner.groupBy(F.col("y").alias("x"), F.col("z").alias("y")).agg(F.count("*").alias("seen"))
     later = way.join(seen, ["x", "y"], "left").groupBy("x").agg(F.collect_list(F.struct("y", F.coalesce("seen", F.lit(0)).alias("seen"))).alias("later"))
