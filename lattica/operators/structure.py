@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -170,6 +171,31 @@ def _within(later: list[int], edges: list[tuple[int, int]]) -> Iterator[list[int
             barred = barred | {v}
 
 
+#: Candidates and edges between them that a task has as Python objects at once, if one row has no more.
+HELD = 50_000
+
+
+def _cliques(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``(x, rest, lead)``: maximal cliques of rows ``(x, later, edges)``, of which few are objects at once, whatever a batch holds."""
+    schema = pa.schema([("x", pa.int64()), ("rest", pa.list_(pa.int64())), ("lead", pa.int64())])
+    for batch in batches:
+        size = np.cumsum(sum(pa.compute.fill_null(batch[c].value_lengths(), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("later", "edges")))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(size, (size[i - 1] if i else 0) + HELD, "right")))
+            out: list[dict] = []
+            for row in batch.slice(i, j - i).to_pylist():
+                seen = {p["y"]: p["seen"] for p in row["later"]}
+                for rest in _within(list(seen), [(e["y"], e["z"]) for e in row["edges"] or ()]):
+                    lead = min(rest, key=lambda v: (seen[v], v))
+                    out.append({"x": row["x"], "rest": sorted(rest), "lead": lead if seen[lead] else None})
+                    if len(out) >= HELD:
+                        yield pa.RecordBatch.from_pylist(out, schema)
+                        out = []
+            yield pa.RecordBatch.from_pylist(out, schema)
+            i = j
+
+
 def find_cliques(g: Graph, min_size: int = 1) -> DataFrame:
     """``(size, members)``: all maximal cliques of the simple view, the largest first.
 
@@ -180,7 +206,8 @@ def find_cliques(g: Graph, min_size: int = 1) -> DataFrame:
     join with what earlier nodes see tells, led by the member that fewest of them see. The
     graph is never in one place, and no node's earlier neighbours are gathered.
     """
-    edges = cut(g.simple())
+    g = g.once()
+    edges = g.simple() if g.stored else written(g.simple())
     way = onward(edges)
     corner = written(closed(way.select(F.col("x").alias("a"), F.col("y").alias("b")), True, True))
     # How many nodes before y see both y and its later neighbour z.
@@ -188,17 +215,7 @@ def find_cliques(g: Graph, min_size: int = 1) -> DataFrame:
     later = way.join(seen, ["x", "y"], "left").groupBy("x").agg(F.collect_list(F.struct("y", F.coalesce("seen", F.lit(0)).alias("seen"))).alias("later"))
     small = later.join(corner.groupBy("x").agg(F.collect_list(F.struct("y", "z")).alias("edges")), "x", "left")
 
-    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for row in batch.to_pylist():
-                seen = {p["y"]: p["seen"] for p in row["later"]}
-                for rest in _within(list(seen), [(e["y"], e["z"]) for e in row["edges"] or ()]):
-                    lead = min(rest, key=lambda v: (seen[v], v))
-                    out.append((row["x"], sorted(rest), lead if seen[lead] else None))
-            yield pa.RecordBatch.from_pylist([{"x": x, "rest": rest, "lead": lead} for x, rest, lead in out], pa.schema([("x", pa.int64()), ("rest", pa.list_(pa.int64())), ("lead", pa.int64())]))
-
-    made = written(small.mapInArrow(kernel, "x long, rest array<long>, lead long").where(F.size("rest") + 1 >= min_size))
+    made = written(small.mapInArrow(lambda batches: _cliques(batches), "x long, rest array<long>, lead long").where(F.size("rest") + 1 >= min_size))
     # What a node w before x sees of x's later neighbours, once for each distinct set, under each member.
     views = corner.groupBy(F.col("x").alias("w"), F.col("y").alias("x")).agg(F.sort_array(F.collect_list("z")).alias("view")).select("x", "view").distinct()
     views = views.select("x", "view", F.explode("view").alias("lead"))

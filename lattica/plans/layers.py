@@ -15,7 +15,7 @@ def layers(edges: DataFrame) -> DataFrame:
     more than half of them; so rounds are logarithmic in the nodes, and a node has at most four
     times the degeneracy of neighbours in its own layer and later ones.
     """
-    left = cut(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
+    left = written(edges.select(F.col("a").alias("src"), F.col("b").alias("dst")).unionByName(edges.select(F.col("b").alias("src"), F.col("a").alias("dst"))))
     ends = left.select(F.col("src").alias("id")).distinct()
     found, k = None, 0
     while True:
@@ -25,7 +25,7 @@ def layers(edges: DataFrame) -> DataFrame:
             break
         off = degrees.where(F.col("d") <= 2 * mean).select("id", F.lit(k).alias("layer"))
         found = off if found is None else found.unionByName(off)
-        left = cut(left.join(off.select(F.col("id").alias("src")), "src", "left_anti").join(off.select(F.col("id").alias("dst")), "dst", "left_anti"))
+        left = written(left.join(off.select(F.col("id").alias("src")), "src", "left_anti").join(off.select(F.col("id").alias("dst")), "dst", "left_anti"))
         k += 1
     if found is None:
         return ends.withColumn("layer", F.lit(0))
